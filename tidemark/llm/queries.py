@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, nearest, neardup, packing, sharding, warc
+from . import bpe, licenses, nearest, neardup, ngramjoin, packing, quality, sharding, toxicity, warc
 from .common import table
 
 
@@ -30,6 +30,15 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
@@ -40,6 +49,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -49,7 +63,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_licenses, op3_shards, op6_warc, op7_bpe, op9_packing, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_nearest, op2_licenses, op3_shards, op4_quality, op5_ngram_join, op6_warc, op7_bpe, op8_toxicity, op9_packing, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
