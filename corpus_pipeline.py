@@ -1,19 +1,40 @@
-"""The corpus pipeline: toxicity, quality, near duplicates, packing."""
+"""The corpus pipeline: toxicity, quality, near duplicates, packing.
+
+Each stage takes all that its predecessor has kept and returns the columns of documents; the last
+returns the packed pieces. Models are fitted on the labelled rows of the folder's whole tables.
+Rows with a null doc_id are judged by their text and never dropped as duplicates.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing
+from tidemark.llm import ngramjoin, packing, quality, toxicity
 from tidemark.llm.common import table, written
 from tidemark.llm.queries import vocabulary
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.accepted(docs, model)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.accepted(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays, that with the smallest id."""
+    classes = ngramjoin.jaccard_classes(docs)
+    return docs.join(classes.where("doc_id <> class_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("quality classifier", drop_poor), ("n-gram Jaccard join", drop_copies), ("packing", pack)]
 
 #: The first two stages are trained models, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
