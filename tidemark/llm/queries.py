@@ -72,8 +72,8 @@ def oracle_sql() -> dict[str, str]:
 
 OP1 = """
 with ok as (select vec_id, cast(embedding as double[]) as v from embeddings where vec_id is not null and embedding is not null
-  and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0),
-pairs as (select q.vec_id as query_id, c.vec_id as vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), i -> (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), (a, b) -> a + b)) as score
+  and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as (select q.vec_id as query_id, c.vec_id as vec_id, sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b)) as score
   from ok q join ok c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
 ranked as (select *, row_number() over (partition by query_id order by score, vec_id) as r from pairs)
 select query_id, cast(r as integer) as rank, vec_id, score from ranked where r <= 10
