@@ -27,11 +27,14 @@ from .common import written
 WINDOW = 2048
 END_ID = 1
 #: Words whose ids a worker remembers; a memory bound, without effect on the result.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+#: Punctuation that may follow a word's letters and is a piece of its own.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
+    """The tokenizer, the words known so far, and which ids end a word."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,26 +42,55 @@ def tokenizer(path: str):
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # in a text such strings are ordinary text
-    return t, {}
+    last = np.zeros(t.get_vocab_size(), bool)
+    last[[i for w, i in t.get_vocab().items() if w.endswith("</w>")]] = True
+    return t, {}, last
+
+
+def encode_cores(tok, last: np.ndarray, cores: list[str], width: str) -> list[bytes]:
+    """The ids of words of letters only, encoded as one text: each is one piece, whose last id ends a word."""
+    ids = np.array(tok.encode(" ".join(cores), add_special_tokens=False).ids, width)
+    ends = np.flatnonzero(last[ids]) + 1
+    if len(ends) != len(cores):  # a word that isn't one piece to the tokenizer
+        return [np.array(e.ids, width).tobytes() for e in tok.encode_batch(cores, add_special_tokens=False)]
+    size, raw = ids.itemsize, ids.tobytes()
+    at = [0, *(ends * size).tolist()]
+    return [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
 
 
 def encode_texts(texts: list[str], path: str, width: str) -> list[bytes]:
     """The ids of each text as bytes of little-endian numbers.
 
     This vocabulary drops white space and never merges over it, so the ids of a text are those of
-    its words one after the other; each worker remembers words it has met.
+    its words one after the other; each worker remembers words it has met. A word of letters with
+    punctuation behind is two pieces to the tokenizer's pattern (but for an apostrophe, which may
+    start a contraction), and capitals A-Z are folded by it, so such words share their core.
     """
-    tok, known = tokenizer(path)
+    tok, known, last = tokenizer(path)
     split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list(set().union(*split).difference(known))
-    if new:
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(set().union(*split))
-        for i in range(0, len(new), 4096):
-            for word, e in zip(new[i : i + 4096], tok.encode_batch(new[i : i + 4096], add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, width).tobytes()
-    return [b"".join([known[w] for w in words]) for words in split]
+    new = set().union(*split).difference(known)
+    if not new:
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+    if len(known) + len(new) > REMEMBERED:
+        known.clear()
+        new = set().union(*split)
+    plain, odd = [], []
+    for w in new:
+        core = w.rstrip(TAIL)
+        if core.isalpha():
+            plain.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
+        else:
+            odd.append(w)
+    cores = list({c for _, c, _ in plain}.difference(known))
+    odd = list(set(odd).union(t for _, _, t in plain if t not in known))
+    for i in range(0, len(cores), 4096):
+        known.update(zip(cores[i : i + 4096], encode_cores(tok, last, cores[i : i + 4096], width), strict=True))
+    for i in range(0, len(odd), 4096):
+        for word, e in zip(odd[i : i + 4096], tok.encode_batch(odd[i : i + 4096], add_special_tokens=False), strict=True):
+            known[word] = np.array(e.ids, width).tobytes()
+    for w, core, tail in plain:
+        known[w] = known[core] + known[tail] if tail else known[core]
+    return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def tokens(docs: DataFrame, vocab: str, *, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
