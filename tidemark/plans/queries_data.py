@@ -81,12 +81,13 @@ def keep_last(spark: SparkSession, d: str) -> DataFrame:
     return src.keep_last(events(spark, d), ["user_id"], F.struct("ts", "event_id")).select("user_id", "event_id", "event_type")
 
 
-@query("snk01_merge_append", with_bars("o as (select symbol, time, close, 0 as s from b where rn <= 60 union all select symbol, time, close + 1, 1 from b where rn > 40), k as (select *, row_number() over (partition by symbol, time order by s desc) as n from o), === select symbol, time, " + r6("close", "close") + " from k where n = 1"))
+@query("snk01_merge_append", with_bars("k as (select symbol, time, case when time > '2024-01-10' then close + 1 else close end as close from b), === select symbol, time, " + r6("close", "close") + " from k"))
 def merge_append(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions.frames import by_time
-
-    b = bars(spark, d).withColumn("rn", F.row_number().over(by_time()))
-    return out(src.merge_append(b.where("rn <= 60").drop("rn"), b.where("rn > 40").withColumn("close", F.col("close") + 1).drop("rn")), "symbol", "time", "close")
+    """Old candles up to one day, new ones from a day before it on, the new winning where both are."""
+    b = bars(spark, d)
+    old = b.where("time <= timestamp_ntz '2024-01-12 00:00:00'")
+    new = b.where("time > timestamp_ntz '2024-01-10 00:00:00'").withColumn("close", F.col("close") + 1)
+    return out(src.merge_append(old, new), "symbol", "time", "close")
 
 
 @query("snk05_publish", with_bars("select symbol, time, " + r6("close", "close") + ", " + r6("close - open", "body") + " from b"))
@@ -124,17 +125,17 @@ def error_calendar(spark: SparkSession, d: str) -> DataFrame:
 
 CAL = """n as (select ts, event_id, case event_id % 3 when 0 then 'high' when 1 then 'medium' else 'low' end as impact, case event_id % 3 when 0 then 30 when 1 then 15 else 0 end as bm, case event_id % 3 when 0 then 15 when 1 then 10 else 0 end as am from events where event_type = 'error'),
 win as (select ts - to_minutes(bm) as s, ts + to_minutes(am) as e, impact, event_id from n),"""
-GATE = CAL + " g as (select symbol, time, max(cast(impact = 'high' as integer)) as freeze, max(cast(impact = 'medium' as integer)) as reduce_risk, count(*) as n_events from b join win on time between s and e group by symbol, time),"
-over_gate = with_bars(GATE + " === select b.symbol, b.time, coalesce(freeze, 0) as freeze, coalesce(reduce_risk, 0) as reduce_risk, coalesce(n_events, 0) as n_events, case when freeze = 1 then 'freeze' when reduce_risk = 1 then 'reduce' else 'ok' end as reason from b left join g on b.symbol = g.symbol and b.time = g.time")
+GATE = CAL + " g as (select symbol, time, max(cast(impact = 'high' as integer)) as frozen, max(cast(impact = 'medium' as integer)) as reduce_risk, count(*) as n_events from b join win on time between s and e group by symbol, time),"
+over_gate = with_bars(GATE + " === select b.symbol, b.time, coalesce(frozen, 0) as frozen, coalesce(reduce_risk, 0) as reduce_risk, coalesce(n_events, 0) as n_events, case when frozen = 1 then 'freeze' when reduce_risk = 1 then 'reduce' else 'ok' end as reason from b left join g on b.symbol = g.symbol and b.time = g.time")
 
 
 @query("jon05_news_gate", over_gate)
 def news_gate(spark: SparkSession, d: str) -> DataFrame:
     b = bars(spark, d)
-    return out(news.gate(b, error_calendar(spark, d)), "symbol", "time", "freeze", "reduce_risk", "n_events", "reason")
+    return out(news.gate(b, error_calendar(spark, d)), "symbol", "time", "frozen", "reduce_risk", "n_events", "reason")
 
 
-@query("nws05_state_changes", with_bars(GATE + f" st as (select b.symbol, b.time, case when freeze = 1 then 'freeze' when reduce_risk = 1 then 'reduce' else 'ok' end as reason from b left join g on b.symbol = g.symbol and b.time = g.time), c as (select *, lag(reason) over ({PART}) as p from st), === select symbol, time, reason from c where p is null or p <> reason"))
+@query("nws05_state_changes", with_bars(GATE + f" st as (select b.symbol, b.time, case when frozen = 1 then 'freeze' when reduce_risk = 1 then 'reduce' else 'ok' end as reason from b left join g on b.symbol = g.symbol and b.time = g.time), c as (select *, lag(reason) over ({PART}) as p from st), === select symbol, time, reason from c where p is null or p <> reason"))
 def state_changes(spark: SparkSession, d: str) -> DataFrame:
     return out(news.state_changes(news.gate(bars(spark, d), error_calendar(spark, d))), "symbol", "time", "reason")
 
@@ -148,7 +149,7 @@ def normalise_calendar(spark: SparkSession, d: str) -> DataFrame:
 @query("nws02_merge_calendars", "select distinct ts as time_utc, 'e' || event_id as title from events where event_type = 'error'")
 def merge_calendars(spark: SparkSession, d: str) -> DataFrame:
     c = error_calendar(spark, d)
-    return out(news.merge(c, c.limit(50)), "time_utc", "title")
+    return out(news.merge(c, news.select(c, impacts=["high"])), "time_utc", "title")
 
 
 @query("flt02_news_filter", "select ts as time_utc, 'e' || event_id as title from events where event_type = 'error' and event_id % 3 in (0, 1) and ts between '2024-01-05' and '2024-01-15'")
@@ -161,21 +162,20 @@ over_bars("jon08_stretch", with_bars(H + f""" nb as (select symbol, count(*) as
 hh as (select symbol, row_number() over ({PART}) - 1 as j, close as hc from h), bb as (select b.symbol, b.time, least((rn - 1) // greatest(1, n // m), m - 1) as j from b join nb using (symbol) join nh using (symbol)), === select bb.symbol, bb.time, {r6('hc', 'd1_close')} from bb left join hh on bb.symbol = hh.symbol and bb.j = hh.j"""), lambda b: joins.stretch(b, src.resample(b, "D1"), "close", "d1_close"), ["d1_close"])
 
 
-@query("jon06_fill_ranges", with_bars("leg as (select symbol, rn as s, rn + 7 as e, close as lv from b where rn % 10 = 1), === select b.symbol, b.time, " + r6("lv", "level") + " from b left join leg on b.symbol = leg.symbol and b.rn >= s and b.rn < e"))
+@query("jon06_fill_ranges", with_bars("leg as (select symbol, (rn - 1) // 10 as leg, min(rn) as s, min(rn) + 7 as e, first(close order by rn) as lv from b group by 1, 2), === select b.symbol, b.time, " + r6("lv", "level") + " from b left join leg on b.symbol = leg.symbol and b.rn >= s and b.rn < e"))
 def fill_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Legs of ten bars, of which the first seven carry the leg's opening close."""
     from ..functions.frames import by_time
 
     b = bars(spark, d).withColumn("pos", F.row_number().over(by_time()))
-    legs = b.where("pos % 10 = 1").select("symbol", F.col("pos").alias("start_pos"), (F.col("pos") + 7).alias("end_pos"), F.col("close").alias("level"))
+    legs = b.groupBy("symbol", F.floor((F.col("pos") - 1) / 10).alias("leg")).agg(F.min("pos").alias("start_pos"), (F.min("pos") + 7).alias("end_pos"), F.min_by("close", "pos").alias("level"))
     return out(joins.fill_ranges(b, legs, ["level"]), "symbol", "time", "level")
 
 
-@query("set01_union", with_bars("select symbol, time, " + r6("close", "close") + ", null::double as open from b where rn <= 5 union all select symbol, time, null, " + r6("open", "open") + " from b where rn > 5 and rn <= 8"))
+@query("set01_union", with_bars("select symbol, time, " + r6("close", "close") + ", null::double as open from b union all select symbol, time, null, " + r6("open", "open") + " from b"))
 def union_all(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions.frames import by_time
-
-    b = bars(spark, d).withColumn("rn", F.row_number().over(by_time()))
-    return out(b.where("rn <= 5").select("symbol", "time", "close").unionByName(b.where("rn > 5 and rn <= 8").select("symbol", "time", "open"), allowMissingColumns=True))
+    b = bars(spark, d)
+    return out(b.select("symbol", "time", "close").unionByName(b.select("symbol", "time", "open"), allowMissingColumns=True))
 
 
 @query("set02_distinct", "select distinct user_id, event_type from events")
