@@ -222,7 +222,7 @@ def simulate_one(high, low, close, action, atr, *, cooldown: int = 2, cost: floa
                 stop, target = entry - pos * sl * width, entry + pos * tp * width
             else:
                 stop = target = np.nan
-        elif wait:
+        elif wait and not event:
             wait -= 1
         equity += gain
         out.append((pos, gain, equity, stop, target, event))

@@ -41,9 +41,12 @@ class Spec:
 
 
 def split_args(text: str) -> list[str]:
-    """Parts between commas that no bracket encloses."""
-    parts, depth, start = [], 0, 0
+    """Parts between commas that neither a bracket nor quotes enclose."""
+    parts, depth, start, quote = [], 0, 0, ""
     for i, c in enumerate(text + ","):
+        if quote or c in "'\"":
+            quote = c if not quote else "" if c == quote else quote
+            continue
         depth += (c in "([{") - (c in ")]}")
         if c == "," and depth <= 0:
             parts.append(text[start:i].strip())
