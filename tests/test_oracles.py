@@ -41,3 +41,13 @@ def test_query(spark, sf, duck, name):
 
 def test_every_query_is_registered_once():
     assert set(catalog.SQL) <= set(catalog.QUERIES) and len(catalog.QUERIES) > 120
+
+
+def test_catalogue_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and int(done.stdout) > 120, done.stderr

@@ -30,10 +30,15 @@ da as (select *, case when count(r) over w >= 7 then avg(r) over w end as adr fr
 over_bars("lvl04_adr", with_bars(ADR + " === select b.symbol, b.time, " + r6("adr", "adr") + " from b join da on b.symbol = da.symbol and cast(b.time as date) = day"), levels.adr, ["adr"])
 over_bars("lvl05_adr_distance", with_bars(ADR + " === select b.symbol, b.time, " + r6("o", "day_open") + ", " + r6("abs(close - o)", "dist_abs") + ", " + r6("100 * abs(close - o) / nullif(adr, 0)", "dist_pct_of_adr") + " from b join da on b.symbol = da.symbol and cast(b.time as date) = day"), levels.adr_distance_to_open, ["day_open", "dist_abs", "dist_pct_of_adr"])
 LV = "[close * 0.995, close, close * 1.02, 50.0]"
-LVS = F.array(F.col("close") * 0.995, F.col("close"), F.col("close") * 1.02, F.lit(50.0))
+
+
+def lvs():
+    return F.array(F.col("close") * 0.995, F.col("close"), F.col("close") * 1.02, F.lit(50.0))
+
+
 OS = f"q as (select *, abs(close + 0.3) * 0.05 as w, list_transform({LV}, lambda v: abs(close + 0.3 - v)) as ds from b),"
-over_bars("lvl06_overlap_simple", with_bars(OS + " === select symbol, time, " + r6("case when list_min(ds) <= w and w > 0 then least(1.0, greatest(0.0, 1 - list_min(ds) / w + 0.1 * (len(list_filter(ds, lambda d: d <= w)) - 1))) else 0.0 end", "score") + " from q"), lambda b: b.withColumn("score", levels.overlap_simple(F.col("close") + 0.3, LVS)), ["score"])
-over_bars("lvl07_overlap", with_bars(OS + " === select symbol, time, " + r6("case when list_min(ds) <= w and w > 0 then least(1.0, 1 / (1 + exp(-12 * ((1 - list_min(ds) / w) - 0.5))) + list_sum(list_transform(list_filter(ds, lambda d: d <= w), lambda d: 1 - d / w)) - (1 - list_min(ds) / w)) else 0.0 end", "score") + " from q"), lambda b: b.withColumn("score", levels.overlap(F.col("close") + 0.3, LVS)), ["score"])
+over_bars("lvl06_overlap_simple", with_bars(OS + " === select symbol, time, " + r6("case when list_min(ds) <= w and w > 0 then least(1.0, greatest(0.0, 1 - list_min(ds) / w + 0.1 * (len(list_filter(ds, lambda d: d <= w)) - 1))) else 0.0 end", "score") + " from q"), lambda b: b.withColumn("score", levels.overlap_simple(F.col("close") + 0.3, lvs())), ["score"])
+over_bars("lvl07_overlap", with_bars(OS + " === select symbol, time, " + r6("case when list_min(ds) <= w and w > 0 then least(1.0, 1 / (1 + exp(-12 * ((1 - list_min(ds) / w) - 0.5))) + list_sum(list_transform(list_filter(ds, lambda d: d <= w), lambda d: 1 - d / w)) - (1 - list_min(ds) / w)) else 0.0 end", "score") + " from q"), lambda b: b.withColumn("score", levels.overlap(F.col("close") + 0.3, lvs())), ["score"])
 SW = "sw as (select *, case when count(close) over p = 5 and count(close) over f = 5 and close >= max(close) over p and close >= max(close) over f then 'H' end as kh, case when count(close) over p = 5 and count(close) over f = 5 and close <= min(close) over p and close <= min(close) over f then 'L' end as kl from b window p as (partition by symbol order by time rows between 5 preceding and 1 preceding), f as (partition by symbol order by time rows between 1 following and 5 following)), s as (select symbol, time, close as price, kh as kind from sw where kh is not null union all select symbol, time, close, kl from sw where kl is not null),"
 
 
