@@ -282,3 +282,40 @@ def spec_matrix(spark: SparkSession, d: str) -> DataFrame:
     f = spec.run_specs(bars(spark, d, "M15"), MATRIX, "M15")
     cols = [c for c in f.columns if c.startswith("__")]
     return f.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), *[F.count(F.col(f"`{c}`")).alias(c.strip("_").replace("@", "_").replace("__", "_")) for c in cols])
+
+
+@query("prj03_tf_view", with_bars("select symbol, time, " + ", ".join(r6(c, c) for c in ("open", "high", "low", "close")) + " from b"))
+def tf_view(spark: SparkSession, d: str) -> DataFrame:
+    b = bars(spark, d)
+    wide = b.select("symbol", "time", *[F.col(c).alias(f"H4_{c}") for c in ("open", "high", "low", "close")], F.col("close").alias("D1_close"))
+    return out(spec.tf_view(wide, spec.timeframes_in(wide.columns)[0]))
+
+
+@query("prj06_clean", "select event_id, case when value < 1 or value > 150 then null else round(value, 6) + 0.0 end as value from events")
+def clean_values(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.frames import clean
+    from .catalog import events
+
+    v = F.col("value")
+    return out(events(spark, d).select("event_id", clean(F.when(v < 1, float("nan")).when(v > 150, float("inf")).otherwise(v)).alias("value")))
+
+
+@query("src11_covered_features", with_bars(f"m as (select *, {full('avg', 'close', 20)} as s20, {full('avg', 'close', 2)} as s2 from b), === select 'sma_2' as \"column\", {r6('avg(cast(s2 is not null as double))', 'coverage')} from m having avg(cast(s2 is not null as double)) >= 0.95 union all select 'sma_20', {r6('avg(cast(s20 is not null as double))', 'coverage')} from m having avg(cast(s20 is not null as double)) >= 0.95"))
+def covered_features(spark: SparkSession, d: str) -> DataFrame:
+    f = ind.sma(ind.sma(bars(spark, d), n=20, out="sma_20"), n=2, out="sma_2")
+    return out(spec.metadata(f, ["sma_2", "sma_20"]).where(F.round("coverage", 12) >= 0.95).select("column", "coverage"))
+
+
+@query("fib03_last_leg", with_bars(L3 + " === select symbol, t0 as from_time, t1 as to_time, " + r6("p0", "p0") + ", " + r6("p1", "p1") + " from l3 where n = 1"))
+def last_leg(spark: SparkSession, d: str) -> DataFrame:
+    return out(levels.swing_legs(levels.swings(bars(spark, d)), 1), "symbol", "from_time", "to_time", "p0", "p1")
+
+
+@query("top01_top_zones")
+def top_zones(spark: SparkSession, d: str) -> DataFrame:
+    return out(levels.top_zones(_clusters(spark, d), 10, 2), "symbol", "zone_rank", "price_mean", "members", "score")
+
+
+over_bars("fib14_enhanced_score", with_bars(ADR + f" s1 as (select *, {head(ewm_sql('close', '(2.0/21)'), 9)} as m from b), s2 as (select *, (m - lag(m) over ({PART})) / (({full('stddev_samp', 'close', 20, 10)}) + 1e-12) as sl from s1), === select s2.symbol, s2.time, " + r6("50 + 10 * tanh(abs(sl) / nullif(adr, 0))", "score") + " from s2 join da on s2.symbol = da.symbol and cast(s2.time as date) = day"), lambda b: levels.adr(ind.ma_slope(b)).withColumn("score", levels.enhanced_score(F.lit(50.0), F.col("ma_slope"), F.col("adr"))), ["score"])
+over_bars("pa12_confluence_additive", with_bars(CO.replace("/ 1.1, 0), 1) as sc", "/ 1.0, 0), 1) as sc") + f" === select symbol, time, {r6(f'coalesce(lag(sc) over ({PART}), 0.5)', 'conf_score')} from c2"), lambda b: price_action.confluence(price_action.mtf_context(price_action.breakouts(b), resample(b, "D1")), {"extras": 0.1}, extras_mode="additive"), ["conf_score"])
+over_bars("pa04_regime_causal", None, lambda b: price_action.regime(b, causal=True), ["regime_range", "regime_spike", "regime_channel", "regime_label"])

@@ -290,3 +290,26 @@ def drop_empty(df: DataFrame, cols: list[str]) -> DataFrame:
     """Without feature columns that have no value at all: one aggregate."""
     row = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)]).first()
     return df.drop(*[c for i, c in enumerate(cols) if not row[i]])
+
+
+def timeframes_in(columns: list[str]) -> list[str]:
+    """Timeframes that prefix columns such as H4_close, coarsest last."""
+    found = {m[1] for c in columns if (m := re.match(r"([MHDW]\d+)_", c))}
+    return sorted(found, key=seconds)
+
+
+def tf_view(df: DataFrame, tf: str) -> DataFrame:
+    """The columns of one timeframe without their prefix; rows where all of them are null go."""
+    own = [c for c in df.columns if c.startswith(f"{tf}_")]
+    view = df.select("symbol", "time", *[F.col(c).alias(c.removeprefix(f"{tf}_")) for c in own])
+    return view.na.drop("all", subset=[c.removeprefix(f"{tf}_") for c in own])
+
+
+def first_existing(columns: list[str], names: list[str]) -> str | None:
+    return next((n for n in names if n in columns), None)
+
+
+def covered(df: DataFrame, cols: list[str], least: float) -> list[str]:
+    """Feature columns whose share of values reaches a minimum: one small result row a column."""
+    rows = metadata(df, cols).where(F.col("coverage") >= least).select("column").collect()
+    return [c for c in cols if c in {r["column"] for r in rows}]
