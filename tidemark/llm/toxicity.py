@@ -36,7 +36,7 @@ OFFSETS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
 NEAR = 0.45
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 64, 48
 #: Labelled documents of each kind to learn from, at most.
-PER_CLASS = 3000
+PER_CLASS = 2000
 CUT = 0.7
 #: Longest piece of a word compared at once; longer words are cut into overlapping pieces.
 PIECE, STEP = 32, 24
@@ -281,12 +281,14 @@ def fit(sample: pd.DataFrame) -> Model:
     y = sample["y"].to_numpy()
     if len(sample) == 0 or y.min() == y.max():
         return Model(None, 0, np.zeros(0), 0.0)
-    docs = [[f for w in words_in(t) if len(f := fold(w)) > 1] for t in sample["text"]]
+    # each document's different folded words; equal words are one object, so the sample stays small
+    same: dict[str, str] = {}
+    docs = [{same.setdefault(f, f) for w in set(words_in(t)) if len(f := fold(w)) > 1} for t in sample["text"]]
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     counts: list[Counter] = [Counter(), Counter()]
     for d, label in zip(docs, y, strict=True):
-        names = {f"^{w}$" for w in set(d)}
-        names |= {f"^{w[:n]}" for w in set(d) for n in (5, 6, 7) if len(w) > n}
+        names = {f"^{w}$" for w in d}
+        names |= {f"^{w[:n]}" for w in d for n in (5, 6, 7) if len(w) > n}
         counts[label].update(names)
     least = 3 if n1 < 200 else 5
     rated = []
@@ -297,6 +299,7 @@ def fit(sample: pd.DataFrame) -> Model:
             # evidence: how far the count in toxic documents passes what clean ones let expect
             rated.append((a * odds * (1.15 if s.endswith("$") else 1.0), s))
     rated.sort(key=lambda x: (-x[0], x[1]))
+    counts.clear()
     strings: list[str] = []
     for _, s in rated[:400]:
         if len(strings) == TOXIC_LANDMARKS:
@@ -307,15 +310,15 @@ def fit(sample: pd.DataFrame) -> Model:
         return Model(None, 0, np.zeros(0), 0.0)
     toxic = len(strings)
     first = Landmarks(strings)
-    vocab = sorted({w for d in docs for w in d})
+    vocab = sorted(same)
     units, owner = [], []
     for w in vocab:
         for p in pieces(w):
             units.append(p)
             owner.append(w)
     rows, k = first.kernel(units, NEAR, toxic)
-    clean_df = Counter(w for d, label in zip(docs, y, strict=True) if not label for w in set(d))
-    toxic_df = Counter(w for d, label in zip(docs, y, strict=True) if label for w in set(d))
+    clean_df = Counter(w for d, label in zip(docs, y, strict=True) if not label for w in d)
+    toxic_df = Counter(w for d, label in zip(docs, y, strict=True) if label for w in d)
     near_clean = sorted({owner[r] for r in rows}, key=lambda w: (-(clean_df[w] / n0 - toxic_df[w] / n1), w))
     strings += [pieces(w)[0] for w in near_clean if pieces(w)[0] not in strings and clean_df[w] / n0 > toxic_df[w] / n1][:CLEAN_LANDMARKS]
     marks = Landmarks(strings)
@@ -338,7 +341,7 @@ def fit(sample: pd.DataFrame) -> Model:
         positive = np.zeros(len(names))
         for d, label in zip(docs, y, strict=True):
             if label:
-                own = sorted({at[w] for w in d if w in at}, key=lambda i: -margin[i])[:3]
+                own = sorted({at[w] for w in d if w in at}, key=lambda i: (-margin[i], i))[:3]
                 positive[[i for i in own if margin[i] > 0 or i == own[0]]] += 1
         x = np.concatenate([z, z])
         t = np.concatenate([np.ones(len(z)), -np.ones(len(z))])
@@ -346,8 +349,10 @@ def fit(sample: pd.DataFrame) -> Model:
         u, b = linear_svm(x[w > 0], t[w > 0], w[w > 0])
         margin = z @ u + b
     model = Model(marks, toxic, root @ u, b)
-    split = [words_in(t) for t in sample["text"]]
-    f = np.concatenate([model.document_features(split[i : i + 256]) for i in range(0, len(split), 256)])
+    del docs, units, owner
+    texts = sample["text"].tolist()
+    f = np.concatenate([model.document_features([words_in(t) for t in texts[i : i + 128]]) for i in range(0, len(texts), 128)])
+    model.known.clear()
     model.document = logistic(f, y.astype(float), rising=4)
     return model
 
