@@ -13,16 +13,23 @@ from pyspark.sql import functions as F
 
 def asof(left: DataFrame, right: DataFrame, fields: list[str], *, prefix: str = "", tolerance_us: int | None = None, by: str = "symbol", time: str = "time") -> DataFrame:
     """The latest right row at or before each left row's time, within the tolerance (inclusive)."""
-    carried = F.struct(F.col(time).alias("_at"), *fields)
-    names = left.columns
-    kind = right.select(carried.alias("_r")).schema["_r"].dataType
-    both = left.select(*names, F.lit(None).cast(kind).alias("_r"), F.lit(1).alias("_side")).unionByName(right.select(by, time, carried.alias("_r"), F.lit(0).alias("_side")), allowMissingColumns=True)
+    return asof_many(left, [(right, fields)], prefix=prefix, tolerance_us=tolerance_us, by=by, time=time)
+
+
+def asof_many(left: DataFrame, rights: list[tuple[DataFrame, list[str]]], *, prefix: str = "", tolerance_us: int | None = None, by: str = "symbol", time: str = "time") -> DataFrame:
+    """As-of joins of several right sides at once: one union and one window for all of them."""
+    names, at = left.columns, F.unix_micros(F.col(time).cast("timestamp"))
+    both = left.select(*names, F.lit(1).alias("_side"))
+    for i, (right, fields) in enumerate(rights):
+        both = both.unionByName(right.select(by, time, F.struct(F.col(time).alias("_at"), *[F.col(f"`{f}`") for f in fields]).alias(f"_r{i}"), F.lit(0).alias("_side")), allowMissingColumns=True)
     w = Window.partitionBy(by).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    joined = both.withColumn("_m", F.last("_r", True).over(w)).where("_side = 1")
-    if tolerance_us is not None:
-        gap = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.col("_m._at").cast("timestamp"))
-        joined = joined.withColumn("_m", F.when(gap <= tolerance_us, F.col("_m")))
-    return joined.select(*names, *[F.col(f"_m.{f}").alias(prefix + f) for f in fields])
+    held = [F.last(f"_r{i}", True).over(w).alias(f"_m{i}") for i in range(len(rights))]
+    joined = both.select(*[F.col(f"`{n}`") for n in names], "_side", *held).where("_side = 1")
+    found = []
+    for i, (_, fields) in enumerate(rights):
+        near = F.lit(True) if tolerance_us is None else at - F.unix_micros(F.col(f"_m{i}._at").cast("timestamp")) <= tolerance_us
+        found += [F.when(near, F.col(f"_m{i}.`{f}`")).alias(prefix + f) for f in fields]
+    return joined.select(*[F.col(f"`{n}`") for n in names], *found)
 
 
 def median_step(df: DataFrame, by: str = "symbol", time: str = "time") -> DataFrame:

@@ -2,8 +2,8 @@
 
 Specs are parsed to plan nodes, grouped by timeframe and turned into one DataFrame plan: bars of a
 timeframe are made once, all its operators are chained on them (their windows share one sort), and
-the result comes back to the base grid by one as-of join for each timeframe, at the time its bars
-are closed.
+the results come back to the base grid by one as-of window for all timeframes, at the time their
+bars are closed.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import indicators as ind
 from ..functions import patterns as pat
 from ..operators import levels, price_action, sequential, zigzag, zones
-from ..operators.asof import asof
+from ..operators.asof import asof_many
 from ..sources.bars import resample, seconds
 
 log = logging.getLogger(__name__)
@@ -250,16 +250,16 @@ def compute(bars: DataFrame, specs: list[Spec], tf: str) -> DataFrame:
 def run_specs(bars: DataFrame, specs: list[str], base_tf: str, *, strict: bool = True, tolerance: bool = False) -> DataFrame:
     """Features on the base grid. Higher timeframes are true bars, joined as of their close."""
     p = plan(specs, base_tf, "volume" in bars.columns, strict)
-    out = bars
+    out, higher = bars, []
     for tf, own in p.groups.items():
         if seconds(tf) < seconds(base_tf):
             raise ValueError(f"{tf} is finer than the base {base_tf}")
+        f = compute(bars if tf == base_tf else resample(bars, tf), own, tf)
         if tf == base_tf:
-            out = out.join(compute(bars, own, tf), ["symbol", "time"], "left")
+            out = bars.join(f, ["symbol", "time"], "left")
         else:
-            f = compute(resample(bars, tf), own, tf)
-            out = asof(out, f, [c for c in f.columns if c not in ("symbol", "time")], tolerance_us=seconds(base_tf) * 1_000_000 if tolerance else None)
-    return out
+            higher.append((f, [c for c in f.columns if c not in ("symbol", "time")]))
+    return asof_many(out, higher, tolerance_us=seconds(base_tf) * 1_000_000 if tolerance else None) if higher else out
 
 
 def fill(df: DataFrame, cols: list[str], backward: bool = False) -> DataFrame:
