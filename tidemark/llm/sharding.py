@@ -3,8 +3,8 @@
 Vertices are documents with a size; links lead from documents to the hub of their group (equal
 texts here; any table of (doc, hub) will do). The start is an even split of a random order. In each
 round the hubs take the shard that holds most of their bytes; members elsewhere ask to move there.
-What a shard may take in a round is its room up to the capacity, what a shard may lose is not
-limited; requests are granted in a fixed random order up to the room, by prefix sums over coarse
+What a shard may take in a round is the room its linked rows leave up to a quota, what it may lose
+is not limited; requests are granted in a fixed random order up to the room, by prefix sums over coarse
 bins and then rows, never by one ranking of all rows. Then a last pass evens the sizes out: rows of
 shards over the mean go, small unlinked ones first, to the gaps of those under it.
 
@@ -28,6 +28,10 @@ BINS = 64
 OVERHEAD = 16
 #: Share of the requests to leave a shard that counts as room for those who come.
 LEAVING = 0.8
+#: Share of a shard that linked rows may fill; the rest is left for evening out.
+QUOTA = 0.9
+#: Share of a shard that one hub may fill.
+PART = 0.5
 
 
 def running(df: DataFrame, part: str, amount: str, order: list, out: str) -> DataFrame:
@@ -59,25 +63,24 @@ def even_start(v: DataFrame, shards: int) -> DataFrame:
     return placed.select("uid", "id", "size", "crc", "hub", "rnd", F.pmod(F.shiftright("rnd", 20), F.lit(BINS)).cast("int").alias("bin"), cut.alias("shard"))
 
 
-def one_round(v: DataFrame, hubs: DataFrame, capacity: float, shards: int) -> DataFrame:
-    """One round of propagation: v(uid, ..., hub, shard), hubs(hub) those with two rows or more."""
-    linked = v.join(hubs, "hub", "left_semi")
-    weights = linked.groupBy("hub", "shard").agg(F.sum("size").alias("w"))
+def one_round(v: DataFrame, capacity: float) -> DataFrame:
+    """One round of propagation over v(uid, id, size, crc, hub, rnd, bin, linked, shard)."""
+    weights = v.where("linked = 1").groupBy("hub", "shard").agg(F.sum("size").alias("w"))
     best = weights.groupBy("hub").agg(F.max(F.struct("w", (-F.col("shard")).alias("s"))).alias("m")).select("hub", (-F.col("m.s")).cast("int").alias("want"))
     asked = v.join(best, "hub", "left")
-    # most of what asks to leave will leave and makes room in the same round; the last pass evens out what passes
-    load = v.groupBy("shard").agg(F.sum("size").alias("all")).join(asked.where("want is not null and want <> shard").groupBy("shard").agg(F.sum("size").alias("out")), "shard", "left")
+    movers = asked.where("want is not null and want <> shard")
+    # the quota is for linked rows, the others give way in the last pass; most of what asks to leave
+    # will leave and makes room in the same round
+    load = v.where("linked = 1").groupBy("shard").agg(F.sum("size").alias("all")).join(movers.groupBy("shard").agg(F.sum("size").alias("out")), "shard", "left")
     load = load.select("shard", (F.col("all") - F.lit(LEAVING) * F.coalesce("out", F.lit(0))).alias("load"))
     room = load.select(F.col("shard").alias("want"), F.greatest(F.lit(0.0), F.lit(capacity) - F.col("load")).alias("room"))
-    movers = asked.where("want is not null and want <> shard")
     ranked = running(movers, "want", "size", ["rnd", "uid"], "asked_before").join(F.broadcast(room), "want")
     granted = ranked.where(F.col("asked_before") + F.col("size") <= F.col("room")).select("uid", "want")
     return v.join(granted, "uid", "left").withColumn("shard", F.coalesce("want", "shard")).drop("want")
 
 
-def even_out(v: DataFrame, hubs: DataFrame, shards: int) -> DataFrame:
+def even_out(v: DataFrame, shards: int) -> DataFrame:
     """Move what lies over the mean, unlinked rows first, into the gaps under it."""
-    v = v.join(hubs.withColumn("linked", F.lit(1)), "hub", "left").withColumn("linked", F.coalesce("linked", F.lit(0)))
     total = v.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     mean = total / shards
     # linked rows first, then large before small: what passes the mean is small and unlinked as far as possible
@@ -103,15 +106,21 @@ def even_out(v: DataFrame, hubs: DataFrame, shards: int) -> DataFrame:
     return stay.select(*cols, F.col("shard").cast("int")).unionByName(moved)
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, *, rounds: int = ROUNDS, slack: float = 0.03, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, *, rounds: int = ROUNDS, quota: float = QUOTA, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row."""
     v = written(vertices(docs, key, text), "vertices")
     v = written(even_start(v, shards), "start")
-    hubs = written(v.groupBy("hub").count().where("count > 1").select("hub"), "hubs")
-    capacity = (v.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] / shards) * (1 + slack)
+    mean = v.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] / shards
+    # a group that fills over half a shard is cut into hubs of that size, so that each can settle
+    # somewhere and no task gets all of it; there are fewer than 2 x shards such groups
+    large = v.groupBy("hub").agg(F.sum("size").alias("s")).where(F.col("s") > PART * mean).select("hub", F.ceil(F.col("s") / F.lit(max(1.0, PART * mean))).cast("int").alias("parts"))
+    cut = F.when(F.col("parts").isNotNull(), F.concat_ws("#", "hub", F.pmod(F.shiftright("rnd", 7), "parts").cast("string"))).otherwise(F.col("hub"))
+    v = written(v.join(F.broadcast(large), "hub", "left").withColumn("hub", cut).drop("parts"), "cut")
+    pairs = v.groupBy("hub").count().where("count > 1").select("hub", F.lit(1).alias("linked"))
+    v = written(v.join(pairs, "hub", "left").withColumn("linked", F.coalesce("linked", F.lit(0))), "linked")
     for _ in range(rounds):
-        v = written(one_round(v, hubs, capacity, shards), "round")
-    v = written(even_out(v, hubs, shards), "placed")
+        v = written(one_round(v, mean * quota), "round")
+    v = written(even_out(v, shards), "placed")
     v = v.withColumn("bin", F.pmod(F.shiftright("rnd", 20), F.lit(BINS)).cast("int")).withColumn("one", F.lit(1))
     out = running(v, "shard", "one", ["rnd", "uid"], "slot")
     return out.select(F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
