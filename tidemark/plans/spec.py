@@ -231,20 +231,20 @@ def plan(specs: list[str], base_tf: str, has_volume: bool = True, strict: bool =
 
 def compute(bars: DataFrame, specs: list[Spec], tf: str) -> DataFrame:
     """(symbol, time, features) of one timeframe, all operators chained on the same bars."""
-    out, names = bars.select(*[c for c in BARS if c in bars.columns]), []
+    out, names = bars.select(*[c for c in BARS if c in bars.columns]), {}
     for spec in specs:
         keep = out.columns
-        clash = {c: f"_k{i}" for i, c in enumerate(c for c in keep if c not in BARS)}
-        hidden = out.withColumnsRenamed(clash)
-        done = REGISTRY[spec.name].fn(hidden, **bind(spec))
-        new = [c for c in done.columns if c not in hidden.columns and c != "pos"]
-        missing = [c for c in hidden.columns if c not in done.columns]
+        done = REGISTRY[spec.name].fn(out, **bind(spec))
+        made = done.columns
+        new = [c for c in made if c not in keep and c != "pos"]
+        missing = [c for c in keep if c not in made]
         if missing:  # an operator that rebuilds its rows from the bars
-            done = done.join(hidden.select("symbol", "time", *missing), ["symbol", "time"], "left")
-        done = done.withColumnsRenamed({v: k for k, v in clash.items()})
-        out = done.select(*keep, *[F.col(c).alias(name_of(spec, tf, c)) for c in new])
-        names += [name_of(spec, tf, c) for c in new]
-    return out.select("symbol", "time", *names)
+            done = done.join(out.select("symbol", "time", *missing), ["symbol", "time"], "left")
+        # plain names until the end: no operator makes them, and they need no quotes
+        plain = {c: f"kept{len(names) + i}" for i, c in enumerate(new)}
+        out = done.select(*keep, *[F.col(c).alias(k) for c, k in plain.items()])
+        names |= {k: name_of(spec, tf, c) for c, k in plain.items()}
+    return out.select("symbol", "time", *[F.col(k).alias(n) for k, n in names.items()])
 
 
 def run_specs(bars: DataFrame, specs: list[str], base_tf: str, *, strict: bool = True, tolerance: bool = False) -> DataFrame:
