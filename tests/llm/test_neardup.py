@@ -42,3 +42,33 @@ def test_equal_vectors_and_nothing(spark):
     rows = neardup.near_duplicates(df).collect()
     assert {(r["n_links"], r["component_id"]) for r in rows} == {(49, 0), (0, 99)}
     assert neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def two_groups():
+    """Two groups of distinct near copies, each larger than the pool of a vertex, and pairs; one cluster."""
+    rng = np.random.default_rng(11)
+    far = rng.normal(size=(42, 32))
+    hot = [far[i] + rng.normal(size=(300, 32)) * 0.1 for i in (0, 1)]
+    pairs = np.repeat(far[2:], 2, axis=0) + rng.normal(size=(80, 32)) * 0.1
+    return np.concatenate([*hot, pairs]).astype("f4")
+
+
+def frame(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+
+
+def test_one_cluster_is_audited(spark):
+    x = two_groups()
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, x)).collect()}
+    n, comp = brute(list(range(len(x))), x.astype(float))
+    assert n[600:].min() == 1
+    assert got == {i: (n[i], comp[i]) for i in range(len(x))}
+
+
+def test_compare_all_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SHARD", 100)
+    x = two_groups()
+    vert = frame(spark, x).selectExpr("vec_id as id", "cast(embedding as array<double>) as v", "1L as w", "32 as dim")
+    rows = neardup.compare_all(vert, len(x), 0.9).groupBy("id").agg({"n": "sum"}).collect()
+    n, _ = brute(list(range(len(x))), x.astype(float))
+    assert {r["id"]: r["sum(n)"] for r in rows} == {i: n[i] for i in range(len(x))}

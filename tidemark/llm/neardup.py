@@ -9,8 +9,11 @@ expansion that follows every neighbour over the threshold less a slack. Hits are
 in double precision and counted only in the hit's home shard, so nothing counts twice and no list of
 pairs is made: a shard returns one row a vertex, its number of links and a local component.
 
-Recall is audited: up to AUDIT vertices are compared with all vectors exactly; where the search has
-found less than `recall` of their links, it is repeated with twice the probes and a wider beam.
+Recall is audited at every size, twice. In each shard up to SHARD_AUDIT queries are compared with its
+home members exactly; where the graph has missed more than the target allows, the whole shard is
+compared exactly, in blocks. Then up to AUDIT vertices are compared with all vectors; where the search
+has found less than `recall` of their links, it is repeated with twice the probes and a wider beam, and
+where all clusters are probed already, all vectors are compared exactly, in blocks.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
 vectors of different lengths; they are their own component. Repeated rows and equal vectors under
@@ -44,6 +47,7 @@ BEAM = 24
 SLACK = 0.05
 PROBES = 4
 AUDIT = 200
+SHARD_AUDIT = 1024
 
 
 def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -179,12 +183,15 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
             centroids[d] = fit_centroids(x / np.linalg.norm(x, axis=1, keepdims=True), clusters)
         beam = BEAM
         while True:
-            found = written(search(vert, centroids, threshold, probes, beam), "found")
-            links = found.where("n > 0").groupBy("id").agg(F.sum("n").alias("n"))
-            comp = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-            if probes >= clusters or audit(vert, found, threshold) >= recall:
+            found = written(search(vert, centroids, threshold, probes, beam, recall), "found")
+            if audit(vert, found, threshold) >= recall:
+                break
+            if probes >= clusters:
+                found = written(compare_all(vert, count, threshold), "found")
                 break
             probes, beam = probes * 2, beam * 2
+        links = found.where("n > 0").groupBy("id").agg(F.sum("n").alias("n"))
+        comp = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     out = rows.join(vert.select("v", F.col("id").alias("vertex"), "w"), "v", "left")
     if links is not None:
         out = out.join(links.select(F.col("id").alias("vertex"), "n"), "vertex", "left").join(comp.select(F.col("id").alias("vertex"), "component"), "vertex", "left")
@@ -194,7 +201,88 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     return out.select(F.col("id").alias(key), (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("w") - 1, F.lit(0))).cast("long").alias("n_links"), whole.alias("component_id"), (F.col("id") == whole).alias("kept"))
 
 
-def search(vert: DataFrame, centroids: dict[int, np.ndarray], threshold: float, probes: int, beam: int) -> DataFrame:
+def recall_of(true: np.ndarray, got: np.ndarray) -> float:
+    """Share of true links that were found; 1 where there are none."""
+    return float(np.minimum(got, true).sum() / true.sum()) if true.sum() else 1.0
+
+
+def block_search(x: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (query, node) pairs of similarity >= threshold, but for rounding."""
+    return np.nonzero(q @ x.T >= threshold - 1e-4)
+
+
+def shard_links(t: pa.Table, threshold: float, beam: int, recall: float | None) -> pa.Table | None:
+    """Links of the queries of a shard with its home members: by its graph as far as that meets the recall, else (and for recall None) by blocks.
+
+    Roles: 0 home, 1 overlap, 2 only asks, -1 home and doesn't ask.
+    """
+    role, ids, w = (t.column(c).to_numpy() for c in ("role", "id", "w"))
+    x = matrix(t.column("v"))
+    norm = np.linalg.norm(x, axis=1)
+    unit = (x / norm[:, None]).astype(np.float32)
+    nodes = np.flatnonzero(role < 2)
+    if not len(nodes):
+        return None
+    home, asks = np.flatnonzero(role <= 0), np.flatnonzero(role >= 0)
+    order = np.argsort(ids, kind="stable")  # so that the smallest index is the smallest id
+    back = np.empty_like(order)
+    back[order] = np.arange(len(ids))
+
+    def run(find, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(weight of links, number of links of a query, root by rank of the id)."""
+        step = max(64, min(1024, (1 << 24) // max(1, len(members))))
+        n, links, root = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for at in range(0, len(asks), step):
+            part = asks[at : at + step]
+            q, hit = find(part)
+            q, hit = part[q], members[hit]
+            keep = (role[hit] <= 0) & (ids[q] != ids[hit])
+            q, hit = q[keep], hit[keep]
+            for i in range(0, len(q), 1 << 16):
+                a, b = q[i : i + (1 << 16)], hit[i : i + (1 << 16)]
+                ok = np.einsum("ij,ij->i", x[a], x[b]) / (norm[a] * norm[b]) >= threshold
+                a, b = a[ok], b[ok]
+                np.add.at(n, a, w[b])
+                np.add.at(links, a, 1)
+                # pairs are folded into the roots at once: no list of them is kept
+                root = local_roots(np.concatenate([back[a], np.arange(len(ids))]), np.concatenate([back[b], root]), len(ids))
+        return n, links, root
+
+    short = recall is None
+    if not short:
+        place = {int(i): p for p, i in enumerate(ids[nodes])}
+        near = t.column("near").to_pylist()
+        lists = [[place[j] for j in near[r] if j in place] for r in nodes]
+        g = np.full((len(nodes), max(1, max(map(len, lists)))), -1, np.int64)
+        for r, list_ in enumerate(lists):
+            g[r, : len(list_)] = list_
+        inside = unit[nodes]
+        n, links, root = run(lambda q: range_search(inside, g, unit[q], threshold, beam), nodes)
+        picked = np.random.default_rng(len(ids)).permutation(len(ids))[:SHARD_AUDIT]
+        true = np.zeros(len(picked), np.int64)
+        for at in range(0, len(picked), 256):
+            p = picked[at : at + 256]
+            cos = (x[p] @ x[home].T) / (norm[p][:, None] * norm[home][None, :])
+            true[at : at + 256] = ((cos >= threshold) & (ids[p][:, None] != ids[home][None, :])).sum(axis=1)
+        short = recall_of(true, links[picked]) < recall
+    if short:
+        own = unit[home]
+        n, links, root = run(lambda q: block_search(own, unit[q], threshold), home)
+    member = ids[order][root][back]
+    show = np.flatnonzero((n > 0) | (np.bincount(root, minlength=len(ids))[root[back]] > 1))
+    return pa.table({"id": pa.array(ids[show]), "root": pa.array(member[show]), "n": pa.array(n[show])}) if len(show) else None
+
+
+def compare_all(vert: DataFrame, count: int, threshold: float) -> DataFrame:
+    """As search(), of all vertices with all: a task compares a block of vertices with another, or itself."""
+    blocks = math.ceil(count / SHARD)
+    rows = vert.select("dim", "id", "w", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    held = rows.select("dim", F.col("own").alias("slice"), F.col("other").alias("block"), F.when(F.col("own") == F.col("other"), 0).otherwise(-1).alias("role"), "id", "w", "v")
+    asked = rows.where("own <> other").select("dim", F.col("other").alias("slice"), F.col("own").alias("block"), F.lit(2).alias("role"), "id", "w", "v")
+    return grouped_stream(held.unionByName(asked), ["dim", "slice", "block"], lambda t: shard_links(t, threshold, 0, None), "id long, root long, n long")
+
+
+def search(vert: DataFrame, centroids: dict[int, np.ndarray], threshold: float, probes: int, beam: int, recall: float) -> DataFrame:
     """(id, root, n): a vertex, its smallest partner within a shard, its links' weight in that shard."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,46 +318,7 @@ def search(vert: DataFrame, centroids: dict[int, np.ndarray], threshold: float,
     asked = members.withColumn("own_slice", F.pmod(F.xxhash64("id"), "slices").cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     asked = asked.withColumn("role", F.when((F.col("rank") < 2) & (F.col("slice") == F.col("own_slice")), F.col("rank")).otherwise(2)).join(graph, "id").select("dim", "cluster", "slice", "role", "id", "w", "v", F.when(F.col("role") < 2, F.col("near")).alias("near"))
 
-    def look(t: pa.Table) -> pa.Table | None:
-        role, ids, w = (t.column(c).to_numpy() for c in ("role", "id", "w"))
-        x = matrix(t.column("v"))
-        norm = np.linalg.norm(x, axis=1)
-        unit = (x / norm[:, None]).astype(np.float32)
-        nodes = np.flatnonzero(role < 2)
-        if not len(nodes):
-            return None
-        place = {int(i): p for p, i in enumerate(ids[nodes])}
-        near = t.column("near").to_pylist()
-        lists = [[place[j] for j in near[r] if j in place] for r in nodes]
-        g = np.full((len(nodes), max(1, max(map(len, lists)))), -1, np.int64)
-        for r, list_ in enumerate(lists):
-            g[r, : len(list_)] = list_
-        step = max(64, min(1024, (1 << 24) // len(nodes)))
-        n = np.zeros(len(ids), np.int64)
-        ea, eb = [], []
-        for at in range(0, len(ids), step):
-            q, hit = range_search(unit[nodes], g, unit[at : at + step], threshold, beam)
-            q, hit = q + at, nodes[hit]
-            keep = (role[hit] == 0) & (ids[q] != ids[hit])
-            q, hit = q[keep], hit[keep]
-            for i in range(0, len(q), 1 << 16):
-                a, b = q[i : i + (1 << 16)], hit[i : i + (1 << 16)]
-                ok = np.einsum("ij,ij->i", x[a], x[b]) / (norm[a] * norm[b]) >= threshold
-                a, b = a[ok], b[ok]
-                np.add.at(n, a, w[b])
-                ea.append(a)
-                eb.append(b)
-        if not ea:
-            return None
-        a, b = np.concatenate(ea), np.concatenate(eb)
-        order = np.argsort(ids, kind="stable")  # so that the smallest index is the smallest id
-        back = np.empty_like(order)
-        back[order] = np.arange(len(ids))
-        root = ids[order][local_roots(back[a], back[b], len(ids))][back]
-        show = np.unique(np.concatenate([a, b]))
-        return pa.table({"id": pa.array(ids[show]), "root": pa.array(root[show]), "n": pa.array(n[show])})
-
-    return grouped_stream(asked, ["dim", "cluster", "slice"], look, "id long, root long, n long")
+    return grouped_stream(asked, ["dim", "cluster", "slice"], lambda t: shard_links(t, threshold, beam, recall), "id long, root long, n long")
 
 
 def audit(vert: DataFrame, found: DataFrame, threshold: float, sample: int = AUDIT) -> float:
