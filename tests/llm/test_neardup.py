@@ -72,3 +72,19 @@ def test_compare_all_is_exact(spark, monkeypatch):
     rows = neardup.compare_all(vert, len(x), 0.9).groupBy("id").agg({"n": "sum"}).collect()
     n, _ = brute(list(range(len(x))), x.astype(float))
     assert {r["id"]: r["sum(n)"] for r in rows} == {i: n[i] for i in range(len(x))}
+
+
+def test_groups_larger_than_the_pool_are_reached():
+    x = two_groups()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lists = neardup.prune(x)
+    graph = np.full((len(x), max(map(len, lists))), -1, np.int64)
+    for i, near in enumerate(lists):
+        graph[i, : len(near)] = near
+    q, hit = neardup.range_search(x, graph, x, 0.9, neardup.BEAM)
+    links = np.bincount(q, minlength=len(x)) - 1
+    true = (x @ x.T >= 0.9 - 1e-4).sum(axis=1) - 1
+    assert links[:300].sum() >= 0.99 * true[:300].sum() and links[300:600].sum() >= 0.99 * true[300:600].sum()
+    # a member also starts at its own node
+    q, _ = neardup.range_search(x, graph, x, 0.9, neardup.BEAM, own=np.arange(len(x)))
+    assert (np.bincount(q, minlength=len(x)) - 1 == true)[600:].all()

@@ -5,7 +5,9 @@ every vector then gets its nearest cluster as home and the second nearest as ove
 (a cluster, or a slice of one that is too large for a task) a robust-pruned graph is built over home
 and overlap members; the two adjacency lists of a vector are united. Every vector then searches the
 shards of its `probes` nearest clusters: a greedy beam search from the shard's medoid, then a range
-expansion that follows every neighbour over the threshold less a slack. Hits are verified by cosine
+expansion that follows every neighbour over the threshold less a slack. The graph is entered at the
+medoid, at one node of each large group and of each part that no entry leads to, and at the vector itself where it is a
+member. Hits are verified by cosine
 in double precision and counted only in the hit's home shard, so nothing counts twice and no list of
 pairs is made: a shard returns one row a vertex, its number of links and a local component.
 
@@ -63,9 +65,24 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.n
     return c.astype(np.float32)
 
 
+def kept_of(x: np.ndarray, c: np.ndarray, sim: np.ndarray, degree: int, alpha: float) -> list[int]:
+    """The rows that robust pruning keeps of candidates c, sorted by their similarity to the row."""
+    dist = np.sqrt(np.maximum(0, 2 - 2 * sim))
+    alive, kept = np.ones(len(c), bool), []
+    for i in range(len(c)):
+        if not alive[i] and len(kept) >= 4:
+            continue
+        kept.append(int(c[i]))
+        if len(kept) >= degree:
+            break
+        alive &= ~(alpha * np.sqrt(np.maximum(0, 2 - 2 * (x[c] @ x[c[i]]))) <= dist)
+    return kept
+
+
 def prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, pool: int = 96) -> list[np.ndarray]:
     """Robust-pruned neighbours of each row: the nearest four, then each next one that no kept
-    neighbour covers (alpha times nearer to it than the row itself is), and reverse edges."""
+    neighbour covers (alpha times nearer to it than the row itself is), and reverse edges; where these
+    are more than `degree`, they are pruned by the same rule."""
     n = len(x)
     pool = min(pool, n - 1)
     if pool < 1:
@@ -77,40 +94,71 @@ def prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, pool: int =
         near = np.argpartition(-sim, pool - 1, axis=1)[:, :pool]
         for r in range(len(sim)):
             c = near[r][np.argsort(-sim[r][near[r]], kind="stable")]
-            dist = np.sqrt(np.maximum(0, 2 - 2 * sim[r][c]))
-            between = np.sqrt(np.maximum(0, 2 - 2 * (x[c] @ x[c].T)))
-            alive, kept = np.ones(len(c), bool), []
-            for i in range(len(c)):
-                if not alive[i] and len(kept) >= 4:
-                    continue
-                kept.append(int(c[i]))
-                if len(kept) >= degree:
-                    break
-                alive &= ~(alpha * between[i] <= dist)
-            out.append(kept)
+            out.append(kept_of(x, c, sim[r][c], degree, alpha))
     back: list[list[int]] = [[] for _ in range(n)]
     for i, kept in enumerate(out):
         for j in kept:
-            if len(back[j]) < degree:
-                back[j].append(i)
+            back[j].append(i)
+    for j, from_ in enumerate(back):
+        if len(from_) > degree:
+            c = np.array(from_)
+            sim = x[c] @ x[j]
+            c, sim = c[(o := np.argsort(-sim, kind="stable"))], sim[o]
+            back[j] = kept_of(x, c, sim, degree, alpha)
     return [np.unique(np.array(a + b, np.int64)) for a, b in zip(out, back, strict=True)]
 
 
-def range_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def entries(x: np.ndarray, graph: np.ndarray, low: float) -> np.ndarray:
+    """The medoid, a node of each group (joined by edges of similarity >= low) that a beam may not get
+    into or out of, and a node of each part of the graph that no earlier entry leads to."""
+    a, k = np.nonzero(graph >= 0)
+    b = graph[a, k]
+    near = np.concatenate([np.einsum("ij,ij->i", x[a[i : i + (1 << 16)]], x[b[i : i + (1 << 16)]]) for i in range(0, len(a), 1 << 16)] or [np.zeros(0)]) >= low
+    group = np.bincount(local_roots(a[near], b[near], len(x)), minlength=len(x))
+    wait = np.flatnonzero(group > DEGREE).tolist()
+    reached, out, new = np.zeros(len(x), bool), [], int((x @ x.mean(axis=0)).argmax())
+    while True:
+        out.append(new)
+        reached[new] = True
+        edge = np.array([new])
+        while len(edge):
+            edge = np.unique(graph[edge])
+            edge = edge[edge >= 0]
+            edge = edge[~reached[edge]]
+            reached[edge] = True
+        if wait:
+            new = wait.pop()
+        elif reached.all():
+            return np.unique(out)
+        else:
+            new = int(reached.argmin())
+
+
+def range_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, threshold: float, beam: int, starts: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) pairs of similarity >= threshold found by greedy search and range expansion.
 
-    graph: neighbours padded with -1. All queries advance together, one hop at a time.
+    graph: neighbours padded with -1. starts: its entries. own: a query's own node or -1. All queries
+    advance together, one hop at a time.
     """
     n, m = len(x), len(q)
-    medoid = int((x @ x.mean(axis=0)).argmax())
+    starts = entries(x, graph, threshold - SLACK) if starts is None else starts
     seen = np.zeros((m, n), bool)
-    seen[:, medoid] = True
+    seen[:, starts] = True
     sims = np.full((m, n), -2, np.float32)
-    sims[:, medoid] = q @ x[medoid]
+    sims[:, starts] = q @ x[starts].T
+    if own is not None:
+        at = np.flatnonzero(own >= 0)
+        seen[at, own[at]] = True
+        sims[at, own[at]] = np.einsum("ij,ij->i", q[at], x[own[at]])
     ids = np.full((m, beam), -1, np.int64)
     val = np.full((m, beam), -3, np.float32)
     done = np.zeros((m, beam), bool)
-    ids[:, 0], val[:, 0] = medoid, sims[:, medoid]
+    # the beam begins with the best entries; the expansion below starts from all of them
+    first = np.concatenate([np.tile(starts, (m, 1)), np.full((m, 1), -1) if own is None else own[:, None]], axis=1)
+    first[:, -1] = np.where((first[:, :-1] == first[:, -1:]).any(axis=1), -1, first[:, -1])
+    worth = np.where(first >= 0, sims[np.arange(m)[:, None], first], -3)
+    top = np.argsort(-worth, axis=1, kind="stable")[:, :beam]
+    ids[:, : top.shape[1]], val[:, : top.shape[1]] = np.take_along_axis(first, top, 1), np.take_along_axis(worth, top, 1)
     live = np.arange(m)
     while len(live):
         open_ = np.where(done[live] | (ids[live] < 0), -9, val[live])
@@ -256,8 +304,10 @@ def shard_links(t: pa.Table, threshold: float, beam: int, recall: float | None)
         g = np.full((len(nodes), max(1, max(map(len, lists)))), -1, np.int64)
         for r, list_ in enumerate(lists):
             g[r, : len(list_)] = list_
-        inside = unit[nodes]
-        n, links, root = run(lambda q: range_search(inside, g, unit[q], threshold, beam), nodes)
+        inside, own_node = unit[nodes], np.full(len(ids), -1, np.int64)
+        own_node[nodes] = np.arange(len(nodes))
+        starts = entries(inside, g, threshold - SLACK)
+        n, links, root = run(lambda q: range_search(inside, g, unit[q], threshold, beam, starts, own_node[q]), nodes)
         picked = np.random.default_rng(len(ids)).permutation(len(ids))[:SHARD_AUDIT]
         true = np.zeros(len(picked), np.int64)
         for at in range(0, len(picked), 256):
