@@ -88,3 +88,14 @@ def test_groups_larger_than_the_pool_are_reached():
     # a member also starts at its own node
     q, _ = neardup.range_search(x, graph, x, 0.9, neardup.BEAM, own=np.arange(len(x)))
     assert (np.bincount(q, minlength=len(x)) - 1 == true)[600:].all()
+
+
+def test_audit_sees_small_groups(spark):
+    x = two_groups()
+    vert = frame(spark, x).selectExpr("vec_id as id", "cast(embedding as array<double>) as v", "1L as w", "32 as dim")
+    n, comp = brute(list(range(len(x))), x.astype(float))
+    whole = [(i, int(comp[i]), int(n[i])) for i in range(len(x))]
+    schema = "id long, root long, n long"
+    assert neardup.audit(vert, spark.createDataFrame(whole, schema), 0.9) == 1
+    # all of the large groups' links, none of the pairs'
+    assert neardup.audit(vert, spark.createDataFrame(whole[:600], schema), 0.9) < 0.97

@@ -14,7 +14,7 @@ pairs is made: a shard returns one row a vertex, its number of links and a local
 Recall is audited at every size, twice. In each shard up to SHARD_AUDIT queries are compared with its
 home members exactly; where the graph has missed more than the target allows, the whole shard is
 compared exactly, in blocks. Then up to AUDIT vertices are compared with all vectors; where the search
-has found less than `recall` of their links, it is repeated with twice the probes and a wider beam, and
+has found less than `recall` of their links, on average of the vertices of any group size, it is repeated with twice the probes and a wider beam, and
 where all clusters are probed already, all vectors are compared exactly, in blocks.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
@@ -48,7 +48,9 @@ BEAM = 24
 #: The range expansion follows nodes down to the threshold less this.
 SLACK = 0.05
 PROBES = 4
-AUDIT = 200
+AUDIT = 1000
+#: Vertices of so many links at least (and fewer than the next) are audited together.
+SIZES = np.array([1, 3, 10, 100, 1000])
 SHARD_AUDIT = 1024
 
 
@@ -249,9 +251,16 @@ def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "e
     return out.select(F.col("id").alias(key), (F.coalesce("n", F.lit(0)) + F.coalesce(F.col("w") - 1, F.lit(0))).cast("long").alias("n_links"), whole.alias("component_id"), (F.col("id") == whole).alias("kept"))
 
 
+def recalls(true: np.ndarray, got: np.ndarray) -> dict[int, float]:
+    """Mean share of a vertex's true links that were found, by group size (SIZES); vertices without links aside."""
+    size = np.searchsorted(SIZES, true, side="right")
+    share = np.minimum(got, true) / np.maximum(true, 1)
+    return {int(SIZES[k - 1]): float(share[size == k].mean()) for k in np.unique(size[size > 0])}
+
+
 def recall_of(true: np.ndarray, got: np.ndarray) -> float:
-    """Share of true links that were found; 1 where there are none."""
-    return float(np.minimum(got, true).sum() / true.sum()) if true.sum() else 1.0
+    """The recall of the group size where it is least; 1 where there are no links."""
+    return min(recalls(true, got).values(), default=1.0)
 
 
 def block_search(x: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -372,13 +381,9 @@ def search(vert: DataFrame, centroids: dict[int, np.ndarray], threshold: float,
 
 
 def audit(vert: DataFrame, found: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the links of up to `sample` vertices that the search has counted, by brute force."""
-    picked = vert.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(sample // 2).select("id", "v", "dim").toPandas()
-    linked = found.where("n > 0").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample // 2)
-    more = vert.join(linked, "id", "left_semi").select("id", "v", "dim").toPandas()
-    q_id = np.concatenate([picked["id"], more["id"]]).astype(np.int64)
-    q_id, first = np.unique(q_id, return_index=True)
-    vs = [[*picked["v"], *more["v"]][i] for i in first]
+    """recall_of() of up to `sample` vertices, drawn without regard to what was found, by brute force."""
+    picked = vert.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(sample).select("id", "v", "dim").toPandas()
+    q_id, vs = picked["id"].to_numpy(np.int64), list(picked["v"])
     by_dim = {d: ([i for i, v in enumerate(vs) if len(v) == d]) for d in {len(v) for v in vs}}
     held = {d: (q_id[i], np.array([vs[j] for j in i], float)) for d, i in by_dim.items()}
 
@@ -397,5 +402,5 @@ def audit(vert: DataFrame, found: DataFrame, threshold: float, sample: int = AUD
 
     true = vert.select("id", "w", "dim", "v").mapInArrow(count, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
     got = found.groupBy("id").agg(F.sum("n").alias("n"))
-    row = true.join(got, "id", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0))))).first()
-    return 1.0 if not row[0] else (row[1] or 0) / row[0]
+    rows = true.join(got, "id", "left").select("true", F.coalesce("n", F.lit(0)).alias("n")).toPandas()
+    return recall_of(rows["true"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
