@@ -88,3 +88,12 @@ def test_hashes_follow_words():
         for s, x in zip(own, h[a:b].tolist(), strict=True):
             assert seen.setdefault(s, x) == x
     assert len(set(seen.values())) == len(seen)
+
+
+def test_links_at_the_threshold_are_kept(spark):
+    docs = {}
+    for k in range(1500):
+        w = [f"w{k}x{i}" for i in range(104)]
+        docs[2 * k], docs[2 * k + 1] = " ".join(w[:84]), " ".join(w)  # 80 shingles of 100
+    rows = ngramjoin.jaccard_classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows} == {i: (i - i % 2, 1) for i in docs}

@@ -4,8 +4,9 @@ Documents are sets of shingles of five words (fewer words: one shingle of all);
 a-z, 0-9 and characters beyond ASCII after lower-casing A-Z. Equal word sequences are one vertex
 with a weight. Each vertex has TREES x DEPTH minhash values; a tree is the sorted order of the
 vertices by its DEPTH values, and vertices that share the first d of them are a subtree. The join
-starts with the full depth and shortens the prefix by one while the recall is short of the target:
-both that for pairs at the threshold, which the number of trees gives, and that estimated from the
+starts with the longest prefix that promises the target recall for pairs at the threshold and
+shortens it by one while the recall is short of it: that measured on up to AUDIT vertices, which are
+compared with all texts exactly (the mean of each group size), and that estimated from the
 similarities of the links found. A pair is handled once: at the longest prefix it shares, in the
 first tree where it does.
 
@@ -21,6 +22,7 @@ left out. Repeated rows of a document link like copies. Other columns are not re
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,11 +33,12 @@ from pyspark.sql import functions as F
 
 from .common import components, grouped_stream, written
 from .licenses import FOLD
-from .neardup import local_roots
+from .neardup import local_roots, recall_of
 
-WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99
+WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 16, 6
 SLICE = 256
+AUDIT = 500
 BASE = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64
 
@@ -217,6 +220,60 @@ def verify(found: DataFrame, texts: DataFrame, weights: DataFrame, depth: int, t
     return grouped_stream(joined, ["task"], check, "id long, root long, n long, expected double")
 
 
+def sets_of(canon: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, size): the distinct shingles of texts and how many each text has."""
+    h, begin = shingle_hashes(canon)
+    owner = np.repeat(np.arange(len(canon)), np.diff(np.append(begin, len(h))))
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[fresh], owner[fresh], np.bincount(owner[fresh], minlength=len(canon))
+
+
+def audited(wordy: DataFrame, texts: DataFrame, threshold: float, sample: int = AUDIT) -> dict[int, int]:
+    """True links (rows of other texts) of up to `sample` vertices, by comparison with every text."""
+    picked = wordy.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(sample).select("id")
+    held = texts.join(F.broadcast(picked), "id").dropDuplicates(["id"]).toPandas()
+    if not len(held):
+        return {}
+    own = [canonical(bytes(t)) for t in held["t"]]
+    h, text, size = sets_of(own)
+    order = np.argsort(h, kind="stable")
+    text = text[order]
+    known, first, many = np.unique(h[order], return_index=True, return_counts=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(own), np.int64)
+
+        def add(canon: list[bytes]) -> None:
+            h, row, rows = sets_of(canon)
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[at] == h
+            at, row = at[hit], row[hit]
+            c = many[at]
+            other = text[np.repeat(first[at] - np.cumsum(c) + c, c) + np.arange(c.sum())]
+            common = np.bincount(np.repeat(row, c) * len(own) + other, minlength=len(canon) * len(own)).reshape(len(canon), -1)
+            total[:] += ((common > 0) & (common >= threshold * (rows[:, None] + size[None, :] - common) - 1e-9)).sum(axis=0)
+
+        for batch in batches:
+            held, n = [], 0
+            for t in batch.column("t").to_pylist():
+                if c := canonical(t):
+                    # equal word sequences are the same vertex
+                    held.append(c)
+                    n += len(c)
+                if n > 1 << 17:
+                    add(held)
+                    held, n = [], 0
+            if held:
+                add(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array(total)], ["i", "true"])
+
+    rows = texts.select("t").mapInArrow(run, "i long, true long").groupBy("i").agg(F.sum("true").alias("true")).collect()
+    return {int(held["id"][r["i"]]): r["true"] for r in rows}
+
+
 def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links): for each document its class (smallest id in it) and its links."""
     rows = written(signed(docs, key, text), "signed")
@@ -224,11 +281,17 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     wordy = vert.where("sig is not null").select("id", "sig")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).where("id is not null and length(t) > 0")
     weights = vert.select("id", "w")
-    depth, found = DEPTH, []
+    first = depth = next((d for d in range(DEPTH, 0, -1) if chance(threshold, d) >= recall), 1)
+    true, found = audited(wordy, texts, threshold), []
+    held = vert.where(F.col("id").isin(list(true))).select("id", "w").collect()
     while True:
-        found.append(written(verify(candidates(wordy, depth, depth == DEPTH, threshold), texts, weights, depth, threshold), "links"))
+        found.append(written(verify(candidates(wordy, depth, depth == first, threshold), texts, weights, depth, threshold), "links"))
         got, expected = found[-1].agg(F.sum("n"), F.sum("expected")).first()
-        enough = chance(threshold, depth) >= recall and (not got or got / expected >= recall)
+        seen = Counter()
+        for part in found:
+            seen.update({r["id"]: r["n"] for r in part.where(F.col("id").isin(list(true))).groupBy("id").agg(F.sum("n").alias("n")).collect()})
+        measured = recall_of(np.array([true[r["id"]] - r["w"] for r in held], np.int64), np.array([seen[r["id"]] for r in held], np.int64))
+        enough = measured >= recall and (not got or got / expected >= recall)
         if enough or depth == 1:
             break
         depth -= 1
