@@ -6,8 +6,11 @@ give each partition its global offset. Pass two cuts the one long sequence of al
 windows: a document that crosses a border gets one boundary record for each window it touches. Only
 the very last window is not full.
 
-The order of documents is that of the written table; no row is moved between the passes. Nulls and
-empty texts are the end id alone. Repeated rows are packed as often as they come.
+The order of documents is that of the written table; no row is moved between the passes. Null and
+empty texts are the end id alone, and an empty table has no pieces. Repeated rows are packed as often
+as they come, rows with a null id like others. A long text is one row of ids and as many pieces as it
+needs. Special tokens that a text spells out are those tokens, as in the tokenizer's plain call. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -41,18 +44,27 @@ def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # in a text such strings are ordinary text
     last = np.zeros(t.get_vocab_size(), bool)
     last[[i for w, i in t.get_vocab().items() if w.endswith("</w>")]] = True
     return t, {}, last
 
 
+@lru_cache(maxsize=1 << 16)
+def joins(path: str, c: str) -> bool:
+    """Whether a character is a letter to the tokenizer once normalised, and one character: a word of
+    such characters is one piece, whatever punctuation follows. İ and the composed nukta letters
+    aren't: normalised, they end in a mark, which the pattern takes with the punctuation."""
+    tok = tokenizer(path)[0]
+    n = tok.normalizer.normalize_str(c)
+    return len(n) == 1 and len(tok.pre_tokenizer.pre_tokenize_str(n + ".")) == 2 and len(tok.pre_tokenizer.pre_tokenize_str("a" + n)) == 1
+
+
 def encode_cores(tok, last: np.ndarray, cores: list[str], width: str) -> list[bytes]:
-    """The ids of words of letters only, encoded as one text: each is one piece, whose last id ends a word."""
+    """The ids of words that are one piece each, encoded as one text; each word's last id ends a word."""
     ids = np.array(tok.encode(" ".join(cores), add_special_tokens=False).ids, width)
     ends = np.flatnonzero(last[ids]) + 1
-    if len(ends) != len(cores):  # a word that isn't one piece to the tokenizer
-        return [np.array(e.ids, width).tobytes() for e in tok.encode_batch(cores, add_special_tokens=False)]
+    if len(ends) != len(cores):
+        raise ValueError("a word that should be one piece to the tokenizer isn't")
     size, raw = ids.itemsize, ids.tobytes()
     at = [0, *(ends * size).tolist()]
     return [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
@@ -62,9 +74,9 @@ def encode_texts(texts: list[str], path: str, width: str) -> list[bytes]:
     """The ids of each text as bytes of little-endian numbers.
 
     This vocabulary drops white space and never merges over it, so the ids of a text are those of
-    its words one after the other; each worker remembers words it has met. A word of letters with
-    punctuation behind is two pieces to the tokenizer's pattern (but for an apostrophe, which may
-    start a contraction), and capitals A-Z are folded by it, so such words share their core.
+    its words one after the other; each worker remembers words it has met. A word whose characters
+    joins() accepts, with punctuation behind, is two pieces to the tokenizer's pattern (but for an apostrophe,
+    which may start a contraction), and capitals A-Z are folded by it, so such words share their core.
     """
     tok, known, last = tokenizer(path)
     split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -77,7 +89,7 @@ def encode_texts(texts: list[str], path: str, width: str) -> list[bytes]:
     plain, odd = [], []
     for w in new:
         core = w.rstrip(TAIL)
-        if core.isalpha():
+        if core.isalpha() and (core.isascii() or all([joins(path, c) for c in core])):
             plain.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
         else:
             odd.append(w)
