@@ -99,3 +99,14 @@ def test_audit_sees_small_groups(spark):
     assert neardup.audit(vert, spark.createDataFrame(whole, schema), 0.9) == 1
     # all of the large groups' links, none of the pairs'
     assert neardup.audit(vert, spark.createDataFrame(whole[:600], schema), 0.9) < 0.97
+
+
+def test_vectors_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(20, 16))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.1, base * 2]) * np.repeat([1e-200, 1e-300, 1.0, 1e200, 1e300], 12)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 16)], "vec_id long, embedding array<double>")
+    unit = x / np.abs(x).max(axis=1)[:, None]
+    n, comp = brute(list(range(len(x))), unit)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+    assert got == {i: (n[i], comp[i]) for i in range(len(x))}

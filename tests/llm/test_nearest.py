@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 
 from tidemark.llm import nearest
@@ -27,3 +29,30 @@ def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (0, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r)[:3] for r in nearest.knn(df.where("vec_id = 0"), df, 10).collect()] == [(0, 1, 1)]
     assert nearest.knn(df.limit(0), df.limit(0), 10).count() == 0
+
+
+def test_very_large_and_very_small_vectors(spark):
+    rng = np.random.default_rng(3)
+    sizes = rng.choice([1e-320, 1e-300, 1e-200, 1.0, 3.0, 1e200, 1e300], 300)
+    x = rng.normal(size=(300, 8)) * sizes[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [1.0] * 8)], "vec_id long, embedding array<double>")
+    got = nearest.knn(df.where("vec_id % 7 = 0"), df, 10, query_block=20, candidate_block=60).collect()
+    want = []
+    for q in [i for i in range(0, 300, 7) if x[i].any()]:
+        c = [i for i in range(300) if i != q and x[i].any()]
+        d = {i: math.hypot(*(x[q] - x[i])) for i in c}
+        want += [(q, d[i]) for i in sorted(c, key=lambda i: d[i])[:10]]
+    got.sort()
+    assert [g["query_id"] for g in got] == [w[0] for w in want]
+    # equal distances up to rounding may be ordered otherwise, so the distances are compared
+    assert np.allclose([g["score"] for g in got], [w[1] for w in want], rtol=1e-9, atol=0)
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 24)) * rng.choice([0.01, 1, 100], 200)[:, None]
+    q = nearest.quantise(x)
+    low, high = nearest.bounds(q, q)
+    true = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert (low <= true).all() and (true <= high).all()
+    assert np.median(high - low) < 0.05 * np.median(true)

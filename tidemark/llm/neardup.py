@@ -18,8 +18,8 @@ has found less than `recall` of their links, on average of the vertices of any g
 where all clusters are probed already, all vectors are compared exactly, in blocks.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
-vectors of different lengths; they are their own component. Repeated rows and equal vectors under
-other ids are linked. Null ids are left out. Other columns, labels included, are not read.
+vectors of different lengths; they are their own component. Vectors of any finite size are compared.
+Repeated rows and equal vectors under other ids are linked; an empty table gives no rows. Null ids are left out. Other columns, labels included, are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, grouped_stream, written
-from .nearest import matrix, usable
+from .nearest import matrix, power_of_two, usable
 
 THRESHOLD = 0.9
 #: Rows that the centroids are fitted on, at most.
@@ -220,7 +220,9 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def near_duplicates(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, recall: float = 0.97, sample: int = SAMPLE, probes: int = PROBES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null")
-    rows = rows.withColumn("v", F.when(usable("v"), F.transform("v", lambda x: x + F.lit(0.0))))
+    # times a power of two, which leaves the cosine as it is and keeps lengths from overflowing or vanishing
+    rows = rows.withColumn("v", F.when(usable("v"), F.col("v"))).withColumn("e", power_of_two(F.col("v")))
+    rows = rows.select("id", F.transform("v", lambda x: x * F.pow(F.lit(2.0), F.col("e").cast("double")) + F.lit(0.0)).alias("v"))
     vert = written(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")).withColumn("dim", F.size("v")), "vertices")
     count, links, comp = vert.count(), None, None
     if count:

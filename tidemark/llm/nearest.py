@@ -1,34 +1,40 @@
 """Operator 1: exact nearest neighbours by a block matrix join over int8 tiles.
 
-Vectors are quantised to int8 with a scale each; e is the exact length of what quantising lost.
-Queries and candidates are dealt into blocks, a task gets one block of each. The integer product of
-the two tiles gives the distance of the quantised vectors, which is within e_q + e_c of the true
-one. Candidates whose lower bound passes the k-th smallest upper bound of a query can't be among
-its k nearest; the others are recomputed in double precision on the original vectors. Each task
-returns the k best of a query, a heap merges them over the blocks: the result is exact.
-
-Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do pairs
-of different lengths. Ties go to the smaller vec_id; repeated rows are candidates each, but a
-query is never matched with rows of its own vec_id, and rows of one query id are one query (the
-smallest vector). Null ids take no part. Other columns are not read.
+Every vector is quantised once: int8 codes, a scale (times a power of two, so that no norm overflows
+or vanishes), the length of the codes and e, the length of what quantising lost. Queries and
+candidates are dealt into blocks and a task gets the codes of one block of each, an eighth of the
+original vectors. The integer product of the tiles gives the distance of the quantised vectors,
+which is within e_q + e_c (and the rounding of the product) of the true one. Candidates whose lower
+bound passes the k-th smallest upper bound of a query can't be among its k nearest: first within a
+block, then over all blocks. Only the survivors are joined with their original vectors and computed in
+double precision; a heap keeps the k best of a query. The result is exact.
+
+Distances are those of the plain formula, or of the same formula on scaled vectors where its squares
+overflow or vanish. Vectors that are null, empty, zero or hold null or non-finite components take no
+part, nor do pairs of different lengths. Ties go to the smaller vec_id; repeated rows are candidates
+each, but a query is never matched with rows of its own vec_id, and rows of one query id are one query
+(the smallest vector). Null ids take no part. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped_stream
+from .common import grouped_stream, written
 
 QUERY_BLOCK = 4096
-CANDIDATE_BLOCK = 4096
+CANDIDATE_BLOCK = 16384
 #: Query rows of a tile whose products are held at once.
 TILE = 128
+#: Rounding of a squared distance of quantised vectors, as a share of the squared lengths.
+ROUNDING = 1e-14
 
 
 def usable(v: str) -> Column:
@@ -38,6 +44,11 @@ def usable(v: str) -> Column:
     return F.coalesce(x.isNotNull() & ~bad & F.exists(x, lambda a: a != 0), F.lit(False))
 
 
+def power_of_two(v: Column) -> Column:
+    """Minus the exponent of the largest component: vectors times 2 ** it have components of about 1."""
+    return F.least(F.lit(1000), F.greatest(F.lit(-1000), -F.floor(F.log2(F.array_max(F.transform(v, F.abs)))).cast("int")))
+
+
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, scales and the lengths of the residuals."""
     scale = np.abs(x).max(axis=1) / 127.0
@@ -50,36 +61,45 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of paired rows, summed in the order of the components."""
     total = np.zeros(len(a))
-    for d in range(a.shape[1]):
-        diff = a[:, d] - b[:, d]
-        total += diff * diff
-    return np.sqrt(total)
-
-
-def tile_search(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """The k nearest of each query within one block."""
-    qc, qs, qe = quantise(q)
-    cc, cs, ce = quantise(c)
-    qn, cn = (qs**2) * (qc.astype(np.int32) ** 2).sum(axis=1), (cs**2) * (cc.astype(np.int32) ** 2).sum(axis=1)
-    ccf = cc.astype(np.float32).T  # products of int8 up to 1000 components are exact in float32
+    with np.errstate(over="ignore", under="ignore"):
+        for d in range(a.shape[1]):
+            diff = a[:, d] - b[:, d]
+            total += diff * diff
+        out = np.sqrt(total)
+        odd = np.flatnonzero(~np.isfinite(total) | (total < 1e-280))
+        if len(odd):  # the squares overflow or lose digits
+            diff = np.abs(a[odd] - b[odd])
+            top = diff.max(axis=1)
+            unit = diff / np.where((top > 0) & np.isfinite(top), top, 1)[:, None]
+            out[odd] = np.where(top > 0, top * np.sqrt((unit**2).sum(axis=1)), 0)
+    return out
+
+
+def bounds(q: tuple, c: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the distances of quantised vectors (code, scale, lost, exponent); exponents are alike for all."""
+    (qc, qs, qe), (cc, cs, ce) = q, c
+    exact = np.float32 if qc.shape[1] <= 1000 else np.float64  # sums of products of int8 stay whole numbers
+    dot = (qc.astype(exact) @ cc.astype(exact).T).astype(np.float64)
+    both = ((qs**2) * (qc.astype(np.int32) ** 2).sum(axis=1))[:, None] + ((cs**2) * (cc.astype(np.int32) ** 2).sum(axis=1))[None, :]
+    square = both - 2.0 * dot * (qs[:, None] * cs[None, :])
+    lost = (qe[:, None] + ce[None, :]) * (1 + 1e-12)
+    low = np.sqrt(np.maximum(0.0, square - ROUNDING * both)) * (1 - 1e-12) - lost
+    high = np.sqrt(np.maximum(0.0, square + ROUNDING * both)) * (1 + 1e-12) + lost
+    return np.maximum(low, 0.0), high
+
+
+def survivors(q_id: np.ndarray, q: tuple, c_id: np.ndarray, c: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, lower, upper) of one tile: row numbers and bounds of those that may be among the k nearest."""
     out = []
-    for at in range(0, len(q), TILE):
+    for at in range(0, len(q_id), TILE):
         part = slice(at, at + TILE)
-        dot = (qc[part].astype(np.float32) @ ccf).astype(np.float64) if q.shape[1] <= 1000 else (qc[part].astype(np.float64) @ cc.T.astype(np.float64))
-        near = np.sqrt(np.maximum(0.0, qn[part, None] + cn[None, :] - 2.0 * dot * qs[part, None] * cs[None, :]))
-        slack = (qe[part, None] + ce[None, :]) * (1 + 1e-9) + 1e-9 * (1 + near)
+        low, high = bounds(tuple(x[part] for x in q), c)
         own = q_id[part, None] == c_id[None, :]
-        upper = np.where(own, np.inf, near + slack)
-        last = min(k, upper.shape[1]) - 1
-        bound = np.partition(upper, last, axis=1)[:, last]
-        rows, cols = np.nonzero((near - slack <= bound[:, None]) & ~own)
-        exact = distances(q[rows + at], c[cols])
-        order = np.lexsort((c_id[cols], exact, rows))
-        rows, cols, exact = rows[order], cols[order], exact[order]
-        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        for r, col, e in zip(rows[rank < k], cols[rank < k], exact[rank < k], strict=True):
-            out.append((int(q_id[at + r]), int(c_id[col]), float(e)))
-    return out
+        high[own] = np.inf
+        bound = np.partition(high, min(k, high.shape[1]) - 1, axis=1)[:, min(k, high.shape[1]) - 1]
+        rows, cols = np.nonzero((low <= bound[:, None]) & ~own)
+        out.append((rows + at, cols, low[rows, cols], high[rows, cols]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -88,36 +108,66 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1).astype(np.float64)
 
 
+def coded(vectors: DataFrame) -> DataFrame:
+    """(uid, id, dim, exp, code, scale, lost) of vectors (uid, id, v): all that the tiles need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, exps = batch.column("dim").to_numpy(), batch.column("exp").to_numpy()
+            for d in np.unique(dims):
+                sel = np.flatnonzero(dims == d)
+                part = batch.take(pa.array(sel))
+                code, scale, lost = quantise(np.ldexp(matrix(part.column("v")), exps[sel][:, None]))
+                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("id"), part.column("dim"), part.column("exp"), pa.array([r.tobytes() for r in code], pa.binary()), pa.array(scale), pa.array(lost)], ["uid", "id", "dim", "exp", "code", "scale", "lost"])
+
+    rows = vectors.select("uid", "id", F.size("v").alias("dim"), power_of_two(F.col("v")).alias("exp"), "v")
+    return rows.mapInArrow(run, "uid long, id long, dim int, exp int, code binary, scale double, lost double")
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 10, *, key: str = "vec_id", vector: str = "embedding", query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest rows with another id."""
-    keep = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v")).withColumn("dim", F.size("v"))
-    q, c = keep(queries), keep(vectors)
-    q = q.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    keep = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v"))
+    # uid tells rows of one id apart; it is fixed by writing it
+    c = written(keep(vectors).select(F.monotonically_increasing_id().alias("uid"), "id", "v"), "candidates")
+    q = keep(queries).groupBy("id").agg(F.min("v").alias("v")).select(F.col("id").alias("uid"), "id", "v")
     n_q, n_c = q.count(), c.count()
     q_blocks, c_blocks = max(1, math.ceil(n_q / query_block)), max(1, math.ceil(n_c / candidate_block))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.withColumn("qb", block(q_blocks)).withColumn("cb", every(c_blocks)).withColumn("side", F.lit(0))
-    right = c.withColumn("cb", block(c_blocks)).withColumn("qb", every(q_blocks)).withColumn("side", F.lit(1))
-    tiles = left.unionByName(right)
+    left = coded(q).withColumn("qb", block(q_blocks)).withColumn("cb", every(c_blocks)).withColumn("side", F.lit(0))
+    right = coded(c).withColumn("cb", block(c_blocks)).withColumn("qb", every(q_blocks)).withColumn("side", F.lit(1))
 
     def search(t: pa.Table) -> pa.Table | None:
         side = t.column("side").to_numpy()
         if not (0 < side.sum() < len(side)):
             return None
-        ids, m = t.column("id").to_numpy(), matrix(t.column("v"))
-        found = tile_search(ids[side == 0], m[side == 0], ids[side == 1], m[side == 1], k)
-        if not found:
-            return None
-        a, b, s = zip(*found, strict=True)
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    best = grouped_stream(tiles, ["dim", "qb", "cb"], search, "query_id long, vec_id long, score double")
+        code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.int8).reshape(len(side), -1)
+        # lengths in the unit of the largest vector; what vanishes there has bounds of 0 and survives
+        exp = t.column("exp").to_numpy()
+        scale, lost = (np.ldexp(t.column(x).to_numpy(), exp.min() - exp) for x in ("scale", "lost"))
+        ids, uid = t.column("id").to_numpy(), t.column("uid").to_numpy()
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        r, s, low, high = survivors(ids[a], (code[a], scale[a], lost[a]), ids[b], (code[b], scale[b], lost[b]), k)
+        unit = np.full(len(r), int(exp.min()), np.int32)
+        return pa.table({"query_id": pa.array(ids[a][r]), "uid": pa.array(uid[b][s]), "exp": pa.array(unit), "low": pa.array(low), "high": pa.array(high)}) if len(r) else None
+
+    found = grouped_stream(left.unionByName(right), ["dim", "qb", "cb"], search, "query_id long, uid long, exp int, low double, high double")
+
+    def overall(t: pa.Table) -> pa.Table:
+        # bounds of different blocks in one unit; powers of two, so nothing is rounded but what vanishes
+        exp = t.column("exp").to_numpy()
+        low, high = (np.ldexp(t.column(x).to_numpy(), exp.min() - exp) for x in ("low", "high"))
+        bound = np.partition(high, min(k, len(high)) - 1)[min(k, len(high)) - 1]
+        return t.select(["query_id", "uid"]).filter(pa.array(low <= bound))
+
+    best = grouped_stream(found, ["query_id"], overall, "query_id long, uid long")
+    pairs = best.join(c.select("uid", F.col("id").alias("vec_id"), F.col("v").alias("b")), "uid").join(q.select(F.col("id").alias("query_id"), F.col("v").alias("a")), "query_id")
 
     def merge(t: pa.Table) -> pa.Table:
-        rows = heapq.nsmallest(k, zip(t.column("score").to_pylist(), t.column("vec_id").to_pylist(), strict=True))
+        score = distances(matrix(t.column("a")), matrix(t.column("b")))
+        rows = heapq.nsmallest(k, zip(score.tolist(), t.column("vec_id").to_pylist(), strict=True))
         s, v = zip(*rows, strict=True)
         n = len(rows)
         return pa.table({"query_id": pa.array(t.column("query_id").to_pylist()[:1] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    return grouped_stream(best, ["query_id"], merge, "query_id long, rank int, vec_id long, score double")
+    return grouped_stream(pairs, ["query_id"], merge, "query_id long, rank int, vec_id long, score double")
