@@ -3,13 +3,21 @@
 A piece of text is an element (head, ids, tail): head and tail are the text at its two open edges,
 ids are the tokens between them, which no neighbour can change any more. Two neighbours are joined
 by encoding the window tail + head between them; if that window holds no stable place it stays
-open and grows with the next join. A place is stable where a white-space character follows another
-character: no match of the split pattern runs over such a place, and no look-ahead crosses it, so
-the tokens on both sides are final. A long text is halved recursively down to leaves, and the
-elements are joined up the tree; the decoder concatenates bytes up the same kind of tree.
-
-Nulls and empty texts have no tokens (the digests are those of the empty string). Repeated rows
-give repeated rows. Other columns are not read.
+open and grows with the next join. A place is stable where the split pattern has a border whatever
+stands further off: before white space behind another character, before the last of several white
+spaces, and between letters, digits and signs (not behind an apostrophe, which may start a
+contraction). Every text is halved recursively down to leaves of LEAF characters, and the elements
+are joined up the tree; the decoder concatenates bytes up the same kind of tree.
+
+A match of the pattern longer than a leaf (a run of letters, say) is reduced by a tree over its bytes:
+two halves are encoded apart and joined by encoding a window of tokens around the seam again, which
+grows until its first and last token stand next to their neighbours as they would if only these two
+were encoded. A row of tokens in which that holds for all neighbours is the encoding of the whole, so
+the tokens outside the window are then final.
+
+Nulls and empty texts have no tokens (the digests are those of the empty string). Repeated rows and
+rows with null ids give rows like others, an empty table none; memory is that of one text and its ids.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,10 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a leaf; a text up to this length is one leaf.
-LEAF = 1 << 15
-#: White space after a character that isn't: a subset of the places that no match can cross.
-STABLE = re.compile(r"(?<=\S)[ \n]")
+#: Characters (or bytes, or ids to decode) of a leaf.
+LEAF = 512
+#: Some letters and signs, of which every version of Unicode says that they are such.
+LETTER, SIGN = "A-Za-zà-öø-ÿ\u0430-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3", "!-&(-/:-@\\[-`{-~\u2013\u2014\u3001\u3002\uff0c"
+SOLID = LETTER + SIGN + "0-9'"
+#: Stable places; a subset of those that there are.
+STABLE = re.compile(rf"(?<=\S)(?=[ \n])|(?<=[ \n])(?=[ \n][{SOLID}])|(?<=[{LETTER}])(?=[{SIGN}0-9'])|(?<=[0-9])(?=[{LETTER}{SIGN}'])|(?<=[{SIGN}'])(?=[0-9])|(?<=[{SIGN}])(?=[{LETTER}])")
+#: Texts that are one match of the pattern.
+ONE_MATCH = re.compile(rf" ?(?:[{LETTER}]+|[0-9]+|[{SIGN}]+)|[ \n]+")
 
 
 @lru_cache(maxsize=4)
@@ -53,47 +66,77 @@ class Element:
         self.head, self.ids, self.tail = head, ids, tail
 
 
-def leaf(text: str, encode) -> Element:
-    first = STABLE.search(text)
-    if not first:
-        return Element(text)
-    start = first.start()
-    last = max(text.rfind(" "), text.rfind("\n"))
-    while last > start and not STABLE.match(text, last):
-        last = max(text.rfind(" ", 0, last), text.rfind("\n", 0, last))
-    return Element(text[:start], encode(text[start:last]), text[last:])
-
-
-def join(a: Element, b: Element, encode) -> Element:
-    window = (a.head if a.ids is None else a.tail) + b.head
-    # the window may hold the first stable place: at the seam itself
-    inner = leaf(window, encode)
-    if a.ids is None and b.ids is None:
-        return inner
-    if a.ids is None:
-        if inner.ids is None:
-            return Element(window, b.ids, b.tail)
-        return Element(inner.head, inner.ids + encode(inner.tail) + b.ids, b.tail)
-    if b.ids is None:
+class Coder:
+    """The tree over an encoding, with leaves of `size`."""
+
+    def __init__(self, enc, words: list[bytes], size: int = LEAF):
+        self.enc, self.words, self.size = enc, words, size
+
+    def encode(self, text: str) -> list[int]:
+        """A window between stable places: by a tree over its bytes if it is one long match."""
+        if len(text) > self.size and ONE_MATCH.fullmatch(text):
+            return self.run(text.encode())
+        return self.enc.encode_ordinary(text)
+
+    def leaf(self, text: str) -> Element:
+        first = STABLE.search(text)
+        if not first:
+            return Element(text)
+        start = last = first.start()
+        back = 32
+        while True:  # the last stable place: looked for from the end
+            at = max(start, len(text) - back)
+            found = [m.start() for m in STABLE.finditer(text, at)]
+            if found or at == start:
+                last = max([last, *found])
+                return Element(text[:start], self.encode(text[start:last]), text[last:])
+            back *= 4
+
+    def join(self, a: Element, b: Element) -> Element:
+        if a.ids is not None and b.ids is not None:
+            return Element(a.head, a.ids + self.encode(a.tail + b.head) + b.ids, b.tail)
+        # an open element: the window may hold the first stable place, at the seam itself
+        inner = self.leaf((a.head if a.ids is None else a.tail) + b.head)
         if inner.ids is None:
-            return Element(a.head, a.ids, window)
-        return Element(a.head, a.ids + encode(inner.head) + inner.ids, inner.tail)
-    return Element(a.head, a.ids + encode(window) + b.ids, b.tail)
-
-
-def reduce_tree(text: str, encode, size: int = LEAF) -> Element:
-    if len(text) <= size:
-        return leaf(text, encode)
-    half = len(text) // 2
-    return join(reduce_tree(text[:half], encode, size), reduce_tree(text[half:], encode, size), encode)
-
+            if a.ids is None:
+                return inner if b.ids is None else Element(inner.head, b.ids, b.tail)
+            return Element(a.head, a.ids, inner.head)
+        if a.ids is not None:
+            return Element(a.head, a.ids + self.encode(inner.head) + inner.ids, inner.tail)
+        if b.ids is not None:
+            return Element(inner.head, inner.ids + self.encode(inner.tail) + b.ids, b.tail)
+        return inner
 
-def encode_text(text: str, encode, size: int = LEAF) -> list[int]:
-    """The ids of a whole text."""
-    if len(text) <= size:
-        return encode(text)
-    e = reduce_tree(text, encode, size)
-    return encode(e.head) if e.ids is None else encode(e.head) + e.ids + encode(e.tail)
+    def reduce(self, text: str) -> Element:
+        if len(text) <= self.size:
+            return self.leaf(text)
+        half = len(text) // 2
+        return self.join(self.reduce(text[:half]), self.reduce(text[half:]))
+
+    def text(self, text: str) -> list[int]:
+        """The ids of a whole text."""
+        e = self.reduce(text)
+        return self.encode(e.head) if e.ids is None else self.encode(e.head) + e.ids + self.encode(e.tail)
+
+    def apart(self, a: int, b: int) -> bool:
+        """Whether two tokens are the encoding of their bytes together."""
+        return self.enc._encode_single_piece(self.words[a] + self.words[b]) == [a, b]
+
+    def run(self, raw: bytes) -> list[int]:
+        """The ids of one match of the pattern."""
+        if len(raw) <= self.size:
+            return self.enc._encode_single_piece(raw) if raw else []
+        half = len(raw) // 2
+        a, b = self.run(raw[:half]), self.run(raw[half:])
+        i = j = 1
+        while True:
+            i, j = min(i, len(a)), min(j, len(b))
+            window = self.enc._encode_single_piece(b"".join([self.words[x] for x in a[len(a) - i :] + b[:j]]))
+            left = i == len(a) or self.apart(a[-i - 1], window[0])
+            right = j == len(b) or self.apart(window[-1], b[j])
+            if left and right:
+                return a[: len(a) - i] + window + b[j:]
+            i, j = (i if left else 2 * i), (j if right else 2 * j)
 
 
 def decode_tree(ids: list[int], words: list[bytes], size: int = LEAF) -> bytes:
@@ -115,10 +158,11 @@ def round_trip(docs: DataFrame, vocab: str, pattern: str, *, key: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, words, names = encoder(vocab, pattern)
+        coder = Coder(enc, words)
         for batch in batches:
             counts, left, right, kept = [], [], [], []
             for t in batch.column("t").to_pylist():
-                ids = encode_text(t, enc.encode_ordinary)
+                ids = coder.text(t)
                 counts.append(len(ids))
                 left.append(ids_digest(ids, names))
                 right.append(hashlib.sha256(decode_tree(ids, words)).hexdigest())
