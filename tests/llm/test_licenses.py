@@ -53,3 +53,44 @@ def test_automaton_gives_longest_runs():
     assert [g[:2] for g in got] == want
     for start, size, state in got:
         assert auto.ends[state] == has(text[start : start + size])
+
+
+def test_inserted_words_are_bridged(spark):
+    texts = [
+        "permission to use copy modify and or distribute this software and or for any purpose with or without fee",
+        "under the terms of the gnu affero of the general public license as published by the free software foundation",
+        "licensed under the one two three four five six apache license version 2 0",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (0, texts[0])], "doc_id long, text string")
+    rows = licenses.scan(df).collect()
+    assert sorted(r["labels"] for r in rows) == ["agpl,gpl", "apache-2.0", "isc", "isc", "isc"]
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_chains_against_all_chains():
+    rng = random.Random(4)
+
+    def slow(anchors):
+        best = 0
+        order = sorted(anchors)
+
+        def go(last, at, covered):
+            nonlocal best
+            best = max(best, covered)
+            for i in range(at, len(order)):
+                t, p, n = order[i]
+                skip = max(0, last[0] - t, last[1] - p)
+                if skip < n and t + skip - last[0] <= licenses.GAP:
+                    go((t + n, p + n), i + 1, covered + n - skip)
+
+        for i, (t, p, n) in enumerate(order):
+            go((t + n, p + n), i + 1, n)
+        return best
+
+    for _ in range(300):
+        anchors = list({(rng.randrange(30), rng.randrange(20), rng.randint(2, 6)) for _ in range(rng.randint(1, 8))})
+        found = licenses.chains(anchors, 0)
+        assert found[0][2] == slow(anchors)
+        spans = sorted(f[:2] for f in found)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+        assert all(f[2] >= found[0][2] for f in licenses.chains(anchors, found[0][2]))

@@ -3,12 +3,15 @@
 The automaton holds every run of words of all templates. A text is streamed through it: at each
 word it gives the length of the longest run ending there that some template holds (the matching
 statistic). Where a run can't grow, it is an anchor; the anchors of a template are chained in the
-order of both text and template, and the words that a chain covers make a span. A template is found
-if a chain covers enough of it, so notices with changed or missing words are found too.
+order of both text and template, and the words that a chain covers make a span. Of all chains ending
+in an anchor the best is kept (dynamic programming), so inserted words that stand elsewhere in the
+template don't break it. A template is found if a chain covers enough of it, so notices with changed,
+missing or inserted words are found too.
 
 Besides, three base phrases are counted word by word. Words are maximal runs of a-z, 0-9 and
 characters beyond ASCII after lower-casing A-Z. Nulls and empty texts have no words: counts 0, no
-labels, score 0, null positions. Repeated rows give repeated rows; other columns are not read.
+labels, score 0, null positions. Repeated rows and null ids give rows like others, an empty table
+none. A very long text is scanned whole; only its anchors are held besides. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -49,6 +52,28 @@ TEMPLATES = [
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("made available under the terms of the eclipse public license", "epl"),
+    ("distributed under the boost software license version 1 0", "bsl"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+        " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
+        " subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "mit",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "isc",
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above"
+        " copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"
+        " in the documentation and or other materials provided with the distribution",
+        "bsd",
+    ),
+    (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone"
+        " to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        "zlib",
+    ),
 ]
 #: A chain may skip so many words of the text between two anchors.
 GAP = 6
@@ -171,24 +196,39 @@ class Scanner:
                         anchors.setdefault(number, []).append((at + start, end - size + 1, size))
         found = []
         for number, list_ in anchors.items():
-            need, chain = len(seqs[number]), None
-            best: list[tuple[int, int, int]] = []
-            for text, place, size in sorted(list_):
-                if chain:
-                    first, text_end, place_end, covered = chain
-                    skip = max(0, text_end - text, place_end - place)  # words that the chain has already
-                    if skip < size and text + skip - text_end <= GAP and place >= place_end - skip and place + size > place_end:
-                        chain = (first, text + size, place + size, covered + size - skip)
-                        best[-1] = (first, text + size, chain[3])
-                        continue
-                chain = (text, text + size, place + size, size)
-                best.append((text, text + size, size))
-            for first, end, covered in best:
-                if covered >= COVER * need:
-                    found.append((self.templates[number][1], first, end - 1, covered / need))
+            need = len(seqs[number])
+            for first, end, covered in chains(list_, COVER * need):
+                found.append((self.templates[number][1], first, end - 1, covered / need))
         return found
 
 
+def chains(anchors: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
+    """(first word, end, words covered) of chains of (text place, template place, size), the best first, that
+    don't overlap in the text and cover at least so much. Neighbours in a chain are at most GAP words
+    of the text apart; what both cover counts once."""
+    anchors = sorted(anchors)
+    best: list[tuple[int, int]] = []  # words covered by the best chain that ends in an anchor, and where it begins
+    open_: list[int] = []  # anchors that a later one may still follow
+    for i, (text, place, size) in enumerate(anchors):
+        open_ = [j for j in open_ if anchors[j][0] + anchors[j][2] + GAP >= text]
+        top = (size, -text)
+        for j in open_:
+            t, p, n = anchors[j]
+            skip = max(0, t + n - text, p + n - place)  # words that the chain has already
+            if skip < size and text + skip - (t + n) <= GAP:
+                top = max(top, (best[j][0] + size - skip, best[j][1]))
+        best.append(top)
+        open_.append(i)
+    out: list[tuple[int, int, int]] = []
+    for i in sorted(range(len(anchors)), key=lambda i: (-best[i][0], anchors[i])):
+        covered, first, end = best[i][0], -best[i][1], anchors[i][0] + anchors[i][2]
+        if covered < least:
+            break
+        if all(end <= a or first >= b for a, b, _ in out):
+            out.append((first, end, covered))
+    return out
+
+
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates=tuple(TEMPLATES), base=None) -> DataFrame:
     """One row a document: counts of base phrases, labels, the best cover as score, and the spans."""
     base = dict(BASE if base is None else base)
