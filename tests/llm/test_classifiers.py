@@ -130,3 +130,83 @@ def test_held_out_labels_are_not_learned(spark):
     a = toxicity.fit_toxicity(docs, spark.createDataFrame([(int(i), int(y)) for i, y in zip(corpus["id"], corpus["y"])], "doc_id long, toxic int"))
     b = toxicity.fit_toxicity(docs, spark.createDataFrame([(int(i), int(flip(i, y))) for i, y in zip(corpus["id"], corpus["y"])], "doc_id long, toxic int"))
     assert np.array_equal(a.document, b.document) and a.landmarks.strings == b.landmarks.strings
+
+
+def test_forward_is_a_plain_convolution():
+    rng = np.random.default_rng(2)
+    net = quality.Network(3)
+    net.w["bias"] += rng.normal(size=quality.FILTERS).astype("f4") * 0.1
+    raws = [b"", b"ab", bytes(rng.integers(1, 255, 700).tolist()), b"abc " * 400]
+
+    def slow(raw):
+        h = []
+        n = max(1, -(-max(0, len(raw) - 64) // quality.STRIDE))
+        for i in range(n):
+            chunk = raw[i * quality.STRIDE : i * quality.STRIDE + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            length = min(max(len(raw) - i * quality.STRIDE, 1), quality.CHUNK)
+            wide = chunk + b"\0" * quality.WIDTH
+            z = np.array([sum(net.w["table"][k][wide[j + k]] for k in range(quality.WIDTH)) for j in range(quality.CHUNK)])
+            blocks = -(-length // quality.BLOCK)
+            pool = np.array([np.maximum(z[b * quality.BLOCK : (b + 1) * quality.BLOCK].max(axis=0) + net.w["bias"], 0) for b in range(blocks)])
+            x = np.frombuffer(chunk, np.uint8)[None]
+            v = np.concatenate([pool.max(axis=0), pool.sum(axis=0) / blocks, quality.repeats(x, np.array([length]))[0]])
+            h.append(np.maximum(v @ net.w["hidden"] + net.w["hidden_bias"], 0))
+        d = np.concatenate([np.max(h, axis=0), np.mean(h, axis=0)])
+        return 1 / (1 + np.exp(-(d @ net.w["out"] + net.w["out_bias"][0])))
+
+    assert np.allclose(net.score(raws), [slow(r) for r in raws], atol=1e-4)
+
+
+def test_gradients_are_differences():
+    # bytes without repetition, so that no two places are the largest
+    raws = [bytes(np.random.default_rng(n).integers(1, 255, n).tolist()) for n in (900, 160, 25)]
+    net = quality.Network(5)
+    for k in net.w:
+        net.w[k] = net.w[k].astype(np.float64)
+    xs = [quality.chunks_of(r) for r in raws]
+    ls = [quality.lengths_of(r, len(x)) for r, x in zip(raws, xs, strict=True)]
+    count, y, weight = np.array([len(x) for x in xs]), np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    x, length = np.concatenate(xs), np.concatenate(ls)
+    r = quality.repeats(x, length)
+
+    def loss():
+        if hasattr(net, "pairs"):
+            del net.pairs
+        v = net.chunk_features(x, length, r)[0].astype(np.float64)
+        h = np.maximum(v @ net.w["hidden"] + net.w["hidden_bias"], 0)
+        p = 1 / (1 + np.exp(-net.logits(h, np.concatenate([[0], np.cumsum(count)[:-1]]))))
+        return float((-(y * np.log(p) + (1 - y) * np.log(1 - p)) * weight).mean())
+
+    grad = quality.gradients(net, x, length, r, count, y, weight)
+    rng = np.random.default_rng(1)
+    for k in net.w:
+        flat, g = net.w[k].reshape(-1), np.asarray(grad[k]).reshape(-1)
+        busy = np.flatnonzero(np.abs(g) > np.abs(g).max() * 0.2)
+        for i in rng.choice(busy, min(5, len(busy)), replace=False):
+            old, step = flat[i], 2e-4
+            flat[i] = old + step
+            up = loss()
+            flat[i] = old - step
+            down = loss()
+            flat[i] = old
+            assert abs((up - down) / (2 * step) - g[i]) < 0.05 * abs(g[i]) + 1e-3, (k, i)
+
+
+def test_each_round_takes_every_document_once():
+    counts = np.array([1, 600, 3, 40, 500, 9, 13, 1])
+    seen = []
+    for b in quality.batches_of(counts, np.random.default_rng(0)):
+        assert len(b) == 1 or len(b) <= quality.BATCH and counts[b].sum() <= quality.BATCH_CHUNKS
+        seen += b.tolist()
+        if len(seen) >= 16:
+            break
+    assert sorted(seen[:8]) == sorted(seen[8:16]) == list(range(8))
+
+
+def test_quality_of_held_out_labels_is_not_learned(spark):
+    corpus = poor_corpus(120, 5)
+    docs = spark.createDataFrame([(int(i), t) for i, t in zip(corpus["id"], corpus["text"])], "doc_id long, text string")
+    pairs = [(int(i), int(y)) for i, y in zip(corpus["id"], corpus["y"])]
+    flip = [(i, 1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, y in pairs]
+    a, b = (quality.fit_quality(docs, spark.createDataFrame(p, "doc_id long, quality int")) for p in (pairs, flip))
+    assert all(np.array_equal(a.w[k], b.w[k]) for k in a.w)

@@ -7,10 +7,11 @@ mark bytes which repeat the bytes before them with some period (repetition is no
 filters alone don't see it). A hidden layer makes a chunk's features, the largest and the mean over
 all chunks make a document's, and a logistic unit gives one probability.
 
-The network is fitted on the driver with at most PER_CLASS labelled documents of each label and at
-most TRAIN_CHUNKS chunks of each of them; scores use every byte of every text. Null and empty texts
-are one empty chunk. Repeated rows get equal scores. With no labels of both kinds to learn from every
-score is the only label's, or 1 with none. Other columns are not read.
+The network is fitted on the driver with at most PER_CLASS labelled documents of each label, on all
+chunks of them, in the same number of steps whatever their number; scores use every byte of every text.
+Null and empty texts are one empty chunk; a very long text is worked off in groups of chunks. Repeated
+rows get equal scores, rows with a null id one like others, an empty table none. With no labels of both
+kinds to learn from every score is the only label's, or 1 with none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ CHUNK, STRIDE, BLOCK = 512, 448, 32
 WIDTH, FILTERS, HIDDEN = 4, 16, 24
 #: Periods whose repetition a plane marks.
 PERIODS = [(2, 3, 4), (5, 6, 7, 8, 9), (10, 11, 12, 13, 14, 15, 16)]
-PER_CLASS, TRAIN_CHUNKS = 2500, 8
-EPOCHS, BATCH, RATE = 14, 48, 4e-3
+PER_CLASS = 2500
+#: Steps of the training, documents and (but for one document that has more) chunks of a step.
+STEPS, BATCH, BATCH_CHUNKS, RATE = 800, 32, 256, 4e-3
 CUT = 0.3
 
 
@@ -136,61 +138,70 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(np.concatenate(features), np.array(begin)).astype(np.float64), -30, 30)))
 
 
-def train(texts: list[bytes], y: np.ndarray, weight: np.ndarray, *, epochs: int = EPOCHS, seed: int = 11) -> Network:
+def batches_of(counts: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Endless batches of document numbers, each document once in a round, by the batch bounds."""
+    while True:
+        order = rng.permutation(len(counts))
+        at = 0
+        while at < len(order):
+            to = at + int(np.searchsorted(np.cumsum(counts[order[at : at + BATCH]]), BATCH_CHUNKS, side="right"))
+            to = max(to, at + 1)
+            yield order[at:to]
+            at = to
+
+
+def gradients(net: Network, x: np.ndarray, length: np.ndarray, r: np.ndarray, count: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean weighted log loss of documents of count chunks each."""
+    begin = np.concatenate([[0], np.cumsum(count)[:-1]])
+    if hasattr(net, "pairs"):
+        del net.pairs
+    v, pool, where, blocks = net.chunk_features(x, length, r, places=True)
+    pre = v @ net.w["hidden"] + net.w["hidden_bias"]
+    h = np.maximum(pre, 0)
+    top = np.maximum.reduceat(h, begin, axis=0)
+    mean = np.add.reduceat(h, begin, axis=0) / count[:, None]
+    p = 1 / (1 + np.exp(-np.clip(np.concatenate([top, mean], axis=1) @ net.w["out"] + net.w["out_bias"][0], -30, 30)))
+    g = ((p - y) * weight / len(count)).astype(np.float32)
+    grad = {"out": np.concatenate([top, mean], axis=1).T @ g, "out_bias": g.sum(keepdims=True)}
+    doc = np.repeat(np.arange(len(count)), count)
+    gt = (g[:, None] * net.w["out"][None, :HIDDEN])[doc]
+    gm = (g[:, None] * net.w["out"][None, HIDDEN:])[doc] / count[doc][:, None]
+    gh = ((h == top[doc]) * gt + gm) * (pre > 0)
+    grad["hidden"] = v.T @ gh
+    grad["hidden_bias"] = gh.sum(axis=0)
+    gv = gh @ net.w["hidden"].T
+    # a block's largest response passes the gradient on to its place
+    gp = np.repeat((gv[:, FILTERS : 2 * FILTERS] / blocks[:, None])[:, None, :], pool.shape[1], axis=1)
+    gp[np.arange(len(x))[:, None], pool.argmax(axis=1), np.arange(FILTERS)[None, :]] += gv[:, :FILTERS]
+    gp *= pool > 0
+    grad["bias"] = gp.sum(axis=(0, 1))
+    c, b, f = np.nonzero(gp)
+    place = where[c, b, f] + b * BLOCK
+    table = np.zeros_like(net.w["table"])
+    padded = np.pad(x, ((0, 0), (0, WIDTH)))
+    for k in range(WIDTH):
+        table[k] = np.bincount(padded[c, place + k].astype(np.int64) * FILTERS + f, gp[c, b, f], 256 * FILTERS).reshape(256, FILTERS)
+    grad["table"] = table
+    return grad
+
+
+def train(texts: list[bytes], y: np.ndarray, weight: np.ndarray, *, steps: int = STEPS, seed: int = 11) -> Network:
     net, rng = Network(seed), np.random.default_rng(seed)
-    xs, ls = [], []
-    for raw in texts:
-        x = chunks_of(raw)
-        length = lengths_of(raw, len(x))
-        pick = np.unique(np.linspace(0, len(x) - 1, min(len(x), TRAIN_CHUNKS)).astype(int))
-        xs.append(x[pick])
-        ls.append(length[pick])
+    xs = [chunks_of(raw) for raw in texts]
+    ls = [lengths_of(raw, len(x)) for raw, x in zip(texts, xs, strict=True)]
     rep = [repeats(x, n) for x, n in zip(xs, ls, strict=True)]
+    counts = np.array([len(x) for x in xs])
     first = {k: np.zeros_like(v) for k, v in net.w.items()}
     second = {k: np.zeros_like(v) for k, v in net.w.items()}
-    step = 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(xs))
-        rate = RATE * (1 - 0.9 * epoch / epochs)
-        for at in range(0, len(order), BATCH):
-            own = order[at : at + BATCH]
-            x, length, r = (np.concatenate([part[i] for i in own]) for part in (xs, ls, rep))
-            count = np.array([len(xs[i]) for i in own])
-            begin = np.concatenate([[0], np.cumsum(count)[:-1]])
-            if hasattr(net, "pairs"):
-                del net.pairs
-            v, pool, where, blocks = net.chunk_features(x, length, r, places=True)
-            pre = v @ net.w["hidden"] + net.w["hidden_bias"]
-            h = np.maximum(pre, 0)
-            top = np.maximum.reduceat(h, begin, axis=0)
-            mean = np.add.reduceat(h, begin, axis=0) / count[:, None]
-            p = 1 / (1 + np.exp(-np.clip(np.concatenate([top, mean], axis=1) @ net.w["out"] + net.w["out_bias"][0], -30, 30)))
-            g = ((p - y[own]) * weight[own] / len(own)).astype(np.float32)
-            grad = {"out": np.concatenate([top, mean], axis=1).T @ g + 1e-4 * net.w["out"], "out_bias": g.sum(keepdims=True)}
-            doc = np.repeat(np.arange(len(own)), count)
-            gt = (g[:, None] * net.w["out"][None, :HIDDEN])[doc]
-            gm = (g[:, None] * net.w["out"][None, HIDDEN:])[doc] / count[doc][:, None]
-            gh = ((h == top[doc]) * gt + gm) * (pre > 0)
-            grad["hidden"] = v.T @ gh + 1e-4 * net.w["hidden"]
-            grad["hidden_bias"] = gh.sum(axis=0)
-            gv = gh @ net.w["hidden"].T
-            # a block's largest response passes the gradient on to its place
-            gp = np.repeat((gv[:, FILTERS : 2 * FILTERS] / blocks[:, None])[:, None, :], pool.shape[1], axis=1)
-            gp[np.arange(len(x))[:, None], pool.argmax(axis=1), np.arange(FILTERS)[None, :]] += gv[:, :FILTERS]
-            gp *= pool > 0
-            grad["bias"] = gp.sum(axis=(0, 1))
-            c, b, f = np.nonzero(gp)
-            place = where[c, b, f] + b * BLOCK
-            table = np.zeros_like(net.w["table"])
-            padded = np.pad(x, ((0, 0), (0, WIDTH)))
-            for k in range(WIDTH):
-                table[k] = np.bincount(padded[c, place + k].astype(np.int64) * FILTERS + f, gp[c, b, f], 256 * FILTERS).reshape(256, FILTERS)
-            grad["table"] = table
-            step += 1
-            for k, w in net.w.items():
-                first[k] = 0.9 * first[k] + 0.1 * grad[k]
-                second[k] = 0.99 * second[k] + 0.01 * grad[k] ** 2
-                w -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    for step, own in zip(range(1, steps + 1), batches_of(counts, rng), strict=False):
+        rate = RATE * (1 - 0.9 * step / steps)
+        grad = gradients(net, *(np.concatenate([part[i] for i in own]) for part in (xs, ls, rep)), counts[own], y[own], weight[own])
+        for k in ("out", "hidden"):
+            grad[k] = grad[k] + 1e-4 * net.w[k]
+        for k, w in net.w.items():
+            first[k] = 0.9 * first[k] + 0.1 * grad[k]
+            second[k] = 0.99 * second[k] + 0.01 * grad[k] ** 2
+            w -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     if hasattr(net, "pairs"):
         del net.pairs
     return net
@@ -214,8 +225,7 @@ def fit(sample: pd.DataFrame, counts: dict[int, int] | None = None) -> Network |
     counts = counts or {0: int((y == 0).sum()), 1: int((y == 1).sum())}
     share = {v: counts[v] / (counts[0] + counts[1]) * len(y) / max(1, int((y == v).sum())) for v in (0, 1)}
     weight = np.where(y == 1, share[1], share[0])
-    few = len(y) < 600  # the same number of steps at least
-    return train([t.encode() for t in sample["text"]], y, weight, epochs=EPOCHS * (4 if few else 1))
+    return train([t.encode() for t in sample["text"]], y, weight)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Network | Constant:
