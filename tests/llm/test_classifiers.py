@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -210,3 +211,49 @@ def test_quality_of_held_out_labels_is_not_learned(spark):
     flip = [(i, 1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, y in pairs]
     a, b = (quality.fit_quality(docs, spark.createDataFrame(p, "doc_id long, quality int")) for p in (pairs, flip))
     assert all(np.array_equal(a.w[k], b.w[k]) for k in a.w)
+
+
+def test_scores_against_a_slow_version(toxic_model):
+    """Whole documents: sentences, kernels of every word, margins and the logistic unit, step by step."""
+    m = toxic_model
+    vector = {}
+
+    def features(s):
+        if s not in vector:
+            out = {}
+            for i in range(len(s)):
+                for j, k in toxicity.OFFSETS:
+                    if i + k < len(s):
+                        out[s[i], s[i + j], s[i + k]] = out.get((s[i], s[i + j], s[i + k]), 0) + toxicity.DECAY ** (k - 2)
+            size = sum(x * x for x in out.values()) ** 0.5
+            vector[s] = {t: x / size for t, x in out.items()} if size else {}
+        return vector[s]
+
+    def kernels(word):
+        a = features(f"^{toxicity.fold(word)}$")
+        k = np.array([sum(x * features(s).get(t, 0) for t, x in a.items()) for s in m.landmarks.strings])
+        return k if len(toxicity.fold(word)) > 1 and k[: m.toxic].max() >= toxicity.NEAR else None
+
+    def slow(text):
+        words, found = [], []
+        for sentence in re.split(r"(?<=[.!?])\s+|\n", text.lower()):
+            own = [k for w in sentence.split() if (k := kernels(w)) is not None]
+            words += own
+            if own:
+                found.append(np.max(own, axis=0) @ m.weights + m.bias)
+        mass = np.log1p(sum(1 / (1 + np.exp(-6 * (k @ m.weights + m.bias))) for k in words))
+        n = len(text.split())
+        top = np.maximum(sorted([*found, -9, -9, -9], reverse=True)[:3], toxicity.FLOOR)
+        x = np.array([*top, mass, mass - np.log1p(n / 100), np.log1p(n)])
+        return 1 / (1 + np.exp(-(x @ m.document[:-1] + m.document[-1])))
+
+    texts = ["The river blorghead was. Of stone! Drubbish and the\nsnivelrats to it. Bloxrghead garden", "River and stone. Letter window.", "snivelrat drubbish blorghead. " * 5, "drubbishes of the morning", "", "blorg head\nsnivel"]
+    assert np.allclose(m.score(texts), [slow(t) for t in texts], atol=1e-4)
+    assert m.score(texts)[0] > 0.5 > m.score(texts)[1]
+
+
+def test_worse_sentences_raise_a_score(toxic_model):
+    clean = "The river and the stone. Of the garden. "
+    one, two = clean + "It was blorghead.", clean + "It was blorghead. And drubbish."
+    a, b, c = toxic_model.score([clean, one, two])
+    assert a < b < c

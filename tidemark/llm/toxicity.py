@@ -3,22 +3,24 @@
 The kernel compares words by their subsequences of three characters within a span of five, a gap
 costing DECAY; a word has marks at its start and end. Inserted characters only widen some spans,
 punctuation inside a word and digits for letters are folded, and letters written apart are joined,
-so i.d.i.o.t, idxiot and "i d i o t" stay near idiot. Landmarks are words and word beginnings that
-are much more frequent in toxic sentences, and clean words that come near them. The Nystroem map
-K^-1/2 k(w, landmarks) makes the SVM linear; it is trained on labelled sentences as a
-multiple-instance problem (a toxic document's worst words stand for its sentences, all words of
-clean sentences are negative). A document is scored by its words' margins: the three highest and
-their mass, combined by a logistic model fitted on the same labelled rows.
+so i.d.i.o.t, idxiot and "i d i o t" stay near idiot. A sentence is to a landmark what its nearest word
+is. Landmarks are words and word beginnings that are much more frequent in toxic documents, and clean
+words that come near them. The Nystroem map K^-1/2 k(sentence, landmarks) makes the SVM linear. It is
+trained on sentences: all those of clean documents are negative, and of a toxic document, whose label
+doesn't say which, those that score highest are positive, chosen anew in some rounds (a multiple-
+instance problem). The margins of a document's highest sentences and the mass of its suspicious words
+(words with a margin as if they were sentences) make it a probability, by a logistic unit fitted on margins that an SVM of the other labelled rows gave each row.
 
 A word whose kernel to every toxic landmark is below NEAR can't count; an upper bound of the kernel
-sorts most words out before it is computed exactly. Every word of every text is looked at. Null and
-empty texts get the score of a text without a suspicious word; repeated rows get equal scores; with no
-labels of both kinds to learn from, every score is 0. Other columns are not read.
+sorts most words out before it is computed exactly. Every word of every text is looked at, whatever its
+length. Null and empty texts get the score of a text without a suspicious word; repeated rows get equal
+scores, rows with a null id one like others, an empty table none; with no labels of both kinds to learn
+from, every score is 0. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,6 +37,13 @@ DECAY = 0.6
 OFFSETS = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)]
 NEAR = 0.45
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 64, 48
+#: A toxic landmark is in so many toxic documents at least, with a difference of the log odds to clean
+#: ones of so much, and of so many of its standard deviations; no two are nearer than ALIKE.
+LEAST, ODDS, DEVIATIONS, ALIKE = 3, 1.2, 2.0, 0.85
+#: Sentences of a toxic document that may be positive, and the parts of the rows that are margins of the others' SVM.
+WITNESSES, FOLDS = 3, 3
+#: Margins below count as this.
+FLOOR = -1.5
 #: Labelled documents of each kind to learn from, at most.
 PER_CLASS = 2000
 CUT = 0.7
@@ -43,6 +52,7 @@ PIECE, STEP = 32, 24
 #: Words that a worker remembers; a memory bound, without effect on the result.
 REMEMBERED = 400_000
 LEET = str.maketrans("013457@$!", "oieastasi")
+STOP = (".", "!", "?", "\u2026")
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿"
 
 
@@ -54,8 +64,8 @@ def fold(word: str) -> str:
     return w
 
 
-def spaced_out(words: list[str]) -> list[str]:
-    """Runs of four or more single letters, joined."""
+def spaced_out(words: list[str]) -> list[tuple[int, str]]:
+    """Runs of four or more single letters, joined, and where they begin."""
     out, run, last = [], [], -2
     for i in [i for i, w in enumerate(words) if len(w) < 3]:
         c = words[i].strip(EDGE)
@@ -63,21 +73,34 @@ def spaced_out(words: list[str]) -> list[str]:
             continue
         if i != last + 1:
             if len(run) > 3:
-                out.append("".join(run))
+                out.append((last - len(run) + 1, "".join(run)))
             run = []
         run.append(c)
         last = i
     if len(run) > 3:
-        out.append("".join(run))
+        out.append((last - len(run) + 1, "".join(run)))
     return out
 
 
-def words_in(text: str) -> list[str]:
-    words = text.lower().split()
-    short = [w for w in set(words) if len(w) < 3]
-    if len(short) > 2 and len({c for w in short if len(c := w.strip(EDGE)) == 1}) > 2:
-        words += spaced_out(words)
-    return words
+class Text:
+    """The words of a text, those joined from letters written apart, and where its lines end."""
+
+    __slots__ = ("joined", "lines", "words")
+
+    def __init__(self, text: str):
+        self.words, self.lines = [], []
+        for line in text.lower().split("\n"):
+            self.words += line.split()
+            self.lines.append(len(self.words) - 1)
+        short = [w for w in set(self.words) if len(w) < 3]
+        self.joined = spaced_out(self.words) if len(short) > 2 and len({c for w in short if len(c := w.strip(EDGE)) == 1}) > 2 else []
+
+    def every(self) -> list[str]:
+        return self.words + [w for _, w in self.joined]
+
+    def ends(self) -> list[int]:
+        """Numbers of the words that end a sentence: those before a full stop or the like, and at the end of a line."""
+        return sorted({i for i, w in enumerate(self.words) if w.endswith(STOP) or w.rstrip("\"'»”’)]").endswith(STOP)} | set(self.lines))
 
 
 def pieces(folded: str, start: str = "^", end: str = "$") -> list[str]:
@@ -213,25 +236,35 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 60
 
 
 class Model:
-    """Landmarks, the SVM's weights on their kernels, and the document model."""
+    """Landmarks, the SVM's weights on a sentence's kernels to them, and the logistic unit."""
 
     def __init__(self, landmarks: Landmarks | None, toxic: int, weights: np.ndarray, bias: float):
         self.landmarks, self.toxic, self.weights, self.bias = landmarks, toxic, weights, bias
         self.document = np.zeros(0)
-        self.known: dict[str, float | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """known: words met; hot: those that can count, with their kernels to the landmarks."""
+        self.known: set[str] = set()
+        self.hot: dict[str, np.ndarray] = {}
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "known"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "hot")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self.known = {}
+        self.forget()
 
-    def margins(self, words: list[str]) -> None:
-        """Put the margins of new words into known; None for words that can't count."""
-        self.known.update(dict.fromkeys(words))
+    def learn_words(self, texts: list[Text]) -> None:
+        """Put the words of some texts into known and hot."""
+        different = set().union(*[t.every() for t in texts])
+        new = different.difference(self.known)
+        if new and len(self.known) + len(new) > REMEMBERED:
+            self.forget()
+            new = different
+        self.known |= new
         alike: dict[str, list[str]] = {}  # written forms of the same folded word
-        for w in words:
+        for w in new:
             if len(f := fold(w)) > 1:
                 alike.setdefault(f, []).append(w)
         units, forms = [], []
@@ -242,118 +275,154 @@ class Model:
         if not units:
             return
         rows, k = self.landmarks.kernel(units, NEAR, self.toxic)
-        for r, m in zip(rows.tolist(), (k @ self.weights + self.bias).tolist(), strict=True):
+        for r, v in zip(rows.tolist(), k.astype(np.float32), strict=True):
             for w in forms[r]:
-                old = self.known[w]
-                self.known[w] = m if old is None else max(old, m)
-
-    def learn_words(self, docs: list[list[str]]) -> None:
-        """Put the margins of all words of some documents into known."""
-        different = set().union(*docs)
-        new = different.difference(self.known)
-        if new and len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = different
-        if new:
-            self.margins(list(new))
-
-    def document_features(self, docs: list[list[str]]) -> np.ndarray:
-        """Highest three margins, mass of suspicious words, its share, length."""
-        self.learn_words(docs)
-        hot = {w: m for w, m in self.known.items() if m is not None}
-        out = []
-        for words in docs:
-            found = sorted([hot[w] for w in words if w in hot], reverse=True)
-            top = [max(-1.5, m) for m in found[:3]] + [-1.5] * (3 - min(3, len(found)))
-            mass, size = math.log1p(sum([1 / (1 + math.exp(-6 * m)) for m in found])), math.log1p(len(words))
-            out.append([*top, mass, mass - math.log1p(len(words) / 100), size])
-        return np.array(out).reshape(len(docs), 6)
+                # a word of several pieces is as near as its nearest piece
+                self.hot[w] = np.maximum(self.hot[w], v) if w in self.hot else v
+
+    def sentences(self, texts: list[Text]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the kernels to the landmarks of its words that can count, and of its sentences with such words."""
+        self.learn_words(texts)
+        hot, out = self.hot, []
+        for t in texts:
+            found = [(i, hot[w]) for i, w in enumerate(t.words) if w in hot] + [(i, hot[w]) for i, w in t.joined if w in hot]
+            if not found:
+                none = np.zeros((0, len(self.landmarks.strings)), np.float32)
+                out.append((none, none))
+                continue
+            ends, own = t.ends(), {}
+            for i, v in found:
+                s = bisect_left(ends, i)
+                own[s] = np.maximum(own[s], v) if s in own else v
+            out.append((np.array([v for _, v in found]), np.array([own[s] for s in sorted(own)])))
+        return out
 
     def score(self, texts: list[str]) -> np.ndarray:
         if self.landmarks is None:
             return np.zeros(len(texts))
-        x = self.document_features([words_in(t) for t in texts])
+        held = [Text(t) for t in texts]
+        x = document_features([(w @ self.weights + self.bias, v @ self.weights + self.bias) for w, v in self.sentences(held)], [len(t.words) for t in held])
         return 1 / (1 + np.exp(-np.clip(x @ self.document[:-1] + self.document[-1], -30, 30)))
 
 
-def fit(sample: pd.DataFrame) -> Model:
-    """Fit on (text, y) rows."""
-    y = sample["y"].to_numpy()
-    if len(sample) == 0 or y.min() == y.max():
-        return Model(None, 0, np.zeros(0), 0.0)
-    # each document's different folded words; equal words are one object, so the sample stays small
-    same: dict[str, str] = {}
-    docs = [{same.setdefault(f, f) for w in set(words_in(t)) if len(f := fold(w)) > 1} for t in sample["text"]]
+def document_features(margins: list[tuple[np.ndarray, np.ndarray]], words: list[int]) -> np.ndarray:
+    """Highest three margins of a document's sentences, the mass of its words, that for its length, and the length."""
+    out = []
+    for (w, m), n in zip(margins, words, strict=True):
+        top = np.sort(np.append(m, [FLOOR] * 3))[::-1][:3]
+        mass, size = np.log1p((1 / (1 + np.exp(-6 * np.clip(w, -5, 5)))).sum()), np.log1p(n)
+        out.append([*np.maximum(top, FLOOR), mass, mass - np.log1p(n / 100), size])
+    return np.array(out).reshape(len(words), 6)
+
+
+def nearness(a: str, marks: list[dict[int, float]]) -> tuple[dict[int, float], float]:
+    """The normed feature vector of a string, and its largest kernel value to some others."""
+    idx, w = features([a])
+    own: dict[int, float] = {}
+    for i, x in zip(idx[0].tolist(), w.tolist(), strict=True):
+        if i:
+            own[i] = own.get(i, 0.0) + x
+    size = max(1e-9, sum(x * x for x in own.values()) ** 0.5)
+    own = {i: x / size for i, x in own.items()}
+    return own, max((sum(x * m.get(i, 0.0) for i, x in own.items()) for m in marks), default=0.0)
+
+
+def toxic_landmarks(docs: list[set[str]], y: np.ndarray) -> list[str]:
+    """Words and word beginnings with the most evidence, each some way from those before it."""
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     counts: list[Counter] = [Counter(), Counter()]
     for d, label in zip(docs, y, strict=True):
         names = {f"^{w}$" for w in d}
         names |= {f"^{w[:n]}" for w in d for n in (5, 6, 7) if len(w) > n}
-        counts[label].update(names)
-    least = 3 if n1 < 200 else 5
+        counts[int(label)].update(names)
     rated = []
     for s, a in counts[1].items():
         b = counts[0].get(s, 0)
         odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
-        if a >= least and odds > 1.2:
+        if a >= LEAST and odds > max(ODDS, DEVIATIONS * (1 / (a + 0.5) + 1 / (b + 0.5)) ** 0.5):
             # evidence: how far the count in toxic documents passes what clean ones let expect
             rated.append((a * odds * (1.15 if s.endswith("$") else 1.0), s))
     rated.sort(key=lambda x: (-x[0], x[1]))
-    counts.clear()
     strings: list[str] = []
-    for _, s in rated[:400]:
+    marks: list[dict[int, float]] = []
+    for _, s in rated:
         if len(strings) == TOXIC_LANDMARKS:
             break
-        if not strings or Landmarks(strings).kernel([s])[1].max(initial=0) < 0.85:
+        s = s if len(s) <= PIECE else pieces(s[1:-1])[0]
+        own, near = nearness(s, marks)
+        if near < ALIKE:
             strings.append(s)
+            marks.append(own)
+    return strings
+
+
+def witnesses(bags: list[np.ndarray], y: np.ndarray, root: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
+    """The SVM on sentences, in some rounds of choosing each toxic document's witnesses: (weights, bias)."""
+    # equal sentences of clean documents are one row with a weight; one without any near word stands for the rest
+    negative: Counter = Counter(r.tobytes() for v, label in zip(bags, y, strict=True) if not label for r in v)
+    x0 = np.array([np.zeros(len(start)), *[np.frombuffer(r, np.float32) for r in negative]])
+    w0 = np.array([(y == 0).sum(), *negative.values()], float)
+    positive = [v for v, label in zip(bags, y, strict=True) if label and len(v)]
+    weights, bias = start, -0.5
+    for _ in range(4):
+        chosen = []
+        for v in positive:
+            m = v @ weights + bias
+            order = np.argsort(-m, kind="stable")[:WITNESSES]
+            chosen += [v[i] for k, i in enumerate(order) if m[i] > 0 or not k]
+        x1 = np.array(chosen) if chosen else np.zeros((0, len(start)))
+        t = np.concatenate([np.ones(len(x1)), -np.ones(len(x0))])
+        u, bias = linear_svm(np.concatenate([x1, x0]) @ root, t, np.concatenate([np.full(len(x1), ((y == 0).sum() / max(1, (y == 1).sum())) ** 0.5), w0]))
+        weights = root @ u
+    return weights, bias
+
+
+def fit(sample: pd.DataFrame) -> Model:
+    """Fit on (text, y) rows."""
+    y = sample["y"].to_numpy()
+    if len(sample) == 0 or y.min() == y.max():
+        return Model(None, 0, np.zeros(0), 0.0)
+    texts = sample["text"].tolist()
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    # each document's different folded words; equal words are one object, so the sample stays small
+    same: dict[str, str] = {}
+    docs = [{same.setdefault(f, f) for w in set(Text(t).every()) if len(f := fold(w)) > 1} for t in texts]
+    strings = toxic_landmarks(docs, y)
     if not strings:
         return Model(None, 0, np.zeros(0), 0.0)
     toxic = len(strings)
-    first = Landmarks(strings)
-    vocab = sorted(same)
+    df = [Counter(w for d, label in zip(docs, y, strict=True) if label == v for w in d) for v in (0, 1)]
+    clean = lambda w: df[0][w] / n0 - df[1][w] / n1
     units, owner = [], []
-    for w in vocab:
+    for w in sorted(same):
         for p in pieces(w):
             units.append(p)
             owner.append(w)
-    rows, k = first.kernel(units, NEAR, toxic)
-    clean_df = Counter(w for d, label in zip(docs, y, strict=True) if not label for w in d)
-    toxic_df = Counter(w for d, label in zip(docs, y, strict=True) if label for w in d)
-    near_clean = sorted({owner[r] for r in rows}, key=lambda w: (-(clean_df[w] / n0 - toxic_df[w] / n1), w))
-    strings += [pieces(w)[0] for w in near_clean if pieces(w)[0] not in strings and clean_df[w] / n0 > toxic_df[w] / n1][:CLEAN_LANDMARKS]
+    rows, _ = Landmarks(strings).kernel(units, NEAR, toxic)
+    near_clean = sorted({(-clean(owner[r]), units[r]) for r in rows if clean(owner[r]) > 0})
+    strings += [p for _, p in near_clean if p not in strings][:CLEAN_LANDMARKS]
+    del docs, units, owner, same
     marks = Landmarks(strings)
     values, vectors = np.linalg.eigh(marks.kernel(strings)[1].astype(np.float64))
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    rows, k = marks.kernel(units, NEAR, toxic)
-    best: dict[str, np.ndarray] = {}
-    for r, v in zip(rows, k, strict=True):
-        if owner[r] not in best or v[:toxic].max() > best[owner[r]][:toxic].max():
-            best[owner[r]] = v
-    names = list(best)
-    at = {w: i for i, w in enumerate(names)}
-    z = np.array([best[w] for w in names]) @ root
-    negative = np.array([clean_df[w] for w in names], float)
-    prior = np.array([np.log((toxic_df[w] + 0.5) / (n1 + 1)) - np.log((clean_df[w] + 0.5) / (n0 + 1)) for w in names])
-    prior = np.maximum(prior, np.array([best[w][:toxic].max() for w in names]) * 2 - 1)
-    margin = prior
-    u, b = np.zeros(z.shape[1]), 0.0
-    for _ in range(3):  # choose each toxic document's witnesses, train, choose again
-        positive = np.zeros(len(names))
-        for d, label in zip(docs, y, strict=True):
-            if label:
-                own = sorted({at[w] for w in d if w in at}, key=lambda i: (-margin[i], i))[:3]
-                positive[[i for i in own if margin[i] > 0 or i == own[0]]] += 1
-        x = np.concatenate([z, z])
-        t = np.concatenate([np.ones(len(z)), -np.ones(len(z))])
-        w = np.concatenate([positive * (n0 / n1) ** 0.5, negative])
-        u, b = linear_svm(x[w > 0], t[w > 0], w[w > 0])
-        margin = z @ u + b
-    model = Model(marks, toxic, root @ u, b)
-    del docs, units, owner
-    texts = sample["text"].tolist()
-    f = np.concatenate([model.document_features([words_in(t) for t in texts[i : i + 128]]) for i in range(0, len(texts), 128)])
-    model.known.clear()
-    model.document = logistic(f, y.astype(float), rising=4)
+    # to begin with, a sentence is as bad as it is nearer to a toxic landmark than to a clean one
+    start = np.where(np.arange(len(strings)) < toxic, 1.0, -0.3)
+    model = Model(marks, toxic, start, 0.0)
+    bags, words = [], []
+    for i in range(0, len(texts), 128):
+        held = [Text(t) for t in texts[i : i + 128]]
+        bags += model.sentences(held)
+        words += [len(t.words) for t in held]
+    model.forget()
+    fold_of = np.arange(len(y)) % FOLDS
+    margins: list = [None] * len(y)
+    for f in range(FOLDS):
+        others = np.flatnonzero(fold_of != f)
+        weights, bias = witnesses([bags[i][1] for i in others], y[others], root, start)
+        for i in np.flatnonzero(fold_of == f):
+            margins[i] = tuple(v @ weights + bias for v in bags[i])
+    model.document = logistic(document_features(margins, words), y.astype(float), rising=4)
+    model.weights, model.bias = witnesses([v for _, v in bags], y, root, start)
     return model
 
 
