@@ -37,7 +37,7 @@ TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
-    """The tokenizer, the words known so far, and which ids end a word."""
+    """The tokenizer, the words known so far, which ids end a word, and which characters are letters."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,17 +46,22 @@ def tokenizer(path: str):
     t = Tokenizer.from_file(path)
     last = np.zeros(t.get_vocab_size(), bool)
     last[[i for w, i in t.get_vocab().items() if w.endswith("</w>")]] = True
-    return t, {}, last
+    return t, {}, last, Letters(t)
 
 
-@lru_cache(maxsize=1 << 16)
-def joins(path: str, c: str) -> bool:
-    """Whether a character is a letter to the tokenizer once normalised, and one character: a word of
+class Letters(dict):
+    """Character: whether it is a letter to the tokenizer once normalised, and one character. A word of
     such characters is one piece, whatever punctuation follows. İ and the composed nukta letters
     aren't: normalised, they end in a mark, which the pattern takes with the punctuation."""
-    tok = tokenizer(path)[0]
-    n = tok.normalizer.normalize_str(c)
-    return len(n) == 1 and len(tok.pre_tokenizer.pre_tokenize_str(n + ".")) == 2 and len(tok.pre_tokenizer.pre_tokenize_str("a" + n)) == 1
+
+    def __init__(self, tok):
+        self.tok = tok
+
+    def __missing__(self, c: str) -> bool:
+        n = self.tok.normalizer.normalize_str(c)
+        pieces = self.tok.pre_tokenizer.pre_tokenize_str
+        self[c] = len(n) == 1 and len(pieces(n + ".")) == 2 and len(pieces("a" + n)) == 1
+        return self[c]
 
 
 def encode_cores(tok, last: np.ndarray, cores: list[str], width: str) -> list[bytes]:
@@ -74,11 +79,11 @@ def encode_texts(texts: list[str], path: str, width: str) -> list[bytes]:
     """The ids of each text as bytes of little-endian numbers.
 
     This vocabulary drops white space and never merges over it, so the ids of a text are those of
-    its words one after the other; each worker remembers words it has met. A word whose characters
-    joins() accepts, with punctuation behind, is two pieces to the tokenizer's pattern (but for an apostrophe,
-    which may start a contraction), and capitals A-Z are folded by it, so such words share their core.
+    its words one after the other; each worker remembers words it has met. A word of letters with
+    punctuation behind is two pieces to the tokenizer's pattern (but for an apostrophe, which may
+    start a contraction), and capitals A-Z are folded by it, so such words share their core.
     """
-    tok, known, last = tokenizer(path)
+    tok, known, last, letters = tokenizer(path)
     split = [t.replace("\n", " ").split(" ") for t in texts]
     new = set().union(*split).difference(known)
     if not new:
@@ -89,7 +94,7 @@ def encode_texts(texts: list[str], path: str, width: str) -> list[bytes]:
     plain, odd = [], []
     for w in new:
         core = w.rstrip(TAIL)
-        if core.isalpha() and (core.isascii() or all([joins(path, c) for c in core])):
+        if core.isalpha() and (core.isascii() or all(map(letters.__getitem__, core))):
             plain.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
         else:
             odd.append(w)
