@@ -2,7 +2,8 @@
 
 Each stage takes all that its predecessor has kept and returns the columns of documents; the last
 returns the packed pieces. Models are fitted on the labelled rows of the folder's whole tables.
-Rows with a null doc_id are judged by their text and never dropped as duplicates.
+Rows are told apart by numbers of their own, so repeated ids don't matter; a null doc_id is one that
+any other precedes. Null and empty texts are no duplicates of each other.
 """
 
 from __future__ import annotations
@@ -26,8 +27,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays, that with the smallest id."""
-    classes = ngramjoin.jaccard_classes(docs)
-    return docs.join(classes.where("doc_id <> class_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return ngramjoin.single(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,18 @@ def test_empty_documents(spark, sf):
     docs = table(spark, sf, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_odd_rows_through_all_stages(spark, sf):
+    """Null and repeated ids, null and empty texts, ties and clashing columns."""
+    docs = table(spark, sf, "documents")
+    clean = [r["text"] for r in docs.where("length(text) between 300 and 900 and lang = 'en'").orderBy("doc_id").limit(40).collect()]
+    odd = [(None, clean[0]), (None, clean[1]), (1, clean[2]), (1, clean[3]), (7, clean[2]), (8, clean[4]), (8, clean[4]), (9, None), (10, ""), (None, None)]
+    extra = spark.createDataFrame([(i, t, "en", "s", len(t or ""), k) for k, (i, t) in enumerate(odd)], "doc_id long, text string, lang string, source string, n_chars long, uid long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, extra, sf)
+        assert out.columns == extra.columns, name
+        assert {r["uid"] for r in out.collect()} <= set(range(len(odd)))
+    kept = {r["uid"] for r in dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, extra, sf).collect()}
+    assert {0, 1, 2, 3, 7, 8, 9} <= kept and 4 not in kept and len(kept & {5, 6}) == 1
+    assert dict(corpus_pipeline.STAGES)["packing"](spark, extra, sf).select("doc_id", "start").count() >= len(odd)

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+HUBS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -95,16 +98,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: every round moves at most one row an edge, and a
     hub costs one row a neighbour. Rounds end when the rows stop changing; their number grows with
-    the logarithm of the size. Each round is written to the shared folder.
+    the logarithm of the size. Each round is written to the shared folder. Nodes with more than one
+    in HUBS of all edges are fewer than 2 x HUBS; their smallest neighbour is sent to their edges
+    instead of gathering these in one task.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = written(e, "edges")
-    seen = None
+    seen, count = None, e.count()
     while True:
         # large-star: the larger neighbours of a node point to the smallest of it and its neighbours
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+        hubs = F.broadcast(least.where(F.col("c") > max(1000, count // HUBS)).select("u", "m"))
+        near = both.join(hubs, "u", "left_anti").join(least.select("u", "m"), "u").unionByName(both.join(hubs, "u"))
+        large = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # small-star: the smaller neighbours of a node, and itself, point to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -112,7 +119,7 @@ def components(edges: DataFrame) -> DataFrame:
         new = written(small, "edges")
         mark = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_written(e)
-        e = new
+        e, count = new, mark[0]
         if tuple(mark) == seen:
             break
         seen = tuple(mark)

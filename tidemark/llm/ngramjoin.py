@@ -2,39 +2,50 @@
 
 Documents are sets of shingles of five words (fewer words: one shingle of all); words are runs of
 a-z, 0-9 and characters beyond ASCII after lower-casing A-Z. Equal word sequences are one vertex
-with a weight. Each vertex has TREES x DEPTH minhash values; a tree is the sorted order of the
-vertices by its DEPTH values, and vertices that share the first d of them are a subtree. The join
-starts with the longest prefix that promises the target recall for pairs at the threshold and
-shortens it by one while the recall is short of it: that measured on up to AUDIT vertices, which are
-compared with all texts exactly (the mean of each group size), and that estimated from the
-similarities of the links found. A pair is handled once: at the longest prefix it shares, in the
-first tree where it does.
-
-Large subtrees are cut into slices of SLICE vertices and a task compares two slices, first by
-signatures (five standard deviations below the threshold drop out), then by the shingles of the
-texts: every remaining pair is verified. Tasks return one row a vertex (links and local component),
-never rows of pairs, so no link is lost and no group is expanded.
-
-Texts without a word link only with equal texts, null and empty texts with nothing. Null ids are
-left out. Repeated rows of a document link like copies. Other columns are not read.
+with a weight. Each vertex has TREES x DEPTH minhash values; a trie is the sorted order of all
+vertices by the DEPTH values of one tree (a range sort, so that a trie lies over many tasks), kept
+with the length of the prefix that each row shares with the row before it. Vertices that share the
+first d values are a subtree. The join starts with whole labels and shortens the prefix by one while
+the recall is short of its target: that measured on up to AUDIT vertices, which are compared with all
+texts exactly (the mean of each group size), and that estimated from the similarities of the links
+found. Only subtrees that branch at the new length are looked at again, and a pair is handled once:
+at the longest prefix it shares, in the first tree where it does.
+
+A label that more than SLICE vertices share marks a large group. Labels with common vertices are one
+group with one representative, to which its vertices are compared; those within half the distance of
+the threshold form its ball. Jaccard distance is a metric, so all of a ball are linked to each other,
+which is counted from the ball's weight without comparing them. Vertices of a subtree that aren't of
+one ball are cut into slices of SLICE vertices and a task compares two slices, first by signatures
+(five standard deviations below the threshold drop out), then by the shingles of the texts: every
+remaining pair is verified. Tasks return one row a vertex (links and local component), never rows of
+pairs, so no group is expanded.
+
+A row is known by a number of its own, so ids that are repeated, with equal texts or others, are rows
+like others. Texts without a word link only with equal texts, null and empty texts with nothing. Null
+ids are left out (single() keeps them). Very long texts are hashed whole; an empty table gives no
+rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, grouped_stream, written
+from .common import components, drop_written, grouped_stream, written
 from .licenses import FOLD
 from .neardup import local_roots, recall_of
 
+log = logging.getLogger(__name__)
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 16, 6
 SLICE = 256
@@ -99,12 +110,14 @@ def signatures(canon: list[bytes]) -> np.ndarray:
     return out
 
 
-def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, digest, sig): sig null for texts without a word; empty texts are left out."""
+def prepared(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(uid, digest, sig, row), written: all rows of docs with a number, the digest of the words (null for
+    null and empty texts) and the signature (null for texts without a word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("k").to_pylist(), batch.column("t").to_pylist()
+            uid, row = batch.column("uid"), batch.column("row")
+            texts = [t or b"" for t in row.field(text).cast(pa.binary()).to_pylist()]
             at = 0
             while at < len(texts):
                 to, size = at, 0
@@ -112,17 +125,18 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
                     size += len(texts[to])
                     to += 1
                 canon = [canonical(t) for t in texts[at:to]]
-                digest = [hashlib.md5(c or b"\0" + t).digest() for c, t in zip(canon, texts[at:to], strict=True)]
+                digest = [hashlib.md5(c or b"\0" + t).digest() if t else None for c, t in zip(canon, texts[at:to], strict=True)]
                 sig: list[bytes | None] = [None] * len(canon)
                 have = [i for i, c in enumerate(canon) if c]
                 if have:
-                    for i, row in zip(have, signatures([canon[i] for i in have]), strict=True):
-                        sig[i] = row.astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at:to], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["id", "digest", "sig"])
+                    for i, values in zip(have, signatures([canon[i] for i in have]), strict=True):
+                        sig[i] = values.astype(">u4").tobytes()
+                yield pa.RecordBatch.from_arrays([uid.slice(at, to - at), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), row.slice(at, to - at)], ["uid", "digest", "sig", "row"])
                 at = to
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("binary").alias("t")).where("k is not null and length(t) > 0")
-    return rows.mapInArrow(run, "id long, digest binary, sig binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema = T.StructType([T.StructField("uid", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("row", rows.schema["row"].dataType)])
+    return written(rows.mapInArrow(run, schema), "signed")
 
 
 def chance(similarity: np.ndarray | float, depth: int) -> np.ndarray | float:
@@ -130,14 +144,103 @@ def chance(similarity: np.ndarray | float, depth: int) -> np.ndarray | float:
     return 1 - (1 - similarity**depth) ** TREES
 
 
-def candidates(vert: DataFrame, depth: int, newest: bool, threshold: float) -> DataFrame:
+def shared_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many first values rows of labels have in common."""
+    return np.logical_and.accumulate(a == b, axis=1).sum(axis=1)
+
+
+def tries(vert: DataFrame) -> DataFrame:
+    """(tree, label, id, lcp, reach), written: the sorted tries without the rows that share no prefix.
+
+    lcp is the prefix shared with the row before, reach the longer one of those with both neighbours.
+    """
+    label = F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})")
+    rows = vert.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", label.alias("label"), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, held = TaskContext.get().partitionId(), 0, None
+        names = ["part", "n", "tree", "label", "id", "lcp", "next"]
+
+        def out(b: pa.RecordBatch, first: int, after: int) -> pa.RecordBatch:
+            """Rows with the prefixes shared with the row before (first: that of the first row) and behind (after: of the last)."""
+            tree = b.column("tree").to_numpy()
+            values = np.frombuffer(b"".join(b.column("label").to_pylist()), ">u4").reshape(len(tree), DEPTH)
+            lcp = np.concatenate([[first], shared_prefix(values[1:], values[:-1]) * (tree[1:] == tree[:-1])])
+            place = pa.array(np.arange(n - len(tree), n, dtype="i8"))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(tree), part, "i4")), place, b.column("tree"), b.column("label"), b.column("id"), pa.array(lcp.astype("i4")), pa.array(np.append(lcp[1:], after).astype("i4"))], names)
+
+        first = -1  # -1: the neighbour is in another task
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                ends = [np.frombuffer(x.column("label")[i].as_py(), ">u4")[None] for x, i in ((held, held.num_rows - 1), (batch, 0))]
+                seam = int(shared_prefix(*ends)[0]) if held.column("tree")[held.num_rows - 1] == batch.column("tree")[0] else 0
+                yield out(held, first, seam)
+                first = seam
+            held = batch
+            n += batch.num_rows
+        if held is not None:
+            yield out(held, first, -1)
+
+    in_order = rows.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
+    found = written(in_order.mapInArrow(run, "part int, n long, tree int, label binary, id long, lcp int, next int"), "tries")
+    # where tasks meet: two rows a task
+    ends = found.where("lcp = -1 or next = -1").select("part", "n", "tree", "label", F.col("lcp").alias("l"), F.col("next").alias("x"))
+    w = Window.orderBy("part", "n")
+    both = F.when(F.col("tree") == F.lag("tree").over(w), sum((F.substring("label", 1, 4 * d) == F.substring(F.lag("label").over(w), 1, 4 * d)).cast("int") for d in range(1, DEPTH + 1)))
+    ends = ends.withColumn("seam", F.coalesce(both, F.lit(0)))
+    ends = ends.select("part", "n", F.when(F.col("l") == -1, F.col("seam")).alias("l"), F.when(F.col("x") == -1, F.coalesce(F.lead("seam").over(w), F.lit(0))).alias("x"))
+    whole = found.join(F.broadcast(ends), ["part", "n"], "left").select("tree", "label", "id", F.coalesce("l", "lcp").alias("lcp"), F.coalesce("x", "next").alias("next"))
+    out = written(whole.select("tree", "label", "id", "lcp", F.greatest("lcp", "next").alias("reach")).where("reach > 0"), "tries")
+    drop_written(found)
+    return out
+
+
+def balls(trie: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
+    """(id, ball), written: vertices of large groups that are so near to a representative that they link with each other."""
+    large = trie.where(F.col("reach") == DEPTH).groupBy("tree", "label").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SLICE)
+    if large.isEmpty():
+        return None
+    seats = written(trie.where(F.col("reach") == DEPTH).join(large, ["tree", "label"]).select("id", F.xxhash64("tree", "label").alias("gid")), "seats")
+    home = seats.groupBy("id").agg(F.min("gid").alias("gid"), F.count(F.lit(1)).alias("seats"))
+    whole = components(seats.join(home.select("id", F.col("gid").alias("home")), "id").select(F.col("gid").alias("a"), F.col("home").alias("b")))
+    home = home.join(whole.select(F.col("id").alias("gid"), "component"), "gid", "left").select("id", "seats", F.coalesce("component", "gid").alias("grp"))
+    heads = home.groupBy("grp").agg(F.max(F.struct("seats", (-F.col("id")).alias("id"))).alias("m"), F.ceil(F.count(F.lit(1)) / F.lit(2 * SLICE)).cast("int").alias("parts")).select("grp", (-F.col("m.id")).alias("head"), "parts")
+    home = home.join(heads, "grp").select("head", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id")
+    asked = heads.select("head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("head").alias("id"))
+    near = (1 + threshold) / 2
+
+    def measure(t: pa.Table) -> pa.Table | None:
+        head, ids = t.column("head")[0].as_py(), t.column("id").to_numpy()
+        h, text, size = sets_of([canonical(x) for x in t.column("t").to_pylist()])
+        own = np.flatnonzero(ids == head)
+        if not len(own):
+            return None
+        common = np.bincount(text[np.isin(h, h[text == own[0]])], minlength=len(ids))
+        ok = np.unique(ids[common >= near * (size + size[own[0]] - common)])
+        return pa.table({"id": pa.array(ok), "ball": pa.array(np.full(len(ok), head))})
+
+    found = grouped_stream(home.unionByName(asked).join(texts, "id"), ["head", "part"], measure, "id long, ball long")
+    out = written(found.distinct(), "balls")
+    drop_written(seats)
+    return out
+
+
+def candidates(trie: DataFrame, vert: DataFrame, depth: int, newest: bool, threshold: float) -> DataFrame:
     """(task, id, partners): pairs whose longest shared prefix is depth (newest: or longer), by task."""
-    prefix = F.xxhash64(F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * depth})"))
-    rows = vert.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("id", "tree", prefix.alias("prefix"))
-    many = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumn("slices", F.ceil(F.col("c") / F.lit(SLICE)).cast("int")).drop("c")
-    held = rows.join(many, ["tree", "prefix"]).join(vert.select("id", "sig"), "id")
-    held = held.withColumn("own", F.pmod(F.xxhash64("id"), "slices").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rows = trie.where(F.col("reach") >= depth).select("id", "tree", "ball", "lcp", F.xxhash64(F.substring("label", 1, 4 * depth)).alias("prefix"))
+    sizes = rows.groupBy("tree", "prefix", "ball").agg(F.count(F.lit(1)).alias("c"), F.min(F.when(F.col("lcp") >= depth, F.col("lcp"))).alias("fork"))
+    many = sizes.groupBy("tree", "prefix").agg(F.sum("c").alias("c"), F.min("fork").alias("fork"), F.collect_list(F.struct("ball", F.ceil(F.col("c") / F.lit(SLICE)).cast("int").alias("slices"))).alias("parts"))
+    many = many.where((F.col("c") > 1) & (F.lit(newest) | (F.col("fork") == depth)) & ((F.size("parts") > 1) | (F.col("parts")[0]["ball"] == -1))).drop("c", "fork")
+    held = rows.drop("lcp").join(many, ["tree", "prefix"]).join(vert.select("id", "sig"), "id")
+    name = lambda ball, slice_: F.concat_ws(":", ball.cast("string"), slice_.cast("string"))
+    slices = F.filter("parts", lambda x: x["ball"] == F.col("ball"))[0]["slices"]
+    # vertices of one ball are linked already: their slices meet only others
+    others = F.flatten(F.transform(F.filter("parts", lambda x: (x["ball"] != F.col("ball")) | (x["ball"] == -1)), lambda x: F.transform(F.sequence(F.lit(0), x["slices"] - 1), lambda k: name(x["ball"], k))))
+    held = held.select("tree", "prefix", "id", "sig", name(F.col("ball"), F.pmod(F.xxhash64("id"), slices)).alias("own"), F.explode(others).alias("other"))
     held = held.select("tree", "prefix", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "sig")
+    held = held.withColumn("task", F.xxhash64("tree", "prefix", "lo", "hi"))
     screen = threshold - 5 * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
 
     def compare(t: pa.Table) -> pa.Table | None:
@@ -145,8 +248,8 @@ def candidates(vert: DataFrame, depth: int, newest: bool, threshold: float) -> D
         if n < 2:
             return None
         lo, hi, tree = (t.column(c)[0].as_py() for c in ("lo", "hi", "tree"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(n, -1)
-        ids, own = t.column("id").to_numpy(), t.column("own").to_numpy()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), ">u4").reshape(n, -1)
+        ids, own = t.column("id").to_numpy(), np.array(t.column("own").to_pylist())
         left, right = (np.flatnonzero(own == lo), np.flatnonzero(own == hi)) if lo != hi else (np.arange(n), np.arange(n))
         if not len(left) or not len(right):
             return None
@@ -166,8 +269,7 @@ def candidates(vert: DataFrame, depth: int, newest: bool, threshold: float) -> D
         rows = [i for i in range(n) if partners[i] or int(ids[i]) in inside]
         if not rows:
             return None
-        name = hash((tree, t.column("prefix")[0].as_py(), lo, hi)) & ((1 << 62) - 1)
-        return pa.table({"task": pa.array([name] * len(rows), pa.int64()), "id": pa.array(ids[rows]), "partners": pa.array([partners[i] for i in rows], pa.list_(pa.int64()))})
+        return pa.table({"task": t.column("task").slice(0, 1).take(pa.array([0] * len(rows))), "id": pa.array(ids[rows]), "partners": pa.array([partners[i] for i in rows], pa.list_(pa.int64()))})
 
     return grouped_stream(held, ["tree", "prefix", "lo", "hi"], compare, "task long, id long, partners array<long>")
 
@@ -274,25 +376,39 @@ def audited(wordy: DataFrame, texts: DataFrame, threshold: float, sample: int =
     return {int(held["id"][r["i"]]): r["true"] for r in rows}
 
 
-def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links): for each document its class (smallest id in it) and its links."""
-    rows = written(signed(docs, key, text), "signed")
-    vert = written(rows.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"), F.first("sig").alias("sig")), "vertices")
+def classes(rows: DataFrame, *, text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(digest, vertex, w, root, n), written: for each word sequence of prepared() rows its vertex, its
+    weight, the smallest vertex of its class, and the rows of other vertices that it links with."""
+    texts = rows.select(F.col("uid").alias("id"), F.col(f"row.`{text}`").cast("binary").alias("t")).where("t is not null")
+    vert = written(rows.where("digest is not null").groupBy("digest").agg(F.min("uid").alias("id"), F.count(F.lit(1)).alias("w"), F.first("sig").alias("sig")), "vertices")
     wordy = vert.where("sig is not null").select("id", "sig")
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).where("id is not null and length(t) > 0")
     weights = vert.select("id", "w")
-    first = depth = next((d for d in range(DEPTH, 0, -1) if chance(threshold, d) >= recall), 1)
-    true, found = audited(wordy, texts, threshold), []
+    trie = tries(wordy)
+    ball = balls(trie, texts, threshold)
+    found, made = [], [vert]
+    if ball is None:
+        trie = trie.withColumn("ball", F.lit(-1).cast("long"))
+    else:
+        made += [trie, ball]
+        trie = written(trie.join(ball, "id", "left").withColumn("ball", F.coalesce("ball", F.lit(-1))), "tries")
+        inside = ball.join(weights, "id")
+        whole = inside.groupBy("ball").agg(F.sum("w").alias("all"))
+        found.append(inside.join(whole, "ball").select("id", F.col("ball").alias("root"), (F.col("all") - F.col("w")).alias("n")).where("n > 0"))
+    made.append(trie)
+    true, depth = audited(wordy, texts, threshold), DEPTH
     held = vert.where(F.col("id").isin(list(true))).select("id", "w").collect()
     while True:
-        found.append(written(verify(candidates(wordy, depth, depth == first, threshold), texts, weights, depth, threshold), "links"))
-        got, expected = found[-1].agg(F.sum("n"), F.sum("expected")).first()
+        new = written(verify(candidates(trie, wordy, depth, depth == DEPTH, threshold), texts, weights, depth, threshold), "links")
+        made.append(new)
+        found.append(new.select("id", "root", "n"))
+        got, expected = new.agg(F.sum("n"), F.sum("expected")).first()
         seen = Counter()
         for part in found:
             seen.update({r["id"]: r["n"] for r in part.where(F.col("id").isin(list(true))).groupBy("id").agg(F.sum("n").alias("n")).collect()})
         measured = recall_of(np.array([true[r["id"]] - r["w"] for r in held], np.int64), np.array([seen[r["id"]] for r in held], np.int64))
-        enough = measured >= recall and (not got or got / expected >= recall)
-        if enough or depth == 1:
+        log.info("prefixes of %s: %s links, %s expected, measured recall %s", depth, got, expected, measured)
+        # what pairs like those found at this length leave to shorter ones
+        if depth == 1 or (measured >= recall and (not got or got / expected >= recall)):
             break
         depth -= 1
     links = found[0]
@@ -300,7 +416,29 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         links = links.unionByName(more)
     comp = components(links.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     n = links.groupBy("id").agg(F.sum("n").alias("n"))
-    classes = vert.select("digest", F.col("id").alias("vertex"), "w").join(n.withColumnRenamed("id", "vertex"), "vertex", "left").join(comp.withColumnRenamed("id", "vertex"), "vertex", "left")
-    linked = rows.select("id", "digest").join(classes, "digest").select(F.col("id").alias(key), F.coalesce("component", "vertex").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).cast("long").alias("n_links"))
-    alone = docs.where(F.col(key).isNotNull() & (F.coalesce(F.octet_length(text), F.lit(0)) == 0)).select(F.col(key).cast("long").alias(key), F.col(key).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    whole = vert.select("digest", F.col("id").alias("vertex"), "w").join(n.withColumnRenamed("id", "vertex"), "vertex", "left").join(comp.withColumnRenamed("id", "vertex"), "vertex", "left")
+    out = written(whole.select("digest", "vertex", "w", F.coalesce("component", "vertex").alias("root"), F.coalesce("n", F.lit(0)).cast("long").alias("n")), "classes")
+    for old in made:
+        drop_written(old)
+    return out
+
+
+def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links): for each document its class (smallest id in it) and its links."""
+    rows = prepared(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null"))
+    found = classes(rows, threshold=threshold, recall=recall)
+    least = rows.where("digest is not null").groupBy("digest").agg(F.min("row.id").alias("low")).join(found, "digest").groupBy("root").agg(F.min("low").alias("class_id"))
+    linked = rows.select("row.id", "digest").join(found.join(least, "root"), "digest").select(F.col("id").alias(key), "class_id", (F.col("n") + F.col("w") - 1).cast("long").alias("n_links"))
+    alone = rows.where("digest is null").select(F.col("row.id").alias(key), F.col("row.id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
+
+
+def single(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """docs with one row of each class: that with the smallest id (null ids last; of equal ids any one).
+
+    Null and empty texts are classes of their own, so all of them stay.
+    """
+    rows = prepared(docs, text)
+    first = rows.where("digest is not null").groupBy("digest").agg(F.min(F.struct(F.col(f"row.`{key}`").isNull().alias("none"), F.col(f"row.`{key}`").alias("id"), "uid")).alias("first"))
+    kept = classes(rows, text=text, threshold=threshold, recall=recall).join(first, "digest").groupBy("root").agg(F.min("first").alias("first")).select("first.uid")
+    return rows.where("digest is null").unionByName(rows.join(kept, "uid", "left_semi")).select("row.*")
