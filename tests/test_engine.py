@@ -158,14 +158,17 @@ def slow_zigzag(high, low, depth, margin, backstep):
     return state
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_zigzag_rules(seed):
-    rows = walk(400, seed)
-    h, lo = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
-    got = zigzag.swing_states(h, lo, 5, 5.0, 3, 0.01)
-    assert got.tolist() == slow_zigzag(h.tolist(), lo.tolist(), 5, 0.05, 3)
-    turns = got[got != 0]
-    assert len(turns) > 10 and (turns[1:] != turns[:-1]).all()
+def test_zigzag_rules(spark):
+    """Against the step-by-step rules, on six walks and on one of few prices, which has many ties and bars that are both."""
+    held = {f"s{seed}": walk(400, seed) for seed in range(6)}
+    held["ties"] = [(*r[:3], *(float(round(x / 2)) for x in r[3:5]), *r[5:]) for r in walk(400, 9)]
+    df = spark.createDataFrame([(k, T0 + dt.timedelta(hours=i), *map(float, r[2:6]), 1) for k, rows in held.items() for i, r in enumerate(rows)], "symbol string, time timestamp, open double, high double, low double, close double, volume long")
+    for depth, backstep in ((5, 3), (12, 10), (3, 0)):
+        got = zigzag.zigzag(df, depth, 5.0, backstep, 0.01).toPandas().sort_values("time").groupby("symbol")["zz_state"].apply(list)
+        for k, rows in held.items():
+            assert got[k] == slow_zigzag([float(r[3]) for r in rows], [float(r[4]) for r in rows], depth, 0.05, backstep), (k, depth)
+    turns = [x for x in got["s0"] if x]
+    assert len(turns) > 10 and all(a != b for a, b in zip(turns, turns[1:], strict=False))
 
 
 def test_structure_labels(bars):

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.plans import catalog, queries_data, queries_features, queries_indicators, queries_learning  # noqa: F401
+from tidemark.plans import catalog, queries_data, queries_features, queries_indicators, queries_learning, queries_swings  # noqa: F401
 
 TABLES = ["events", "orders", "lineitem", "customer"]
 NAMES = sorted(catalog.SQL)
@@ -14,7 +14,7 @@ NAMES = sorted(catalog.SQL)
 
 def rows(df: pd.DataFrame) -> list:
     def value(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return None
         if hasattr(v, "year"):
             return str(pd.Timestamp(v))

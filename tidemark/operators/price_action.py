@@ -27,13 +27,18 @@ def _robust(df: DataFrame, c: str, out: str, n: int, least: int) -> DataFrame:
 def regime(df: DataFrame, atr_window: int = 14, width_window: int = 20, slope_window: int = 12, spike: float = 1.8, slope_thr: float = 0.20, lagged: bool = True, causal: bool = False) -> DataFrame:
     """Intensities of range, spike and channel in 0..1, the strongest as label.
 
-    Norming by the whole series looks ahead; causal=True norms by the series so far.
+    Norming by the whole series looks ahead, and so does filling a missing width with the median of
+    all. causal=True norms by the series so far and fills with the last width.
     """
     half = lambda n: max(2, n // 2)
     df = df.withColumn("_tr", true_range()).withColumn("_atr", rolling("_tr", atr_window, F.avg, half(atr_window)))
     df = df.withColumn("_rel", (_quantile("close", width_window, 0.75, half(width_window)) - _quantile("close", width_window, 0.25, half(width_window))) / (F.col("_atr") + 1e-9))
-    fill = F.percentile("_rel", F.lit(0.5)).over(running() if causal else whole())
-    df = df.withColumn("_rel", F.coalesce("_rel", fill)).withColumn("_ratio", F.col("_tr") / (F.col("_atr") + 1e-9)).withColumn("_d", F.col("close") - prev("close"))
+    if causal:
+        df = df.withColumn("_rel", F.last("_rel", True).over(running()))
+    else:  # one number a symbol, from an aggregate instead of a window that holds the whole symbol
+        middle = df.groupBy("symbol").agg(F.percentile("_rel", F.lit(0.5)).alias("_fill"))
+        df = df.join(middle, "symbol").withColumn("_rel", F.coalesce("_rel", "_fill")).drop("_fill")
+    df = df.withColumn("_ratio", F.col("_tr") / (F.col("_atr") + 1e-9)).withColumn("_d", F.col("close") - prev("close"))
     df = df.withColumn("_slope", rolling("_d", slope_window, F.sum, half(slope_window)))
     df = _robust(df, "_slope", "_z", slope_window, half(slope_window)).withColumn("_z", F.abs(clip(F.col("_z"), -2.0, 2.0)) / 2)
     df = df.withColumns({"_i0": clip(1 - norm01(F.col("_rel"), causal), 0.0, 1.0), "_i1": clip(clip(norm01(F.col("_ratio"), causal), 0.0, 1.0) + 0.25 * flag(F.col("_ratio") > spike), 0.0, 1.0), "_i2": clip(F.col("_z") + 0.15 * flag(F.col("_z") > slope_thr), 0.0, 1.0)})

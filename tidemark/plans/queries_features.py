@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
 from ..functions import patterns as pat
-from ..operators import levels, price_action, zigzag, zones
+from ..operators import levels, price_action, zones
 from ..sources.bars import resample
 from . import spec
 from .catalog import bars, ewm_sql, full, out, over_bars, query, r6, win, with_bars
@@ -89,73 +89,6 @@ def fractal_levels(spark: SparkSession, d: str) -> DataFrame:
     return out(levels.fractal_levels(bars(spark, d)).select("symbol", F.explode("levels").alias("level")))
 
 
-# zigzag: its choice of swings has no SQL; tests hold it against a step-by-step version
-SMALL = {"depth": 5, "backstep": 3}
-
-
-@query("zz01_zigzag")
-def zigzag_states(spark: SparkSession, d: str) -> DataFrame:
-    return out(zigzag.zigzag(bars(spark, d), **SMALL), "symbol", "time", "zz_state", "zz_high", "zz_low")
-
-
-@query("zz03_legs")
-def zigzag_legs(spark: SparkSession, d: str) -> DataFrame:
-    return out(zigzag.legs(zigzag.zigzag(bars(spark, d), **SMALL)))
-
-
-@query("zz02_zigzag_mtf")
-def zigzag_mtf(spark: SparkSession, d: str) -> DataFrame:
-    b = bars(spark, d)
-    return out(zigzag.mtf(b.withColumn("time", F.col("time").cast("timestamp")), resample(b, "D1"), depth=3), "symbol", "time", "htf_direction", "htf_start_extr")
-
-
-@query("lvl08_support_resistance")
-def support_resistance(spark: SparkSession, d: str) -> DataFrame:
-    return out(zigzag.support_resistance(zigzag.zigzag(bars(spark, d), **SMALL), True), "symbol", "time", "support", "resistance")
-
-
-@query("lvl09_sr_distance")
-def sr_distance(spark: SparkSession, d: str) -> DataFrame:
-    return out(levels.sr_distance(ind.atr(zigzag.support_resistance(zigzag.zigzag(bars(spark, d), **SMALL), True))), "symbol", "time", "sr_distance")
-
-
-@query("lvl10_leg_mask")
-def leg_mask(spark: SparkSession, d: str) -> DataFrame:
-    return out(zigzag.leg_mask(zigzag.zigzag(bars(spark, d), **SMALL)), "symbol", "time", "leg_mask")
-
-
-@query("lvl11_fibo")
-def fibo(spark: SparkSession, d: str) -> DataFrame:
-    return out(zigzag.fibo(zigzag.zigzag(bars(spark, d), **SMALL)), "symbol", "time", "fib_0_236", "fib_0_382", "fib_0_5", "fib_0_618", "fib_0_786")
-
-
-@query("pa01_market_structure")
-def market_structure(spark: SparkSession, d: str) -> DataFrame:
-    return out(zigzag.market_structure(zigzag.zigzag(bars(spark, d), **SMALL)), "symbol", "time", "label", "bos_up", "bos_down", "choch_up", "choch_down", "regime")
-
-
-def _clusters(spark: SparkSession, d: str) -> DataFrame:
-    b = bars(spark, d)
-    return levels.fibo_pipeline({"H4": b, "D1": resample(b, "D1")}, "H4", 0.5)
-
-
-@query("fib07_clusters")
-def clusters(spark: SparkSession, d: str) -> DataFrame:
-    return out(_clusters(spark, d), "symbol", "price_mean", "price_min", "price_max", "members", "score", "sr_score", "trend_score")
-
-
-@query("fib17_trade_zones")
-def trade_zones(spark: SparkSession, d: str) -> DataFrame:
-    b = ind.atr(bars(spark, d))
-    context = b.groupBy("symbol").agg(F.max_by("close", "time").alias("price"), F.max_by("atr", "time").alias("atr"))
-    return out(levels.trade_zones(_clusters(spark, d), context), "symbol", "zone_rank", "zone_low", "zone_high", "zone_mid", "zone_width", "score", "members", "distance_to_price", "within_proximity", "long_sl", "long_tp", "long_rr", "short_sl", "short_tp", "short_rr")
-
-
-@query("fib16_nearest_cluster")
-def nearest_cluster(spark: SparkSession, d: str) -> DataFrame:
-    return out(levels.nearest_cluster(bars(spark, d), _clusters(spark, d)), "symbol", "time", "fib_dist", "fib_level", "fib_members", "fib_score", "fib_inside")
-
-
 over_bars("fib11_rsi_score", with_bars(RSI_EMA + " === select symbol, time, " + r6("greatest(0.0, 1 - abs(rsi - 50) / 20)", "rsi_score") + " from rs where rsi is not null"), lambda b: ind.rsi(b).where("rsi is not null").withColumn("rsi_score", levels.rsi_score(F.col("rsi"))), ["rsi_score"])
 
 # zones
@@ -238,13 +171,6 @@ over_bars("pa08_zones", with_bars(ATR + ZONE["sd"] + ZONE["ob"] + life("sd") + l
 over_bars("pa09_imbalance", with_bars(ATR + ZONE["fvg"] + ZONE["ls"] + life("fvg") + " lt as (select symbol, time, lag(bu and not be) over (partition by symbol order by time) as su, lag(be) over (partition by symbol order by time) as se from ls_z), === select fvg5.symbol, fvg5.time, " + r6("abs(close - (atop + abot) / 2) / nullif(atr, 0)", "dist_to_fvg_mid") + ", " + cast_flags(("su", "sweep_up"), ("se", "sweep_down")) + " from fvg5 join lt using (symbol, time)"), lambda b: price_action.imbalance_features(ind.atr(b)), ["dist_to_fvg_mid", "sweep_up", "sweep_down"])
 
 
-@query("pa14_price_action")
-def price_action_chain(spark: SparkSession, d: str) -> DataFrame:
-    b = bars(spark, d)
-    b = b.withColumn("time", F.col("time").cast("timestamp"))
-    return out(price_action.price_action(b, resample(b, "D1"), **SMALL), "symbol", "time", "swing_type", "regime_label", "breakout_up", "micro_channel_up", "mtf_confluence_score", "conf_score", "conf_flag_filter_pass")
-
-
 @query("agg12_flag_rates", with_bars(f"q as (select *, lag(open) over ({PART}) as po, lag(close - open) over ({PART}) as pb from b), r as (select avg(cast(coalesce(pb < 0 and close > po and open < pc, false) as integer)) as a, avg(cast(coalesce(pb > 0 and close < po and open > pc, false) as integer)) as z from q), === select 'engulf_bull' as flag, {r6('a', 'rate')} from r union all select 'engulf_bear', {r6('z', 'rate')} from r"))
 def flag_rates(spark: SparkSession, d: str) -> DataFrame:
     """Rates of pattern flags, highest first; a report of the top 15."""
@@ -276,14 +202,6 @@ def feature_metadata(spark: SparkSession, d: str) -> DataFrame:
 MATRIX = [f"{s}@{tf}" for tf in ("M15", "M30", "H1", "H2", "H4", "H8", "D1", "W1") for s in ("sma(close,20)", "ema(close,20)", "wma(close,10)", "rsi(14)", "roc(10)", "atr(14)", "bbands(close,20,2)", "stoch(14,3)", "cci(20)", "wr(14)", "donchian(20)", "adx(14)")]
 
 
-@query("spec_matrix_12x8")
-def spec_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """The 12 x 8 workload: one aggregate a timeframe, one as-of join each. Its parts have SQL of their own."""
-    f = spec.run_specs(bars(spark, d, "M15"), MATRIX, "M15")
-    cols = [c for c in f.columns if c.startswith("__")]
-    return f.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), *[F.count(F.col(f"`{c}`")).alias(c.strip("_").replace("@", "_").replace("__", "_")) for c in cols])
-
-
 @query("prj03_tf_view", with_bars("select symbol, time, " + ", ".join(r6(c, c) for c in ("open", "high", "low", "close")) + " from b"))
 def tf_view(spark: SparkSession, d: str) -> DataFrame:
     b = bars(spark, d)
@@ -311,11 +229,5 @@ def last_leg(spark: SparkSession, d: str) -> DataFrame:
     return out(levels.swing_legs(levels.swings(bars(spark, d)), 1), "symbol", "from_time", "to_time", "p0", "p1")
 
 
-@query("top01_top_zones")
-def top_zones(spark: SparkSession, d: str) -> DataFrame:
-    return out(levels.top_zones(_clusters(spark, d), 10, 2), "symbol", "zone_rank", "price_mean", "members", "score")
-
-
 over_bars("fib14_enhanced_score", with_bars(ADR + f" s1 as (select *, {head(ewm_sql('close', '(2.0/21)'), 9)} as m from b), s2 as (select *, (m - lag(m) over ({PART})) / (({full('stddev_samp', 'close', 20, 10)}) + 1e-12) as sl from s1), === select s2.symbol, s2.time, " + r6("50 + 10 * tanh(abs(sl) / nullif(adr, 0))", "score") + " from s2 join da on s2.symbol = da.symbol and cast(s2.time as date) = day"), lambda b: levels.adr(ind.ma_slope(b)).withColumn("score", levels.enhanced_score(F.lit(50.0), F.col("ma_slope"), F.col("adr"))), ["score"])
 over_bars("pa12_confluence_additive", with_bars(CO.replace("/ 1.1, 0), 1) as sc", "/ 1.0, 0), 1) as sc") + f" === select symbol, time, {r6(f'coalesce(lag(sc) over ({PART}), 0.5)', 'conf_score')} from c2"), lambda b: price_action.confluence(price_action.mtf_context(price_action.breakouts(b), resample(b, "D1")), {"extras": 0.1}, extras_mode="additive"), ["conf_score"])
-over_bars("pa04_regime_causal", None, lambda b: price_action.regime(b, causal=True), ["regime_range", "regime_spike", "regime_channel", "regime_label"])
