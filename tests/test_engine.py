@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import indicators as ind
-from tidemark.operators import asof, learning, levels, news, sequential, zigzag
+from tidemark.operators import asof, learning, levels, news, scan, sequential, zigzag
 from tidemark.operators.scan import affine_scan, ewm
 from tidemark.plans import config, spec
 from tidemark.sources import bars as src
@@ -39,14 +39,50 @@ def series(df, cols, symbol="a"):
     return df.where(F.col("symbol") == symbol).orderBy("time").select(*cols).toPandas()
 
 
-@pytest.mark.parametrize("levels_", [0, 1])
-def test_scan_equals_loop(bars, levels_):
-    df = affine_scan(bars.withColumn("a", F.lit(0.9)), {"y": (F.col("a"), F.col("close") * 0.1)}, block=7, levels=levels_)
-    got = series(df, ["close", "y"])
-    y = 0.0
-    for c, v in zip(got["close"], got["y"], strict=True):
-        y = 0.9 * y + 0.1 * c
-        assert v == pytest.approx(y, abs=1e-9)
+@pytest.mark.parametrize("block,fan,chunk", [(7, 3, 2), (40, 256, 16), (1000, 4, 5)])
+def test_scan_equals_loop(spark, monkeypatch, block, fan, chunk):
+    """Varying maps, resets, rows without a value, uneven times, several symbols and one of a single row."""
+    monkeypatch.setattr(scan, "FAN", fan)
+    monkeypatch.setattr(scan, "CHUNK", chunk)
+    rng = random.Random(block)
+    rows = []
+    for symbol, n in (("a", 400), ("b", 57), ("c", 1)):
+        at = T0
+        for _ in range(n):
+            at += dt.timedelta(minutes=rng.choice([1, 1, 1, 5, 3000]))
+            rows.append((symbol, at, rng.choice([0.0, 0.5, 0.9, 1.0]), None if rng.random() < 0.2 else rng.gauss(0, 1), rng.gauss(0, 1)))
+    df = spark.createDataFrame(rows, "symbol string, time timestamp, a double, b double, f double")
+    got = {(r["symbol"], r["time"]): (r["y"], r["z"]) for r in affine_scan(df, {"y": (F.col("a"), F.col("b")), "z": (F.lit(0.3), F.col("b"), F.col("f"))}, block=block).collect()}
+    assert len(got) == len(rows)
+    y, z, last = None, None, None
+    for symbol, at, a, b, f in rows:
+        if symbol != last:
+            y, z, last = None, None, symbol
+        if b is not None:
+            y, z = (b if y is None else a * y + b), (f if z is None else 0.3 * z + b)
+        assert got[symbol, at] == (None, None) if y is None else got[symbol, at] == pytest.approx((y, z), abs=1e-12)
+
+
+def test_scan_of_one_long_symbol(spark):
+    """Two million rows of one symbol: 8,000 blocks, chained in groups."""
+    n = 2_000_000
+    df = spark.range(0, n, 1, 8).select(F.lit("a").alias("symbol"), F.timestamp_micros(F.col("id") * 1_000_000).alias("time"), F.col("id").cast("double").alias("x"))
+    got = ewm(df, {"e": ("x", 0.1)}).agg(F.count("e").alias("n"), F.max_by("e", "time").alias("last"), F.sum("e").alias("s")).first()
+    # the mean of a line lags behind it by (1 - alpha) / alpha
+    assert got["n"] == n and got["last"] == pytest.approx(n - 1 - 9, abs=1e-6)
+
+
+def test_means_of_several_operators_are_one_scan(bars, monkeypatch):
+    asked = []
+    plain = scan.ewm
+    monkeypatch.setattr(scan, "ewm", lambda df, means: (asked.append(len(means)), plain(df, means))[1])
+    f = spec.run_specs(bars, ["ema(close,20)", "ema(close,5)", "rsi(14)", "atr(14)", "macd(close,12,26,9)", "keltner(20)", "dema(close,10)"], "H4")
+    # one scan for all first means, one for macd's signal and dema's second mean
+    assert asked == [10, 2]
+    alone = ind.macd(ind.rsi(ind.ema(bars, n=5)))
+    want = series(alone, ["ema", "rsi", "macd_signal"])
+    got = series(f, ["`__ema@H4__ema_close_5`", "`__rsi@H4__rsi_14`", "`__macd@H4__macd_signal_close_12_26_9`"])
+    assert np.allclose(got.to_numpy(float), want.to_numpy(float), atol=1e-9, equal_nan=True)
 
 
 def test_ewm_equals_pandas(bars):

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scan import affine_scan, ewm, span
+from ..operators.scan import Steps, affine_scan, fresh, recurrent, span
 from .frames import after, by_time, earlier, flag, last_rows, nonzero, prev, rolling, rows, running
 
 
@@ -19,9 +19,11 @@ def sma(df: DataFrame, col: str = "close", n: int = 20, out: str = "sma") -> Dat
     return df.withColumn(out, rolling(col, n, F.avg))
 
 
-def ema(df: DataFrame, col: str = "close", n: int = 20, out: str = "ema") -> DataFrame:
-    seen = F.count(F.col(col)).over(running())
-    return ewm(df, {out: (col, span(n))}).withColumn(out, F.when(seen >= n, F.col(out)))
+@recurrent
+def ema(df: DataFrame, col: str = "close", n: int = 20, out: str = "ema") -> Steps:
+    mean = fresh("mean")
+    df = yield df, {mean: (col, span(n))}
+    return df.withColumn(out, F.when(F.count(F.col(col)).over(running()) >= n, F.col(mean))).drop(mean)
 
 
 def wma_of(c: Column, n: int) -> Column:
@@ -48,33 +50,57 @@ def tr(df: DataFrame, out: str = "tr") -> DataFrame:
     return df.withColumn(out, true_range())
 
 
+def _classic(df: DataFrame, n: int, out: str) -> DataFrame:
+    tr_ = fresh("tr")
+    return df.withColumn(tr_, true_range()).withColumn(out, rolling(tr_, n, F.avg)).drop(tr_)
+
+
+@recurrent
+def _smoothed_range(df: DataFrame, n: int = 14, out: str = "atr", alpha: float = 1 / 14) -> Steps:
+    tr_, mean = fresh("tr"), fresh("mean")
+    df = yield df.withColumn(tr_, true_range()), {mean: (tr_, alpha)}
+    return df.withColumn(out, after(F.col(mean), n)).drop(tr_, mean)
+
+
 def atr(df: DataFrame, n: int = 14, out: str = "atr", method: str = "wilder") -> DataFrame:
     """classic: mean of the true range; wilder and ema: its exponential mean, null in the first n rows."""
+    return _classic(df, n, out) if method == "classic" else _smoothed_range(df, n, out, 1.0 / n if method == "wilder" else span(n))
+
+
+def _atr_steps(df: DataFrame, n: int = 14, out: str = "atr", method: str = "wilder") -> Steps:
     if method == "classic":
-        return df.withColumn("_tr", true_range()).withColumn(out, rolling("_tr", n, F.avg)).drop("_tr")
-    alpha = 1.0 / n if method == "wilder" else span(n)
-    return ewm(df.withColumn("_tr", true_range()), {out: ("_tr", alpha)}).withColumn(out, after(F.col(out), n)).drop("_tr")
+        df = yield _classic(df, n, out), {}
+        return df
+    return (yield from _smoothed_range.steps(df, n, out, 1.0 / n if method == "wilder" else span(n)))
+
+
+atr.steps = _atr_steps
 
 
-def rsi(df: DataFrame, col: str = "close", n: int = 14, out: str = "rsi", method: str = "ema") -> DataFrame:
+@recurrent
+def rsi(df: DataFrame, col: str = "close", n: int = 14, out: str = "rsi", method: str = "ema") -> Steps:
     """100 where there was no loss; null without gain and loss and in the first n rows."""
     alpha = 1.0 / n if method == "wilder" else span(n)
-    d = F.col(col) - prev(col)
-    df = df.withColumn("_d", d).withColumn("_up", F.greatest(F.col("_d"), F.lit(0.0))).withColumn("_dn", F.greatest(-F.col("_d"), F.lit(0.0)))
-    df = df.withColumn("_up", F.when(F.col("_d").isNotNull(), F.col("_up"))).withColumn("_dn", F.when(F.col("_d").isNotNull(), F.col("_dn")))
-    df = ewm(df, {"_g": ("_up", alpha), "_l": ("_dn", alpha)})
-    value = F.when((F.col("_l") == 0) & (F.col("_g") == 0), None).when(F.col("_l") == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + F.col("_g") / F.col("_l")))
-    return df.withColumn(out, after(value, n)).drop("_d", "_up", "_dn", "_g", "_l")
+    d, g, l = (fresh(x) for x in "dgl")  # noqa: E741
+    c = F.col(d)
+    gain, loss = (F.when(c.isNotNull(), F.greatest(x, F.lit(0.0))) for x in (c, -c))
+    df = yield df.withColumn(d, F.col(col) - prev(col)), {g: (gain, alpha), l: (loss, alpha)}
+    value = F.when((F.col(l) == 0) & (F.col(g) == 0), None).when(F.col(l) == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + F.col(g) / F.col(l)))
+    return df.withColumn(out, after(value, n)).drop(d, g, l)
 
 
 def roc(df: DataFrame, col: str = "close", n: int = 10, out: str = "roc") -> DataFrame:
     return df.withColumn(out, (F.col(col) / nonzero(prev(col, n)) - 1) * 100)
 
 
-def macd(df: DataFrame, col: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = ewm(df, {"_f": (col, span(fast)), "_s": (col, span(slow))}).withColumn("macd", after(F.col("_f") - F.col("_s"), slow))
-    df = ewm(df, {"macd_signal": ("macd", span(signal))}).withColumn("macd_signal", after(F.col("macd_signal"), slow + signal - 1))
-    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_f", "_s")
+@recurrent
+def macd(df: DataFrame, col: str = "close", fast: int = 12, slow: int = 26, signal: int = 9) -> Steps:
+    f, s = fresh("f"), fresh("s")
+    df = yield df, {f: (col, span(fast)), s: (col, span(slow))}
+    line, mean = fresh("line"), fresh("mean")
+    df = yield df.withColumn(line, after(F.col(f) - F.col(s), slow)), {mean: (line, span(signal))}
+    df = df.withColumns({"macd": F.col(line), "macd_signal": after(F.col(mean), slow + signal - 1)})
+    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop(f, s, line, mean)
 
 
 def bbands(df: DataFrame, col: str = "close", n: int = 20, k: float = 2.0) -> DataFrame:
@@ -82,10 +108,12 @@ def bbands(df: DataFrame, col: str = "close", n: int = 20, k: float = 2.0) -> Da
     return df.withColumns({"bb_mid": mid, "bb_up": mid + k * dev, "bb_low": mid - k * dev})
 
 
-def keltner(df: DataFrame, n: int = 20, m: float = 2.0) -> DataFrame:
-    df = ewm(df.withColumn("_tr", true_range()), {"kc_mid": ("close", span(n)), "_atr": ("_tr", 1.0 / n)})
-    mid, width = after(F.col("kc_mid"), n), after(F.col("_atr"), n) * m
-    return df.withColumns({"kc_mid": mid, "kc_up": mid + width, "kc_low": mid - width}).drop("_tr", "_atr")
+@recurrent
+def keltner(df: DataFrame, n: int = 20, m: float = 2.0) -> Steps:
+    tr_, a, b = fresh("tr"), fresh("mid"), fresh("atr")
+    df = yield df.withColumn(tr_, true_range()), {a: ("close", span(n)), b: (tr_, 1.0 / n)}
+    mid, width = after(F.col(a), n), after(F.col(b), n) * m
+    return df.withColumns({"kc_mid": mid, "kc_up": mid + width, "kc_low": mid - width}).drop(tr_, a, b)
 
 
 def stoch(df: DataFrame, n: int = 14, d: int = 3) -> DataFrame:
@@ -132,9 +160,12 @@ def donchian(df: DataFrame, n: int = 20) -> DataFrame:
     return df.withColumns({"don_up": hi, "don_low": lo, "don_mid": (hi + lo) / 2})
 
 
-def chaikin_vol(df: DataFrame, n: int = 10, k: int = 10, out: str = "chaikin_vol") -> DataFrame:
-    df = ewm(df.withColumn("_r", F.col("high") - F.col("low")), {"_e": ("_r", span(n))}).withColumn("_e", after(F.col("_e"), n - 1))
-    return df.withColumn(out, 100 * (F.col("_e") / nonzero(prev("_e", k)) - 1)).drop("_r", "_e")
+@recurrent
+def chaikin_vol(df: DataFrame, n: int = 10, k: int = 10, out: str = "chaikin_vol") -> Steps:
+    e = fresh("e")
+    df = yield df, {e: (F.col("high") - F.col("low"), span(n))}
+    df = df.withColumn(e, after(F.col(e), n - 1))
+    return df.withColumn(out, 100 * (F.col(e) / nonzero(prev(e, k)) - 1)).drop(e)
 
 
 def adx(df: DataFrame, n: int = 14) -> DataFrame:
@@ -172,21 +203,33 @@ def kama(df: DataFrame, col: str = "close", n: int = 10, fast: int = 2, slow: in
     return df.drop("_d", "_sc", "_r")
 
 
-def _stacked(df: DataFrame, col: str, n: int, depth: int) -> DataFrame:
-    """EMA of EMA ...: _e1, _e2, ... each null until n values of the one before."""
-    last = col
-    for i in range(1, depth + 1):
-        df = ema(df, last, n, f"_e{i}")
-        last = f"_e{i}"
-    return df
+def _stacked(df: DataFrame, col: str, n: int, depth: int) -> Steps:
+    """EMA of EMA ..., each null until n values of the one before; returns the frame and their names."""
+    names: list[str] = []
+    for _ in range(depth):
+        last = names[-1] if names else col
+        e = yield from _named_ema(df, last, n)
+        df = e[0]
+        names.append(e[1])
+    return df, names
+
+
+def _named_ema(df: DataFrame, col: str, n: int) -> Steps:
+    name = fresh("e")
+    df = yield from ema.steps(df, col, n, name)
+    return df, name
 
 
-def dema(df: DataFrame, col: str = "close", n: int = 20, out: str = "dema") -> DataFrame:
-    return _stacked(df, col, n, 2).withColumn(out, 2 * F.col("_e1") - F.col("_e2")).drop("_e1", "_e2")
+@recurrent
+def dema(df: DataFrame, col: str = "close", n: int = 20, out: str = "dema") -> Steps:
+    df, (a, b) = yield from _stacked(df, col, n, 2)
+    return df.withColumn(out, 2 * F.col(a) - F.col(b)).drop(a, b)
 
 
-def tema(df: DataFrame, col: str = "close", n: int = 20, out: str = "tema") -> DataFrame:
-    return _stacked(df, col, n, 3).withColumn(out, 3 * F.col("_e1") - 3 * F.col("_e2") + F.col("_e3")).drop("_e1", "_e2", "_e3")
+@recurrent
+def tema(df: DataFrame, col: str = "close", n: int = 20, out: str = "tema") -> Steps:
+    df, (a, b, c) = yield from _stacked(df, col, n, 3)
+    return df.withColumn(out, 3 * F.col(a) - 3 * F.col(b) + F.col(c)).drop(a, b, c)
 
 
 def ichimoku(df: DataFrame, tenkan: int = 9, kijun: int = 26, span_b: int = 52) -> DataFrame:
@@ -196,22 +239,25 @@ def ichimoku(df: DataFrame, tenkan: int = 9, kijun: int = 26, span_b: int = 52)
     return df.withColumns({"ich_span_a": prev("_a", kijun), "ich_span_b": prev("_b", kijun)}).drop("_a", "_b")
 
 
-def ma_slope(df: DataFrame, col: str = "close", n: int = 20, method: str = "ema", norm: str = "stdev", out: str = "ma_slope", eps: float = 1e-12) -> DataFrame:
-    least = max(2, n // 2)
+@recurrent
+def ma_slope(df: DataFrame, col: str = "close", n: int = 20, method: str = "ema", norm: str = "stdev", out: str = "ma_slope", eps: float = 1e-12) -> Steps:
+    least, ma = max(2, n // 2), fresh("ma")
     if method == "ema":
-        df = ewm(df, {"_ma": (col, span(n))}).withColumn("_ma", F.when(F.count(col).over(running()) >= least, F.col("_ma")))
+        df = yield df, {ma: (col, span(n))}
+        df = df.withColumn(ma, F.when(F.count(col).over(running()) >= least, F.col(ma)))
     else:
-        df = df.withColumn("_ma", rolling(col, n, F.avg, least))
-    slope = F.col("_ma") - prev("_ma")
+        df = yield df.withColumn(ma, rolling(col, n, F.avg, least)), {}
+    slope = F.col(ma) - prev(ma)
     if norm == "stdev":
         slope = slope / (rolling(col, n, F.stddev_samp, least) + eps)
     elif norm == "price":
         slope = slope / (F.abs(F.col(col)) + eps)
-    return df.withColumn(out, slope).drop("_ma")
+    return df.withColumn(out, slope).drop(ma)
 
 
-def rsi_zone(df: DataFrame, n: int = 14, over: float = 70, under: float = 30, mid: float = 50, band: float = 5) -> DataFrame:
-    df = rsi(df, n=n)
+@recurrent
+def rsi_zone(df: DataFrame, n: int = 14, over: float = 70, under: float = 30, mid: float = 50, band: float = 5) -> Steps:
+    df = yield from rsi.steps(df, n=n)
     r = F.col("rsi")
     return df.withColumns({"rsi_is_overbought": flag(r >= over), "rsi_is_oversold": flag(r <= under), "rsi_mid_zone": flag(F.abs(r - mid) <= band)})
 

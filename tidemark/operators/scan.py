@@ -1,57 +1,74 @@
-"""Linear recurrences y[t] = a[t] * y[t-1] + b[t] by a two-level scan, without Python.
+"""Linear recurrences y[t] = a[t] * y[t-1] + b[t] by a scan over blocks, without Python.
 
-Affine maps compose, so the rows of a symbol are cut into blocks: each block's prefix maps are
-folded in parallel, the blocks' last maps are chained over a much smaller table, and each row's
-value is its block's prefix map at the value that enters the block. Blocks of one long symbol run
-on different executors.
+Affine maps compose, so the rows of a symbol are cut into blocks, each block's prefix maps are folded by
+itself, the blocks' last maps are chained in two steps, of which each sees few rows, and each row's value
+is its block's prefix map at the value that enters the block. The work grows with the number of rows;
+all of it, like every window by symbol, needs one shuffle by symbol and none of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+from functools import wraps
+from itertools import count
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEY, TIME, by_time, earlier
+from ..functions.frames import KEY, by_time
+
+#: Rows that a block has on average, blocks that are chained at once, and rows that a fold's list grows to.
+BLOCK, FAN, CHUNK = 256, 256, 16
+
+
+class _Maps:
+    """SQL for the maps of several recurrences at once: text, as a plan of it is built much faster than of Columns."""
+
+    def __init__(self, n: int):
+        self.names = [f"m{i}" for i in range(n)]
+        self.type = "struct<" + ",".join(f"{m}:struct<a:double,b:double,f:double>" for m in self.names) + ">"
 
-BLOCK = 256
+    def compose(self, p: str, e: str) -> str:
+        """The maps e of one stretch of rows after the maps p of another (null: none). f: the value if nothing came before."""
+        one = [f"'{m}', named_struct('a', {e}.{m}.a * {p}.{m}.a, 'b', {e}.{m}.a * {p}.{m}.b + {e}.{m}.b, 'f', if({p}.{m}.f is null, {e}.{m}.f, {e}.{m}.a * {p}.{m}.f + {e}.{m}.b))" for m in self.names]
+        return f"if({p} is null, {e}, named_struct({', '.join(one)}))"
 
+    def prefixes(self, maps: str) -> str:
+        """Each element after all before it; for short lists only, as the list is copied as it grows."""
+        return f"aggregate({maps}, cast(array() as array<{self.type}>), (acc, e) -> concat(acc, transform(array(try_element_at(acc, -1)), p -> {self.compose('p', 'e')})))"
 
-def affine_scan(df: DataFrame, maps: dict[str, tuple[Column, Column]], block: int = BLOCK, levels: int = 0) -> DataFrame:
-    """Adds a column y for each name in maps, y[t] = a[t] * y[t-1] + b[t] with y before the first row 0.
+    def scanned(self, df: DataFrame, maps: str, out: str) -> DataFrame:
+        """Adds prefixes of a long list: of chunks, then of the chunks' ends."""
+        chunks = f"transform(sequence(0, cast(ceil(size({maps}) / {CHUNK}) as int) - 1), c -> {self.prefixes(f'slice({maps}, c * {CHUNK} + 1, {CHUNK})')})"
+        df = df.withColumn("_c", F.expr(chunks)).withColumn("_d", F.expr(self.prefixes("transform(_c, c -> element_at(c, -1))")))
+        before = f"concat(array(cast(null as {self.type})), slice(_d, 1, size(_d) - 1))"
+        return df.withColumn(out, F.expr(f"flatten(zip_with(_c, {before}, (c, p) -> transform(c, e -> {self.compose('p', 'e')})))")).drop("_c", "_d")
 
-    a and b may use windows. Null b stands for a row without a value: y is carried over it. The
-    chain over a symbol's blocks is a fold for each block, right up to some millions of rows a
-    symbol; levels=1 chains the blocks by the same scan, for symbols longer than that.
+    def value(self, m: str, e: str, y: str) -> str:
+        return f"if({y} is null, {e}.{m}.f, {e}.{m}.a * {y} + {e}.{m}.b)"
+
+
+def affine_scan(df: DataFrame, maps: dict[str, tuple[Column, ...]], block: int = BLOCK) -> DataFrame:
+    """Adds a column y for each name in maps: (a, b) or (a, b, f).
+
+    y is null before the first row with a value, where it is f (b if not given), and a[t] * y[t-1] + b[t]
+    after that. Null b stands for a row without a value: y is carried over it. a, b and f may use windows.
     """
-    names = list(maps)
-    cols = df.columns
-    n = F.row_number().over(by_time()) - 1
-    given = df.select(*cols, n.alias("_n"), *[F.when(b.isNull(), F.lit(1.0)).otherwise(a).alias(f"_a{i}") for i, (a, b) in enumerate(maps.values())], *[F.coalesce(b, F.lit(0.0)).alias(f"_b{i}") for i, (_, b) in enumerate(maps.values())])
-    row = F.struct(F.col("_n"), *[F.struct(F.col(f"_a{i}").alias("a"), F.col(f"_b{i}").alias("b")).alias(f"m{i}") for i in range(len(names))], F.struct(*cols).alias("row"))
-    blocks = given.groupBy(KEY, F.floor(F.col("_n") / block).cast("long").alias("_k")).agg(F.sort_array(F.collect_list(row)).alias("_x"))
-
-    def prefix(i: int) -> Column:
-        """Maps composed from the block's first row on."""
-        unit = F.array(F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")))
-        step = lambda acc, x: F.concat(acc, F.array(F.struct((x[f"m{i}"]["a"] * F.element_at(acc, -1)["a"]).alias("a"), (x[f"m{i}"]["a"] * F.element_at(acc, -1)["b"] + x[f"m{i}"]["b"]).alias("b"))))
-        return F.slice(F.aggregate("_x", unit, step), 2, block)
-
-    blocks = blocks.select(KEY, "_k", "_x", *[prefix(i).alias(f"_p{i}") for i in range(len(names))])
-    if levels:
-        small = blocks.select(KEY, F.col("_k").alias(TIME), *[F.element_at(f"_p{i}", -1).alias(f"e{i}") for i in range(len(names))])
-        small = affine_scan(small, {f"_y{i}": (F.col(f"e{i}.a"), F.col(f"e{i}.b")) for i in range(len(names))}, block, levels - 1)
-        small = small.select(KEY, F.col(TIME).alias("_k"), *[F.coalesce(F.lag(f"_y{i}").over(by_time()), F.lit(0.0)).alias(f"_y{i}") for i in range(len(names))])
-        blocks = blocks.join(small, [KEY, "_k"])
-    else:
-        # what enters each block: a fold over the blocks before it, few rows a symbol
-        ends = F.struct("_k", *[F.element_at(f"_p{i}", -1).alias(f"e{i}") for i in range(len(names))])
-        before = Window.partitionBy(KEY).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-        blocks = blocks.withColumn("_e", F.collect_list(ends).over(before))
-        fold = lambda i: F.aggregate("_e", F.lit(0.0), lambda y, e: e[f"e{i}"]["a"] * y + e[f"e{i}"]["b"])
-        carry = [fold(i).alias(f"_y{i}") for i in range(len(names))]
-        blocks = blocks.select("_x", *[f"_p{i}" for i in range(len(names))], *carry)
-    value = F.transform("_x", lambda x, j: F.struct(x["row"].alias("row"), *[(F.element_at(f"_p{i}", j + 1)["a"] * F.col(f"_y{i}") + F.element_at(f"_p{i}", j + 1)["b"]).alias(f"y{i}") for i in range(len(names))]))
-    return blocks.select(F.explode(value).alias("_r")).select("_r.row.*", *[F.col(f"_r.y{i}").alias(name) for i, name in enumerate(names)])
+    sql = _Maps(len(maps))
+    parts = [F.struct(F.when(b.isNull(), F.lit(1.0)).otherwise(a).cast("double").alias("a"), F.coalesce(b.cast("double"), F.lit(0.0)).alias("b"), F.when(b.isNotNull(), (f[0] if f else b).cast("double")).alias("f")).alias(n) for n, (a, b, *f) in zip(sql.names, maps.values(), strict=True)]
+    given = df.select(KEY, (F.row_number().over(by_time()) - 1).alias("_n"), F.struct(*parts).alias("_m"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    blocks = given.groupBy(KEY, F.expr(f"_n div {block}").alias("_k")).agg(F.sort_array(F.collect_list(F.struct("_n", "_m", "_row"))).alias("_x"))
+    blocks = sql.scanned(blocks, "_x._m", "_p")
+    # the ends of the blocks before in a group of FAN blocks, and those of the groups before
+    blocks = blocks.selectExpr("*", "element_at(_p, -1) as _e", f"_k div {FAN} as _g")
+    blocks = blocks.selectExpr("*", f"collect_list(_e) over (partition by {KEY}, _g order by _k rows between unbounded preceding and 1 preceding) as _b")
+    blocks = blocks.selectExpr("*", f"if(_k % {FAN} = {FAN - 1}, aggregate(concat(_b, array(_e)), cast(null as {sql.type}), (p, e) -> {sql.compose('p', 'e')}), null) as _w")
+    blocks = blocks.selectExpr("*", f"collect_list(_w) over (partition by {KEY} order by _k rows between unbounded preceding and 1 preceding) as _h")
+    carry = [f"aggregate(concat(_h, _b), cast(null as double), (y, e) -> {sql.value(m, 'e', 'y')}) as {m}" for m in sql.names]
+    rows = blocks.selectExpr("_x", "_p", *carry)
+    values = ", ".join(f"'{m}', {sql.value(m, 'p', m)}" for m in sql.names)
+    rows = rows.select(F.expr(f"explode(zip_with(_x, _p, (x, p) -> named_struct('row', x._row, {values})))").alias("_r"))
+    return rows.select("_r.row.*", *[F.col(f"_r.{m}").alias(name) for m, name in zip(sql.names, maps, strict=True)])
 
 
 def ewm(df: DataFrame, averages: dict[str, tuple[str | Column, float]]) -> DataFrame:
@@ -59,20 +76,58 @@ def ewm(df: DataFrame, averages: dict[str, tuple[str | Column, float]]) -> DataF
 
     Null before the first value; a null later keeps the mean.
     """
-    df0 = df
     maps = {}
     for name, (x, alpha) in averages.items():
-        c = F.col(x) if isinstance(x, str) else x
-        hidden = f"_in_{name}"
-        df0 = df0.withColumn(hidden, c.cast("double"))
-        seen = F.count(F.col(hidden)).over(earlier())
-        maps[name] = (F.when(seen == 0, 0.0).otherwise(1 - alpha), F.when(seen == 0, F.col(hidden)).otherwise(F.col(hidden) * alpha))
-    out = affine_scan(df0, maps)
-    for name in averages:
-        out = out.withColumn(name, F.when(F.count(F.col(f"_in_{name}")).over(by_time().rowsBetween(Window.unboundedPreceding, 0)) > 0, F.col(name)))
-    return out.drop(*[f"_in_{name}" for name in averages])
+        c = (F.col(x) if isinstance(x, str) else x).cast("double")
+        maps[name] = (F.lit(1.0 - alpha), c * alpha, c)
+    return affine_scan(df, maps)
 
 
 def span(n: int) -> float:
     return 2.0 / (n + 1)
 
+
+#: A step of an operator: the frame it has come to and the means it wants on it.
+Steps = Iterator[tuple[DataFrame, dict[str, tuple[str | Column, float]]]]
+_numbers = count()
+
+
+def fresh(name: str) -> str:
+    """A column name that no other step has."""
+    return f"_{name}_{next(_numbers)}"
+
+
+def recurrent(steps: Callable[..., Steps]) -> Callable[..., DataFrame]:
+    """An operator written as a generator that yields (frame, means) where it needs exponential means, gets
+    the frame with them and returns the last frame. It runs alone or, through together(), with others."""
+
+    @wraps(steps)
+    def alone(df: DataFrame, *args, **kwargs) -> DataFrame:
+        return together(df, [lambda d: steps(d, *args, **kwargs)])
+
+    alone.steps = steps
+    return alone
+
+
+def together(df: DataFrame, operators: list[Callable[[DataFrame], Steps]]) -> DataFrame:
+    """Run operators on one frame, the means that they want at the same step in one scan."""
+    waiting: list[Steps] = []
+    wanted: dict = {}
+    for op in operators:
+        g = op(df)
+        df, more = next(g)
+        wanted |= more
+        waiting.append(g)
+    while waiting:
+        df = ewm(df, wanted) if wanted else df
+        wanted, still = {}, []
+        for g in waiting:
+            try:
+                df, more = g.send(df)
+            except StopIteration as done:
+                df = done.value
+            else:
+                wanted |= more
+                still.append(g)
+        waiting = still
+    return df

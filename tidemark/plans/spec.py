@@ -22,6 +22,7 @@ from ..functions import indicators as ind
 from ..functions import patterns as pat
 from ..operators import levels, price_action, sequential, zigzag, zones
 from ..operators.asof import asof_many
+from ..operators.scan import Steps, together
 from ..sources.bars import resample, seconds
 
 log = logging.getLogger(__name__)
@@ -229,21 +230,49 @@ def plan(specs: list[str], base_tf: str, has_volume: bool = True, strict: bool =
     return Plan(groups, skipped)
 
 
+def _kept(steps: Callable, params: dict, plain: Callable[[list[str]], dict[str, str]]) -> Callable:
+    """Steps whose columns, which come with the last step, get plain names at once: two may make the same."""
+
+    def run(df: DataFrame) -> Steps:
+        g = steps(df, **params)
+        wanted = next(g)
+        while True:
+            df = yield wanted
+            try:
+                wanted = g.send(df)
+            except StopIteration as done:
+                return done.value.withColumnsRenamed(plain([c for c in done.value.columns if c not in df.columns]))
+
+    return run
+
+
 def compute(bars: DataFrame, specs: list[Spec], tf: str) -> DataFrame:
-    """(symbol, time, features) of one timeframe, all operators chained on the same bars."""
-    out, names = bars.select(*[c for c in BARS if c in bars.columns]), {}
-    for spec in specs:
+    """(symbol, time, features) of one timeframe, all operators chained on the same bars.
+
+    Operators with exponential means run together, so that the means of a timeframe are one scan.
+    """
+    base = bars.select(*[c for c in BARS if c in bars.columns])
+    names: dict[str, str] = {}
+    calls = [(s, REGISTRY[s.name].fn, bind(s)) for s in specs]
+
+    def plain(spec: Spec, new: list[str]) -> dict[str, str]:
+        """Names for an operator's columns until the end: no operator makes them, and they need no quotes."""
+        own = {c: f"kept{len(names) + i}" for i, c in enumerate(new)}
+        names.update({k: name_of(spec, tf, c) for c, k in own.items()})
+        return own
+
+    out = together(base, [_kept(fn.steps, params, lambda new, s=s: plain(s, new)) for s, fn, params in calls if hasattr(fn, "steps")])
+    for spec, fn, params in calls:
+        if hasattr(fn, "steps"):
+            continue
         keep = out.columns
-        done = REGISTRY[spec.name].fn(out, **bind(spec))
+        done = fn(out, **params)
         made = done.columns
         new = [c for c in made if c not in keep and c != "pos"]
         missing = [c for c in keep if c not in made]
         if missing:  # an operator that rebuilds its rows from the bars
             done = done.join(out.select("symbol", "time", *missing), ["symbol", "time"], "left")
-        # plain names until the end: no operator makes them, and they need no quotes
-        plain = {c: f"kept{len(names) + i}" for i, c in enumerate(new)}
-        out = done.select(*keep, *[F.col(c).alias(k) for c, k in plain.items()])
-        names |= {k: name_of(spec, tf, c) for c, k in plain.items()}
+        out = done.select(*keep, *[F.col(c).alias(k) for c, k in plain(spec, new).items()])
     return out.select("symbol", "time", *[F.col(k).alias(n) for k, n in names.items()])
 
 
