@@ -53,6 +53,28 @@ def test_bounds_hold():
     x = rng.normal(size=(200, 24)) * rng.choice([0.01, 1, 100], 200)[:, None]
     q = nearest.quantise(x)
     low, high = nearest.bounds(q, q)
+    fine = nearest.both_codes(x)
+    assert np.median(fine[5]) < 0.02 * np.median(fine[2])
     true = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     assert (low <= true).all() and (true <= high).all()
     assert np.median(high - low) < 0.05 * np.median(true)
+
+
+def test_copies_and_near_copies_stay_few(spark):
+    """A large group of equal rows and one of close vectors: what leaves a tile grows with k, not with the groups."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 24)), 700, axis=0), rng.normal(size=(1, 24)) + rng.normal(size=(700, 24)) * 0.05, rng.normal(size=(200, 24))])
+    one = x[699:]  # the copies are one candidate
+    found = nearest.survivors(np.arange(len(one)), nearest.both_codes(one), [{i} for i in range(len(one))], nearest.both_codes(one), 10)
+    assert np.bincount(found[0]).max() <= 30
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3, x[3].tolist())] * 15
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    got = {}
+    for r in nearest.knn(df.where("vec_id in (0, 3, 650, 700, 1500)"), df, 10, query_block=2, candidate_block=300).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    ids = np.array([r[0] for r in rows])
+    whole = np.array([r[1] for r in rows])
+    for q in (0, 3, 650, 700, 1500):
+        d = nearest.distances(np.repeat(x[q][None], len(ids), axis=0), whole)
+        order = [int(ids[i]) for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        assert [v for _, v in sorted(got[q])] == order, q
