@@ -7,8 +7,9 @@ vertices by the DEPTH values of one tree (a range sort, so that a trie lies over
 with the length of the prefix that each row shares with the row before it. Vertices that share the
 first d values are a subtree. The join starts with whole labels and shortens the prefix by one while
 the recall is short of its target: that measured on up to AUDIT vertices, which are compared with all
-texts exactly (the mean of each group size), and that estimated from the similarities of the links
-found. Only subtrees that branch at the new length are looked at again, and a pair is handled once:
+texts exactly (the mean of each group size, LEAST at least), and that estimated from the similarities of
+the links found and from how many the last shortening has added; a length that promises the target for
+any pair at the threshold is enough if the measured recall is. Only subtrees that branch at the new length are looked at again, and a pair is handled once:
 at the longest prefix it shares, in the first tree where it does.
 
 A label that more than SLICE vertices share marks a large group. Labels with common vertices are one
@@ -49,7 +50,8 @@ log = logging.getLogger(__name__)
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 16, 6
 SLICE = 256
-AUDIT = 500
+#: Vertices that are compared with all texts, and the recall that they must have.
+AUDIT, LEAST = 500, 0.99
 BASE = 0x9E3779B97F4A7C15 | 1
 U64 = np.uint64
 
@@ -395,7 +397,7 @@ def classes(rows: DataFrame, *, text: str = "text", threshold: float = THRESHOLD
         whole = inside.groupBy("ball").agg(F.sum("w").alias("all"))
         found.append(inside.join(whole, "ball").select("id", F.col("ball").alias("root"), (F.col("all") - F.col("w")).alias("n")).where("n > 0"))
     made.append(trie)
-    true, depth = audited(wordy, texts, threshold), DEPTH
+    true, depth, total = audited(wordy, texts, threshold), DEPTH, 0
     held = vert.where(F.col("id").isin(list(true))).select("id", "w").collect()
     while True:
         new = written(verify(candidates(trie, wordy, depth, depth == DEPTH, threshold), texts, weights, depth, threshold), "links")
@@ -407,8 +409,10 @@ def classes(rows: DataFrame, *, text: str = "text", threshold: float = THRESHOLD
             seen.update({r["id"]: r["n"] for r in part.where(F.col("id").isin(list(true))).groupBy("id").agg(F.sum("n").alias("n")).collect()})
         measured = recall_of(np.array([true[r["id"]] - r["w"] for r in held], np.int64), np.array([seen[r["id"]] for r in held], np.int64))
         log.info("prefixes of %s: %s links, %s expected, measured recall %s", depth, got, expected, measured)
-        # what pairs like those found at this length leave to shorter ones
-        if depth == 1 or (measured >= recall and (not got or got / expected >= recall)):
+        total += got or 0
+        # what pairs like those found at this length leave to shorter ones, and what this length has added
+        few = (not got or got / expected >= recall) and (depth == DEPTH or (got or 0) <= (1 - recall) * total)
+        if depth == 1 or (measured >= LEAST and (few or chance(threshold, depth) >= recall)):
             break
         depth -= 1
     links = found[0]
