@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import indicators as ind
 from tidemark.operators import asof, learning, levels, news, scan, sequential, zigzag
 from tidemark.operators.scan import affine_scan, ewm
-from tidemark.plans import config, spec
+from tidemark.plans import config, search, spec
 from tidemark.sources import bars as src
-from tidemark.streaming import live
+from tidemark.sources import store
+from tidemark.streaming import live, positions
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -336,3 +337,34 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     want = {tuple(r) for r in src.ticks_to_bars(df, "H1").select("symbol", "time", "open", "high", "low", "close", "volume").collect()}
     assert got <= want
+
+
+def test_position_rules():
+    """A long that reaches break-even, trails, never falls back, and is scaled out; decided every second step."""
+    rules = {"every": 2, "even_r": 1.0, "trail": 1.0, "scale": ((2.0, 0.5),)}
+    state, seen = None, []
+    for price in (100, 104, 111, 112, 125, 126, 105, 105):
+        state, r, event = positions.follow(state, float(price), 5.0, 1, 10.0, 1.0, **rules)
+        seen.append((round(r, 2), state[1], state[2], event))
+    assert seen == [(0.0, 90.0, 1.0, ""), (0.4, 90.0, 1.0, ""), (1.1, 106.0, 1.0, "breakeven,trail"), (1.2, 106.0, 1.0, ""), (2.5, 120.0, 0.5, "trail,scale"), (2.6, 120.0, 0.5, ""), (0.5, 120.0, 0.5, ""), (0.5, 120.0, 0.5, "")]
+    short, _, event = positions.follow((100.0, 110.0, 1.0, False, 3, 0), 85.0, 5.0, -1, 10.0, 1.0, **rules)
+    assert short[1] == 90.0 and event == "breakeven,trail"
+
+
+def test_search_and_configuration(spark, tmp_path):
+    best, trials = search.search(spark, lambda p: spark.createDataFrame([(float(p["n"]),)], "x double"), lambda df: df.agg((-F.abs(F.max("x") - 7)).alias("value")), {"n": {"type": "int", "low": 1, "high": 20}}, 12, 3)
+    held = trials.collect()
+    assert len(held) == 12 and max(r["value"] for r in held) == -abs(best["n"] - 7)
+    assert search.tune(lambda v: v / 10, 9.0, 0.2, 0.3, 1.0, -1) == 3.0 and search.tune(lambda v: 0.25, 9.0, 0.2, 0.3, 1.0) == 9.0
+    cfg = search.apply({}, {"pa.breakouts.range_window": 30, "pa.confluence.weights": [0.4, 0.3, 0.2, 0.1], "other": 1})
+    assert cfg == {"features": {"price_action_params": {"breakouts": {"range_window": 30}, "confluence": {"weights": {"structure": 0.4, "zones": 0.3, "imbalance": 0.2, "mtf": 0.1}}}}}
+    assert search.component(cfg, "breakouts", {"range_window": 9, "x": 1}) == {"range_window": 9, "x": 1}
+    assert search.spread_of({"trading": {"costs": {"spread_pts": -3}}}) == {"use_series": False, "value": 0.0, "source": "config_costs"}
+    assert search.spread_of({"evaluation": {"backtest": {"reuse_historical_spread": True}}}, ["time", "M1_Spread"])["column"] == "M1_Spread"
+    assert search.news_windows({"safety": {"news_filter": {"medium_impact_freeze_minutes_before": 7}}})["medium"] == (7, 10)
+    with pytest.raises(FileNotFoundError):
+        store.read_processed(spark, f"file://{tmp_path}/none.parquet")
+    df = spark.createDataFrame([("a", T0, 1.5)], "symbol string, time timestamp, pnl double")
+    for form in ("csv", "json"):
+        assert store.save_trades(df, f"file://{tmp_path}/{form}", form).collect() == df.collect()
+    assert store.sidecar(df, f"file://{tmp_path}/side.json", symbol="a")["rows"] == 1

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.plans import catalog, queries_data, queries_features, queries_indicators, queries_learning, queries_swings  # noqa: F401
+from tidemark.plans import catalog, queries_data, queries_features, queries_indicators, queries_learning, queries_store, queries_swings  # noqa: F401
 
 TABLES = ["events", "orders", "lineitem", "customer"]
 NAMES = sorted(catalog.SQL)

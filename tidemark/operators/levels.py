@@ -142,13 +142,14 @@ def clusters(levels: DataFrame, tol_pct: float = 0.08, prefer: float = 0.618, we
 
     A cluster takes what lies within tol_pct of its first member, so neighbours don't chain: the
     walk depends on where the last cluster began, one small pandas function a symbol. trend, rsi
-    (-1..1) and sr (array of levels) are context values of the symbol.
+    (-1..1), sr (array of levels) and tol_pct, if there, are values of the symbol.
     """
     weights = weights or TF_WEIGHTS
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["price", "tf", "ratio"], kind="stable").reset_index(drop=True)
         n_tf = pdf["tf"].nunique()
+        tol = pdf["tol_pct"].iloc[0] if "tol_pct" in pdf else tol_pct
         trend = pdf["trend"].dropna().iloc[0] if "trend" in pdf and pdf["trend"].notna().any() else None
         rsi = pdf["rsi"].dropna().iloc[0] if "rsi" in pdf and pdf["rsi"].notna().any() else None
         trend_score = math.tanh(abs(trend)) if trend is not None else 0.0
@@ -156,7 +157,7 @@ def clusters(levels: DataFrame, tol_pct: float = 0.08, prefer: float = 0.618, we
         out, price, start = [], pdf["price"].to_numpy(float), 0
         while start < len(pdf):
             end = start
-            while end < len(pdf) and abs(price[end] - price[start]) <= price[start] * tol_pct / 100:
+            while end < len(pdf) and abs(price[end] - price[start]) <= price[start] * tol / 100:
                 end += 1
             end = max(end, start + 1)
             part = pdf.iloc[start:end]
@@ -176,6 +177,22 @@ def clusters(levels: DataFrame, tol_pct: float = 0.08, prefer: float = 0.618, we
     return out
 
 
+def adaptive_tolerance(df: DataFrame, mode: str = "FIXED", fixed_pct: float = 0.08, mult: float = 1.0) -> DataFrame:
+    """(symbol, tol_pct): a fixed tolerance, or the last ATR or ADR over the last close; fixed where there is none."""
+    col = {"ATR": "atr", "ADR": "adr"}.get(mode.upper())
+    if col is None:
+        return df.groupBy("symbol").agg(F.lit(fixed_pct).alias("tol_pct"))
+    last = df.groupBy("symbol").agg(F.max_by("close", "time").alias("_c"), F.max_by(col, F.when(F.col(col).isNotNull(), F.col("time"))).alias("_r"))
+    return last.select("symbol", F.coalesce(F.col("_r") / F.greatest(F.col("_c"), F.lit(1e-9)) * mult, F.lit(fixed_pct)).alias("tol_pct"))
+
+
+def attach_abc(df: DataFrame, sw: DataFrame, ratios: tuple[float, ...] = (1.0, 1.618)) -> DataFrame:
+    """Bars with the projections of their symbol's last three swings; the swings come from all data (not causal)."""
+    p = abc_projections(sw, ratios)
+    last = p.groupBy("symbol").agg(*[F.max_by("price", F.when(F.col("ratio") == r, F.col("time"))).alias(f"abc_{str(r).replace('.', '_')}") for r in ratios])
+    return df.join(last, "symbol", "left")
+
+
 def top_zones(cl: DataFrame, k: int = 10, min_members: int = 1, min_score: float | None = None) -> DataFrame:
     """The k best clusters of each symbol."""
     cl = cl.where(F.col("members") >= min_members)

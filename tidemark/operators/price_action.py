@@ -162,6 +162,21 @@ def confluence(df: DataFrame, weights: dict[str, float] | None = None, strong: f
     return df.withColumns({"conf_score": F.coalesce("conf_score", F.lit(0.5)), "conf_flag_strong_entry": F.coalesce("conf_flag_strong_entry", F.lit(0)), "conf_flag_filter_pass": F.coalesce("conf_flag_filter_pass", F.lit(0))})
 
 
+def confluence_signals(df: DataFrame, weights: dict[str, float] | None = None, strong: float = 0.7, keep: float = 0.5, lagged: bool = True) -> DataFrame:
+    """Confluence of signals in 0..1 that are there already, with hard limits; a missing column counts as 0.
+
+    The flags follow the score of their own row, score and components are those of the row before.
+    """
+    have, unit = set(df.columns), lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    total = lambda *names: sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names if c in have), F.lit(0.0))
+    parts = {"structure": unit(total("pa_structure_1", "pa_structure_2", "pa_structure_3") / 3), "zones": unit(total("pa_zone_1", "pa_zone_2") / 2), "imbalance": unit(total("pa_imbalance")), "mtf": unit(total("pa_mtf")), "extras": F.greatest(total("rg_signal", "bo_signal", "mc_signal"), F.lit(0.0))}
+    df = df.withColumns({f"conf_components_{k}": v for k, v in parts.items()})
+    w = BASKETS | (weights or {})
+    df = df.withColumn("conf_score", unit(sum((F.col(f"conf_components_{k}") * w[k] for k in parts), F.lit(0.0))))
+    df = df.withColumns({"conf_flag_strong_entry": flag(F.col("conf_score") > strong), "conf_flag_filter_pass": flag(F.col("conf_score") > keep)})
+    return df.withColumns({c: prev(c) for c in ["conf_score", *[f"conf_components_{k}" for k in parts]]}) if lagged else df
+
+
 def zone_features(df: DataFrame) -> DataFrame:
     """Distances to supply/demand and order-block zones in ATR."""
     from .zones import lifecycle, order_block, supply_demand

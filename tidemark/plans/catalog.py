@@ -28,6 +28,11 @@ def bars(spark: SparkSession, sf_dir: str, tf: str = TF) -> DataFrame:
     return ticks_to_bars(events(spark, sf_dir), tf)
 
 
+def shared(spark: SparkSession) -> str:
+    """A folder that driver and executors share: under spark.checkpoint.dir, or in the warehouse where that is unset."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/tidemark"
+
+
 def out(df: DataFrame, *cols: str | Column) -> DataFrame:
     """Chosen columns as a query returns them: doubles rounded, -0.0 as 0.0, times without zone."""
     df = df.select(*cols) if cols else df

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from ..functions import indicators as ind
 from ..functions.frames import by_time, running
 from ..operators import learning as ml
 from ..streaming import live
-from .catalog import bars, events, ewm_sql, full, out, over_bars, query, r6, win, with_bars
+from .catalog import bars, events, ewm_sql, full, out, over_bars, query, r6, shared, win, with_bars
 from .queries_indicators import T, head
 
 PART = "partition by symbol order by time"
@@ -43,11 +42,6 @@ over_bars("spl01_ratio", with_bars("s as (select *, count(*) over (partition by
 over_bars("spl02_dates", with_bars("select symbol, time, case when time between '2024-01-01' and '2024-01-15' then 'train' when time between '2024-01-16' and '2024-01-20' then 'val' end as split from b"), lambda b: ml.date_split(b, {"train": ("2024-01-01", "2024-01-15"), "val": ("2024-01-16", "2024-01-20")}), ["split"])
 
 
-@query("spl01_ratio_session")
-def ratio_session(spark: SparkSession, d: str) -> DataFrame:
-    return out(ml.ratio_split(bars(spark, d), snap_tz="America/New_York"), "symbol", "time", "split")
-
-
 @query("agg13_split_summary", with_bars("s as (select *, count(*) over (partition by symbol) as n from b), q as (select symbol, time, case when rn - 1 < floor(n * cast('0.7' as double)) then 'train' when rn - 1 < floor(n * (cast('0.7' as double) + cast('0.15' as double))) then 'val' else 'test' end as split from s), === select symbol, split, count(*) as bars, min(time) as start, max(time) as \"end\" from q group by symbol, split"))
 def split_summary(spark: SparkSession, d: str) -> DataFrame:
     return out(ml.split_summary(ml.ratio_split(bars(spark, d))))
@@ -98,7 +92,7 @@ def gates(spark: SparkSession, d: str) -> DataFrame:
 
 over_bars("agg10_drawdown", with_bars(f"e as (select *, sum(close - open) over ({PART}) as eq from b), k as (select *, max(eq) over ({PART}) as pk from e), === select symbol, time, " + r6("pk - eq", "drawdown") + " from k"), lambda b: b.withColumn("eq", F.sum(F.col("close") - F.col("open")).over(running())).withColumn("drawdown", F.max("eq").over(running()) - F.col("eq")), ["drawdown"])
 over_bars("agg14_norm01", with_bars(f"select symbol, time, {r6('(close - min(close) over ps) / (max(close) over ps - min(close) over ps + 1e-9)', 'whole')}, {r6(f'(close - min(close) over ({PART})) / (max(close) over ({PART}) - min(close) over ({PART}) + 1e-9)', 'so_far')} from b window ps as (partition by symbol)"), lambda b: b.withColumns({"whole": _norm(False), "so_far": _norm(True)}), ["whole", "so_far"])
-over_bars("agg15_slippage", with_bars(f"s as (select *, abs(close - open) as sl from b), === select symbol, time, {r6(f'quantile_cont(sl, 0.5) over {win(64)}', 'sl_p50')}, {r6(f'quantile_cont(sl, 0.9) over {win(64)}', 'sl_p90')} from s"), lambda b: ml.slippage_quantiles(b.withColumn("sl", F.abs(F.col("close") - F.col("open"))), "sl", 64), ["sl_p50", "sl_p90"])
+over_bars("agg15_slippage", with_bars(f"s as (select *, abs(close - open) as sl from b), === select symbol, time, {r6(f'quantile_cont(sl, 0.5) over {win(512)}', 'sl_p50')}, {r6(f'quantile_cont(sl, 0.9) over {win(512)}', 'sl_p90')} from s"), lambda b: ml.slippage_quantiles(b.withColumn("sl", F.abs(F.col("close") - F.col("open"))), "sl"), ["sl_p50", "sl_p90"])
 
 
 def _norm(causal: bool):
@@ -118,18 +112,11 @@ over_bars("rsk02_breach", with_bars(f"e as (select *, 1000 + sum(close - open) o
 over_bars("rsk03_manage", with_bars(ATR + " === select symbol, time, cast(coalesce((close - open) / 10 >= 1, false) as integer) as breakeven, " + r6("case when atr > 0 then 2 * atr else 0 end", "trail_offset") + ", " + r6("least(greatest(round_even(volume * 0.1 / 0.01, 0) * 0.01, 0.01), 5.0)", "canary_lots") + " from att"), lambda b: ml.manage(ind.atr(b).withColumns({"r_multiple": (F.col("close") - F.col("open")) / 10, "lots": F.col("volume").cast("double")}), trail_mult=2.0), ["breakeven", "trail_offset", "canary_lots"])
 
 
-@query("sim01_simulator")
-def simulator(spark: SparkSession, d: str) -> DataFrame:
-    b = positions(ind.atr(bars(spark, d))).withColumnRenamed("position", "action")
-    return out(ml.simulate(b, cost=0.001), "symbol", "time", "position", "reward", "equity", "stop", "target", "event")
-
-
 # streams: a bounded file source, run to its end, must equal the batch
 def _run_stream(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and read what it wrote to the shared folder."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    at = f"{root}/tidemark/stream-{uuid.uuid4().hex}"
+    at = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
@@ -185,7 +172,7 @@ def price_spikes(spark: SparkSession, d: str) -> DataFrame:
     return _run_stream(live.price_spikes(s, 50.0)).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("spike").alias("spikes"))
 
 
-@query("str08_stream_ewm", "with k as (select event_type as symbol, list_reduce(list(value order by ts, event_id), lambda a, v: a * 0.9 + v * 0.1) as ewm, count(*) as n from events group by 1) select symbol, n, round(ewm, 6) + 0.0 as ewm from k")
+@query("stream_ewm", "with k as (select event_type as symbol, list_reduce(list(value order by ts, event_id), lambda a, v: a * 0.9 + v * 0.1) as ewm, count(*) as n from events group by 1) select symbol, n, round(ewm, 6) + 0.0 as ewm from k")
 def stream_ewm(spark: SparkSession, d: str) -> DataFrame:
     """The mean after the last tick of each symbol."""
     s = _event_stream(spark, d).select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("time"), F.col("value").alias("price"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
 from ..operators import levels, price_action, zigzag
-from ..sources.bars import resample, seconds
+from ..sources.bars import resample
 from . import spec
 from .catalog import bars, ewm_sql, full, out, over_bars, query, r6, win, with_bars
 from .queries_features import ATR, BO, MC, MT, PART, REG, SW, ZONE, cast_flags, life
@@ -188,18 +188,15 @@ SO_FAR = f"over ({PART} rows between unbounded preceding and current row)"
 CAUSAL = REG.replace("coalesce(rel0, quantile_cont(rel0, 0.5) over (partition by symbol)) as rel", f"last_value(rel0 ignore nulls) {SO_FAR} as rel").replace("window ps as (partition by symbol)", "window ps as (partition by symbol order by time)")
 over_bars("pa04_regime_causal", with_bars(CAUSAL + f" === select symbol, time, {r6('coalesce(i0, 0)', 'regime_range')}, {r6('coalesce(i1, 0)', 'regime_spike')}, {r6('coalesce(i2, 0)', 'regime_channel')}, {LABEL} as regime_label from g6"), lambda b: price_action.regime(b, causal=True), ["regime_range", "regime_spike", "regime_channel", "regime_label"])
 
-#: Twelve indicators on eight timeframes of M15 bars, and the bars that each needs before its first value, by output.
+#: Twelve indicators on eight timeframes of M15 bars.
 TFS = ("M15", "M30", "H1", "H2", "H4", "H8", "D1", "W1")
-TWELVE = {
-    "sma(close,20)": {"sma_close_20": 20}, "ema(close,20)": {"ema_close_20": 20}, "wma(close,10)": {"wma_close_10": 10}, "rsi(14)": {"rsi_14": 15}, "roc(10)": {"roc_10": 11}, "atr(14)": {"atr_14": 15},
-    "bbands(close,20,2)": {"bb_mid_close_20_2": 20, "bb_up_close_20_2": 20, "bb_low_close_20_2": 20}, "stoch(14,3)": {"stoch_k_14_3": 14, "stoch_d_14_3": 16}, "cci(20)": {"cci_20": 20}, "wr(14)": {"wr_14": 14}, "donchian(20)": {"don_up_20": 20, "don_low_20": 20}, "adx(14)": {},
-}
+TWELVE = ("sma(close,20)", "ema(close,20)", "wma(close,10)", "rsi(14)", "roc(10)", "atr(14)", "bbands(close,20,2)", "stoch(14,3)", "cci(20)", "wr(14)", "donchian(20)", "adx(14)")
 MATRIX = [f"{s}@{tf}" for tf in TFS for s in TWELVE]
 
 
 @query("spec_matrix_12x8")
 def spec_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """The 12 x 8 workload: one scan, one aggregate and one as-of join a timeframe."""
+    """The 12 x 8 workload: one scan and one aggregate a timeframe, one as-of join for all. Its parts have SQL of their own."""
     f = spec.run_specs(bars(spark, d, "M15"), MATRIX, "M15")
     cols = [c for c in f.columns if c.startswith("__")]
     return f.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), *[F.count(F.col(f"`{c}`")).alias(c.strip("_").replace("@", "_").replace("__", "_")) for c in cols])
