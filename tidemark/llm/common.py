@@ -93,6 +93,17 @@ def grouped_stream(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.T
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def join_hot(df: DataFrame, groups: DataFrame, keys: list[str], rows: int, size: str = "c") -> DataFrame:
+    """df joined with groups(keys, size, ...), where size is the number of rows that a group has in df.
+
+    Groups with more than one in HUBS of all rows (rows: how many there are) are fewer than HUBS; what they
+    say is sent to their rows, so that these needn't meet in one task.
+    """
+    limit = max(1000, rows // HUBS)
+    hot, rest = groups.where(F.col(size) > limit), groups.where(F.col(size) <= limit)
+    return df.join(F.broadcast(hot), keys).unionByName(df.join(rest, keys))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a long, b long): rows (id, component), component the smallest id.
 

@@ -2,18 +2,18 @@
 
 Documents are sets of shingles of five words (fewer words: one shingle of all); words are runs of
 a-z, 0-9 and characters beyond ASCII after lower-casing A-Z. Equal word sequences are one vertex
-with a weight. Each vertex has TREES x DEPTH minhash values; a trie is the sorted order of all
+with a weight. Each vertex has TREES x DEPTH minhash values of 16 bits; a trie is the sorted order of all
 vertices by the DEPTH values of one tree (a range sort, so that a trie lies over many tasks), kept
 with the length of the prefix that each row shares with the row before it. Vertices that share the
-first d values are a subtree. The join starts with whole labels and shortens the prefix by one while
+first d values are a subtree. The join starts with whole labels and shortens the prefix by STEP while
 the recall is short of its target: that measured on up to AUDIT vertices, which are compared with all
 texts exactly (the mean of each group size, LEAST at least), and that estimated from the similarities of
 the links found and from how many the last shortening has added; a length that promises the target for
 any pair at the threshold is enough if the measured recall is. Only subtrees that branch at the new length are looked at again, and a pair is handled once:
 at the longest prefix it shares, in the first tree where it does.
 
-A label that more than SLICE vertices share marks a large group. Labels with common vertices are one
-group with one representative, to which its vertices are compared; those within half the distance of
+A label that more than SLICE vertices share marks a large group; of several the largest is a vertex's own.
+A group has one representative, to which its vertices are compared; those within half the distance of
 the threshold form its ball. Jaccard distance is a metric, so all of a ball are linked to each other,
 which is counted from the ball's weight without comparing them. Vertices of a subtree that aren't of
 one ball are cut into slices of SLICE vertices and a task compares two slices, first by signatures
@@ -37,18 +37,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, drop_written, grouped_stream, written
+from .common import components, drop_written, grouped_stream, join_hot, written
 from .licenses import FOLD
 from .neardup import local_roots, recall_of
 
 log = logging.getLogger(__name__)
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 16, 6
+#: Values that a prefix is shortened by.
+STEP = 2
 SLICE = 256
 #: Vertices that are compared with all texts, and the recall that they must have.
 AUDIT, LEAST = 500, 0.99
@@ -109,7 +110,8 @@ def signatures(canon: list[bytes]) -> np.ndarray:
     out = np.empty((len(canon), len(a)), np.uint32)
     for j in range(len(a)):
         out[:, j] = np.minimum.reduceat(((h * a[j] + b[j]) >> U64(32)).astype(np.uint32), begin)
-    return out
+    # the smallest values have zeros in front: the lower half is as good as random
+    return (out & 0xFFFF).astype(np.uint16)
 
 
 def prepared(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -132,7 +134,7 @@ def prepared(docs: DataFrame, text: str = "text") -> DataFrame:
                 have = [i for i, c in enumerate(canon) if c]
                 if have:
                     for i, values in zip(have, signatures([canon[i] for i in have]), strict=True):
-                        sig[i] = values.astype(">u4").tobytes()
+                        sig[i] = values.astype(">u2").tobytes()
                 yield pa.RecordBatch.from_arrays([uid.slice(at, to - at), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), row.slice(at, to - at)], ["uid", "digest", "sig", "row"])
                 at = to
 
@@ -151,65 +153,58 @@ def shared_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.logical_and.accumulate(a == b, axis=1).sum(axis=1)
 
 
-def tries(vert: DataFrame) -> DataFrame:
-    """(tree, label, id, lcp, reach), written: the sorted tries without the rows that share no prefix.
+def tries(vert: DataFrame, least: int) -> DataFrame:
+    """(tree, label, id, lcp, reach), written: the sorted tries without the rows that share no prefix of `least`.
 
-    lcp is the prefix shared with the row before, reach the longer one of those with both neighbours.
+    lcp is the prefix shared with the row before, reach the longer one of those with both neighbours. Where
+    the neighbour is in another task lcp is null and reach is as if all were shared, which costs a
+    look at a few rows more and loses none.
     """
-    label = F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})")
+    label = F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})")
     rows = vert.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", label.alias("label"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, held = TaskContext.get().partitionId(), 0, None
-        names = ["part", "n", "tree", "label", "id", "lcp", "next"]
-
         def out(b: pa.RecordBatch, first: int, after: int) -> pa.RecordBatch:
-            """Rows with the prefixes shared with the row before (first: that of the first row) and behind (after: of the last)."""
+            """Rows with the prefixes shared with the row before (first: that of the first row) and behind (after: of the last); -1: unknown."""
             tree = b.column("tree").to_numpy()
-            values = np.frombuffer(b"".join(b.column("label").to_pylist()), ">u4").reshape(len(tree), DEPTH)
+            values = np.frombuffer(b"".join(b.column("label").to_pylist()), ">u2").reshape(len(tree), DEPTH)
             lcp = np.concatenate([[first], shared_prefix(values[1:], values[:-1]) * (tree[1:] == tree[:-1])])
-            place = pa.array(np.arange(n - len(tree), n, dtype="i8"))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(tree), part, "i4")), place, b.column("tree"), b.column("label"), b.column("id"), pa.array(lcp.astype("i4")), pa.array(np.append(lcp[1:], after).astype("i4"))], names)
+            behind = np.append(lcp[1:], after)
+            reach = np.where((lcp < 0) | (behind < 0), DEPTH, np.maximum(lcp, behind))
+            keep = pa.array(reach >= least)
+            made = pa.RecordBatch.from_arrays([b.column("tree"), b.column("label"), b.column("id"), pa.array(lcp.astype("i4"), mask=lcp < 0), pa.array(reach.astype("i4"))], ["tree", "label", "id", "lcp", "reach"])
+            return made.filter(keep)
 
-        first = -1  # -1: the neighbour is in another task
+        held, first = None, -1
         for batch in batches:
             if not batch.num_rows:
                 continue
             if held is not None:
-                ends = [np.frombuffer(x.column("label")[i].as_py(), ">u4")[None] for x, i in ((held, held.num_rows - 1), (batch, 0))]
+                ends = [np.frombuffer(x.column("label")[i].as_py(), ">u2")[None] for x, i in ((held, held.num_rows - 1), (batch, 0))]
                 seam = int(shared_prefix(*ends)[0]) if held.column("tree")[held.num_rows - 1] == batch.column("tree")[0] else 0
                 yield out(held, first, seam)
                 first = seam
             held = batch
-            n += batch.num_rows
         if held is not None:
             yield out(held, first, -1)
 
     in_order = rows.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
-    found = written(in_order.mapInArrow(run, "part int, n long, tree int, label binary, id long, lcp int, next int"), "tries")
-    # where tasks meet: two rows a task
-    ends = found.where("lcp = -1 or next = -1").select("part", "n", "tree", "label", F.col("lcp").alias("l"), F.col("next").alias("x"))
-    w = Window.orderBy("part", "n")
-    both = F.when(F.col("tree") == F.lag("tree").over(w), sum((F.substring("label", 1, 4 * d) == F.substring(F.lag("label").over(w), 1, 4 * d)).cast("int") for d in range(1, DEPTH + 1)))
-    ends = ends.withColumn("seam", F.coalesce(both, F.lit(0)))
-    ends = ends.select("part", "n", F.when(F.col("l") == -1, F.col("seam")).alias("l"), F.when(F.col("x") == -1, F.coalesce(F.lead("seam").over(w), F.lit(0))).alias("x"))
-    whole = found.join(F.broadcast(ends), ["part", "n"], "left").select("tree", "label", "id", F.coalesce("l", "lcp").alias("lcp"), F.coalesce("x", "next").alias("next"))
-    out = written(whole.select("tree", "label", "id", "lcp", F.greatest("lcp", "next").alias("reach")).where("reach > 0"), "tries")
-    drop_written(found)
-    return out
+    return written(in_order.mapInArrow(run, "tree int, label binary, id long, lcp int, reach int"), "tries")
 
 
-def balls(trie: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
-    """(id, ball), written: vertices of large groups that are so near to a representative that they link with each other."""
-    large = trie.where(F.col("reach") == DEPTH).groupBy("tree", "label").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SLICE)
+def balls(trie: DataFrame, count: int, texts: DataFrame, threshold: float) -> DataFrame | None:
+    """(id, ball), written: vertices of large groups that are so near to a representative that they link with
+    each other. trie has count rows."""
+    whole = trie.where(F.col("reach") == DEPTH)
+    large = whole.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SLICE)
     if large.isEmpty():
         return None
-    seats = written(trie.where(F.col("reach") == DEPTH).join(large, ["tree", "label"]).select("id", F.xxhash64("tree", "label").alias("gid")), "seats")
-    home = seats.groupBy("id").agg(F.min("gid").alias("gid"), F.count(F.lit(1)).alias("seats"))
-    whole = components(seats.join(home.select("id", F.col("gid").alias("home")), "id").select(F.col("gid").alias("a"), F.col("home").alias("b")))
-    home = home.join(whole.select(F.col("id").alias("gid"), "component"), "gid", "left").select("id", "seats", F.coalesce("component", "gid").alias("grp"))
-    heads = home.groupBy("grp").agg(F.max(F.struct("seats", (-F.col("id")).alias("id"))).alias("m"), F.ceil(F.count(F.lit(1)) / F.lit(2 * SLICE)).cast("int").alias("parts")).select("grp", (-F.col("m.id")).alias("head"), "parts")
-    home = home.join(heads, "grp").select("head", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id")
+    # the largest group that a vertex is in is its own; the group's head is a vertex that is in many
+    seats = join_hot(whole, large, ["tree", "label"], count)
+    home = seats.groupBy("id").agg(F.max(F.struct("c", "tree", "label")).alias("grp"), F.count(F.lit(1)).alias("seats")).select("id", "seats", F.xxhash64("grp.tree", "grp.label").alias("grp"))
+    home = written(home, "home")
+    heads = home.groupBy("grp").agg(F.max(F.struct("seats", (-F.col("id")).alias("id"))).alias("m"), F.count(F.lit(1)).alias("c")).select("grp", "c", (-F.col("m.id")).alias("head"), F.ceil(F.col("c") / F.lit(2 * SLICE)).cast("int").alias("parts"))
+    member = join_hot(home, heads, ["grp"], count).select("head", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id")
     asked = heads.select("head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("head").alias("id"))
     near = (1 + threshold) / 2
 
@@ -223,19 +218,19 @@ def balls(trie: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | No
         ok = np.unique(ids[common >= near * (size + size[own[0]] - common)])
         return pa.table({"id": pa.array(ok), "ball": pa.array(np.full(len(ok), head))})
 
-    found = grouped_stream(home.unionByName(asked).join(texts, "id"), ["head", "part"], measure, "id long, ball long")
+    found = grouped_stream(member.unionByName(asked).join(texts, "id"), ["head", "part"], measure, "id long, ball long")
     out = written(found.distinct(), "balls")
-    drop_written(seats)
+    drop_written(home)
     return out
 
 
-def candidates(trie: DataFrame, vert: DataFrame, depth: int, newest: bool, threshold: float) -> DataFrame:
-    """(task, id, partners): pairs whose longest shared prefix is depth (newest: or longer), by task."""
-    rows = trie.where(F.col("reach") >= depth).select("id", "tree", "ball", "lcp", F.xxhash64(F.substring("label", 1, 4 * depth)).alias("prefix"))
-    sizes = rows.groupBy("tree", "prefix", "ball").agg(F.count(F.lit(1)).alias("c"), F.min(F.when(F.col("lcp") >= depth, F.col("lcp"))).alias("fork"))
+def candidates(trie: DataFrame, count: int, vert: DataFrame, depth: int, above: int, threshold: float) -> DataFrame:
+    """(task, id, partners): pairs whose longest shared prefix is at least depth and below `above`, by task. trie has count rows."""
+    rows = trie.where(F.col("reach") >= depth).select("id", "tree", "ball", "lcp", F.xxhash64(F.substring("label", 1, 2 * depth)).alias("prefix"))
+    sizes = rows.groupBy("tree", "prefix", "ball").agg(F.count(F.lit(1)).alias("c"), F.min(F.when(F.coalesce("lcp", F.lit(depth)) >= depth, F.coalesce("lcp", F.lit(depth)))).alias("fork"))
     many = sizes.groupBy("tree", "prefix").agg(F.sum("c").alias("c"), F.min("fork").alias("fork"), F.collect_list(F.struct("ball", F.ceil(F.col("c") / F.lit(SLICE)).cast("int").alias("slices"))).alias("parts"))
-    many = many.where((F.col("c") > 1) & (F.lit(newest) | (F.col("fork") == depth)) & ((F.size("parts") > 1) | (F.col("parts")[0]["ball"] == -1))).drop("c", "fork")
-    held = rows.drop("lcp").join(many, ["tree", "prefix"]).join(vert.select("id", "sig"), "id")
+    many = many.where((F.col("c") > 1) & (F.lit(above > DEPTH) | (F.col("fork") < above)) & ((F.size("parts") > 1) | (F.col("parts")[0]["ball"] == -1))).drop("fork")
+    held = join_hot(rows.drop("lcp"), many, ["tree", "prefix"], count).join(vert.select("id", "sig"), "id")
     name = lambda ball, slice_: F.concat_ws(":", ball.cast("string"), slice_.cast("string"))
     slices = F.filter("parts", lambda x: x["ball"] == F.col("ball"))[0]["slices"]
     # vertices of one ball are linked already: their slices meet only others
@@ -250,7 +245,7 @@ def candidates(trie: DataFrame, vert: DataFrame, depth: int, newest: bool, thres
         if n < 2:
             return None
         lo, hi, tree = (t.column(c)[0].as_py() for c in ("lo", "hi", "tree"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), ">u4").reshape(n, -1)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), ">u2").reshape(n, -1)
         ids, own = t.column("id").to_numpy(), np.array(t.column("own").to_pylist())
         left, right = (np.flatnonzero(own == lo), np.flatnonzero(own == hi)) if lo != hi else (np.arange(n), np.arange(n))
         if not len(left) or not len(right):
@@ -262,7 +257,7 @@ def candidates(trie: DataFrame, vert: DataFrame, depth: int, newest: bool, thres
             same = sig[a][:, None, :] == sig[right][None, :, :]
             shared = np.logical_and.accumulate(same.reshape(len(a), len(right), TREES, DEPTH), axis=3).sum(axis=3)
             best = shared.max(axis=2)
-            ok = (best >= depth if newest else best == depth) & ((shared >= depth).argmax(axis=2) == tree) & (same.mean(axis=2) >= screen)
+            ok = (best >= depth) & (best < above) & ((shared >= depth).argmax(axis=2) == tree) & (same.mean(axis=2) >= screen)
             if lo == hi:
                 ok &= ids[a][:, None] < ids[right][None, :]
             for i, j in zip(*np.nonzero(ok), strict=True):
@@ -385,36 +380,53 @@ def classes(rows: DataFrame, *, text: str = "text", threshold: float = THRESHOLD
     vert = written(rows.where("digest is not null").groupBy("digest").agg(F.min("uid").alias("id"), F.count(F.lit(1)).alias("w"), F.first("sig").alias("sig")), "vertices")
     wordy = vert.where("sig is not null").select("id", "sig")
     weights = vert.select("id", "w")
-    trie = tries(wordy)
-    ball = balls(trie, texts, threshold)
-    found, made = [], [vert]
-    if ball is None:
-        trie = trie.withColumn("ball", F.lit(-1).cast("long"))
-    else:
-        made += [trie, ball]
-        trie = written(trie.join(ball, "id", "left").withColumn("ball", F.coalesce("ball", F.lit(-1))), "tries")
+    # prefixes of `promised` values find any pair at the threshold with the recall asked for
+    promised = next((d for d in range(DEPTH, 0, -1) if chance(threshold, d) >= recall), 1)
+    plain = tries(wordy, promised)
+    count = plain.count()
+    ball = balls(plain, count, texts, threshold)
+    found, made = [], [vert, plain]
+
+    def with_balls(trie: DataFrame) -> DataFrame:
+        if ball is None:
+            return trie.withColumn("ball", F.lit(-1).cast("long"))
+        made.append(written(trie.join(ball, "id", "left").withColumn("ball", F.coalesce("ball", F.lit(-1))), "tries"))
+        return made[-1]
+
+    trie = with_balls(plain)
+    if ball is not None:
+        made.append(ball)
         inside = ball.join(weights, "id")
-        whole = inside.groupBy("ball").agg(F.sum("w").alias("all"))
-        found.append(inside.join(whole, "ball").select("id", F.col("ball").alias("root"), (F.col("all") - F.col("w")).alias("n")).where("n > 0"))
-    made.append(trie)
-    true, depth, total = audited(wordy, texts, threshold), DEPTH, 0
+        whole = inside.groupBy("ball").agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("c"))
+        found.append(join_hot(inside, whole, ["ball"], count).select("id", F.col("ball").alias("root"), (F.col("all") - F.col("w")).alias("n")).where("n > 0"))
+    true, total, seen = audited(wordy, texts, threshold), 0, Counter()
     held = vert.where(F.col("id").isin(list(true))).select("id", "w").collect()
+
+    def note(part: DataFrame) -> None:
+        seen.update({r["id"]: r["n"] for r in part.where(F.col("id").isin(list(true))).groupBy("id").agg(F.sum("n").alias("n")).collect()})
+
+    for part in found:
+        note(part)
+    depth, above = DEPTH, DEPTH + 1
     while True:
-        new = written(verify(candidates(trie, wordy, depth, depth == DEPTH, threshold), texts, weights, depth, threshold), "links")
+        new = written(verify(candidates(trie, count, wordy, depth, above, threshold), texts, weights, depth, threshold), "links")
         made.append(new)
         found.append(new.select("id", "root", "n"))
+        note(found[-1])
         got, expected = new.agg(F.sum("n"), F.sum("expected")).first()
-        seen = Counter()
-        for part in found:
-            seen.update({r["id"]: r["n"] for r in part.where(F.col("id").isin(list(true))).groupBy("id").agg(F.sum("n").alias("n")).collect()})
+        total += got or 0
         measured = recall_of(np.array([true[r["id"]] - r["w"] for r in held], np.int64), np.array([seen[r["id"]] for r in held], np.int64))
         log.info("prefixes of %s: %s links, %s expected, measured recall %s", depth, got, expected, measured)
-        total += got or 0
         # what pairs like those found at this length leave to shorter ones, and what this length has added
         few = (not got or got / expected >= recall) and (depth == DEPTH or (got or 0) <= (1 - recall) * total)
-        if depth == 1 or (measured >= LEAST and (few or chance(threshold, depth) >= recall)):
+        if depth == 1 or (measured >= LEAST and (few or depth <= promised)):
             break
-        depth -= 1
+        depth, above = max(depth - STEP, promised) if depth > promised else depth - 1, depth
+        if depth < promised:
+            plain = tries(wordy, depth)
+            made.append(plain)
+            count = plain.count()
+            trie = with_balls(plain)
     links = found[0]
     for more in found[1:]:
         links = links.unionByName(more)
