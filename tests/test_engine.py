@@ -368,3 +368,22 @@ def test_search_and_configuration(spark, tmp_path):
     for form in ("csv", "json"):
         assert store.save_trades(df, f"file://{tmp_path}/{form}", form).collect() == df.collect()
     assert store.sidecar(df, f"file://{tmp_path}/side.json", symbol="a")["rows"] == 1
+
+
+def test_calendar_headers_with_signs(spark):
+    raw = spark.createDataFrame([("A", "usd", "2024-01-05", "8:30am", "***", "1", "2")], "`Event ` string, `CCY.` string, Date string, Time string, `Impact (Actual)` string, `Actual*` string, `Exp.` string")
+    r = news.normalise(raw).first()
+    assert (r["title"], r["currency"], r["impact"], r["actual"], r["forecast"]) == ("A", "USD", "high", "1", "2")
+
+
+@pytest.mark.parametrize("text", ["", "(3)", "3x(1)", "sma(1", "sma(1)x", "sma@", "sma(1)@", "sma(1)@H 4", "sma)1(", "a b"])
+def test_no_specification(text):
+    with pytest.raises(ValueError):
+        spec.parse(text)
+
+
+def test_specifications():
+    s = spec.parse(" SMA ( close , 20 ) @ h4 ")
+    assert (s.name, s.args, s.timeframe) == ("sma", ("close", 20), "H4")
+    assert spec.parse("x(a='(,)', b=[1, 2])").kwargs == (("a", "(,)"), ("b", (1, 2)))
+    assert spec.parse("obv").args == () and spec.parse("obv@M5").timeframe == "M5"
