@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary one is made and kept in
-    the session's settings, so that later calls find it.
+    Only where the session names none and runs on one machine a temporary one is made and kept in the
+    session's settings, so that later calls find it; on a cluster that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tidemark.shared", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.tidemark.shared", where)
     return where.rstrip("/")

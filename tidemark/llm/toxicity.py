@@ -108,11 +108,6 @@ def pieces(folded: str, start: str = "^", end: str = "$") -> list[str]:
     return [w] if len(w) <= PIECE else [w[i : i + PIECE] for i in range(0, len(w) - PIECE + STEP, STEP)]
 
 
-def code(c: str) -> int:
-    o = ord(c)
-    return 1 if c == "^" else 2 if c == "$" else o - 94 if 97 <= o <= 122 else 29 + o % 99
-
-
 def codes(units: list[str]) -> np.ndarray:
     """Characters as numbers 1..127, padded with 0 behind."""
     wide = max(5, max(map(len, units), default=5)) + 4
