@@ -98,8 +98,8 @@ def write_archives(records: DataFrame, path: str, chunk: int = CHUNK) -> str:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, held = [], 0
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                for s in segments(*row, chunk):
+            for i in range(batch.num_rows):  # one payload at a time leaves Arrow
+                for s in segments(*(c[i].as_py() for c in batch.columns), chunk):
                     rows.append(s)
                     held += len(s)
                     if held >= 1 << 22:
