@@ -12,7 +12,7 @@ the links found and from how many the last shortening has added; a length that p
 any pair at the threshold is enough if the measured recall is. Only subtrees that branch at the new length are looked at again, and a pair is handled once:
 at the longest prefix it shares, in the first tree where it does.
 
-A label that more than SLICE vertices share marks a large group; of several the largest is a vertex's own.
+A label that more than LARGE vertices share marks a large group; of several the largest is a vertex's own.
 A group has one representative, to which its vertices are compared; those within half the distance of
 the threshold form its ball. Jaccard distance is a metric, so all of a ball are linked to each other,
 which is counted from the ball's weight without comparing them. Vertices of a subtree that aren't of
@@ -50,7 +50,8 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 16, 6
 #: Values that a prefix is shortened by.
 STEP = 2
-SLICE = 256
+#: Vertices of a subtree that a task compares with as many others, and those that share a label in a large group.
+SLICE, LARGE = 1024, 256
 #: Vertices that are compared with all texts, and the recall that they must have.
 AUDIT, LEAST = 500, 0.99
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -196,14 +197,14 @@ def balls(trie: DataFrame, count: int, texts: DataFrame, threshold: float) -> Da
     """(id, ball), written: vertices of large groups that are so near to a representative that they link with
     each other. trie has count rows."""
     whole = trie.where(F.col("reach") == DEPTH)
-    large = whole.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SLICE)
+    large = whole.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LARGE)
     if large.isEmpty():
         return None
     # the largest group that a vertex is in is its own; the group's head is a vertex that is in many
     seats = join_hot(whole, large, ["tree", "label"], count)
     home = seats.groupBy("id").agg(F.max(F.struct("c", "tree", "label")).alias("grp"), F.count(F.lit(1)).alias("seats")).select("id", "seats", F.xxhash64("grp.tree", "grp.label").alias("grp"))
     home = written(home, "home")
-    heads = home.groupBy("grp").agg(F.max(F.struct("seats", (-F.col("id")).alias("id"))).alias("m"), F.count(F.lit(1)).alias("c")).select("grp", "c", (-F.col("m.id")).alias("head"), F.ceil(F.col("c") / F.lit(2 * SLICE)).cast("int").alias("parts"))
+    heads = home.groupBy("grp").agg(F.max(F.struct("seats", (-F.col("id")).alias("id"))).alias("m"), F.count(F.lit(1)).alias("c")).select("grp", "c", (-F.col("m.id")).alias("head"), F.ceil(F.col("c") / F.lit(2 * LARGE)).cast("int").alias("parts"))
     member = join_hot(home, heads, ["grp"], count).select("head", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id")
     asked = heads.select("head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("head").alias("id"))
     near = (1 + threshold) / 2
@@ -225,18 +226,18 @@ def balls(trie: DataFrame, count: int, texts: DataFrame, threshold: float) -> Da
 
 
 def candidates(trie: DataFrame, count: int, vert: DataFrame, depth: int, above: int, threshold: float) -> DataFrame:
-    """(task, id, partners): pairs whose longest shared prefix is at least depth and below `above`, by task. trie has count rows."""
+    """(task, id, w, partners): pairs whose longest shared prefix is at least depth and below `above`, by task. trie has count rows."""
     rows = trie.where(F.col("reach") >= depth).select("id", "tree", "ball", "lcp", F.xxhash64(F.substring("label", 1, 2 * depth)).alias("prefix"))
     sizes = rows.groupBy("tree", "prefix", "ball").agg(F.count(F.lit(1)).alias("c"), F.min(F.when(F.coalesce("lcp", F.lit(depth)) >= depth, F.coalesce("lcp", F.lit(depth)))).alias("fork"))
     many = sizes.groupBy("tree", "prefix").agg(F.sum("c").alias("c"), F.min("fork").alias("fork"), F.collect_list(F.struct("ball", F.ceil(F.col("c") / F.lit(SLICE)).cast("int").alias("slices"))).alias("parts"))
     many = many.where((F.col("c") > 1) & (F.lit(above > DEPTH) | (F.col("fork") < above)) & ((F.size("parts") > 1) | (F.col("parts")[0]["ball"] == -1))).drop("fork")
-    held = join_hot(rows.drop("lcp"), many, ["tree", "prefix"], count).join(vert.select("id", "sig"), "id")
+    held = join_hot(rows.drop("lcp"), many, ["tree", "prefix"], count).join(vert.select("id", "sig", "w"), "id")
     name = lambda ball, slice_: F.concat_ws(":", ball.cast("string"), slice_.cast("string"))
     slices = F.filter("parts", lambda x: x["ball"] == F.col("ball"))[0]["slices"]
     # vertices of one ball are linked already: their slices meet only others
     others = F.flatten(F.transform(F.filter("parts", lambda x: (x["ball"] != F.col("ball")) | (x["ball"] == -1)), lambda x: F.transform(F.sequence(F.lit(0), x["slices"] - 1), lambda k: name(x["ball"], k))))
-    held = held.select("tree", "prefix", "id", "sig", name(F.col("ball"), F.pmod(F.xxhash64("id"), slices)).alias("own"), F.explode(others).alias("other"))
-    held = held.select("tree", "prefix", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "sig")
+    held = held.select("tree", "prefix", "id", "w", "sig", name(F.col("ball"), F.pmod(F.xxhash64("id"), slices)).alias("own"), F.explode(others).alias("other"))
+    held = held.select("tree", "prefix", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "w", "sig")
     held = held.withColumn("task", F.xxhash64("tree", "prefix", "lo", "hi"))
     screen = threshold - 5 * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
 
@@ -266,14 +267,14 @@ def candidates(trie: DataFrame, count: int, vert: DataFrame, depth: int, above:
         rows = [i for i in range(n) if partners[i] or int(ids[i]) in inside]
         if not rows:
             return None
-        return pa.table({"task": t.column("task").slice(0, 1).take(pa.array([0] * len(rows))), "id": pa.array(ids[rows]), "partners": pa.array([partners[i] for i in rows], pa.list_(pa.int64()))})
+        return pa.table({"task": t.column("task").slice(0, 1).take(pa.array([0] * len(rows))), "id": pa.array(ids[rows]), "w": t.column("w").take(pa.array(rows)), "partners": pa.array([partners[i] for i in rows], pa.list_(pa.int64()))})
 
-    return grouped_stream(held, ["tree", "prefix", "lo", "hi"], compare, "task long, id long, partners array<long>")
+    return grouped_stream(held, ["tree", "prefix", "lo", "hi"], compare, "task long, id long, w long, partners array<long>")
 
 
-def verify(found: DataFrame, texts: DataFrame, weights: DataFrame, depth: int, threshold: float) -> DataFrame:
+def verify(found: DataFrame, texts: DataFrame, depth: int, threshold: float) -> DataFrame:
     """(id, root, n, expected): links of a vertex within a task, verified on the shingles of the texts."""
-    joined = found.join(weights, "id").join(texts, "id")
+    joined = found.join(texts, "id")
 
     def check(t: pa.Table) -> pa.Table | None:
         ids, w = t.column("id").to_numpy(), t.column("w").to_numpy()
@@ -378,8 +379,7 @@ def classes(rows: DataFrame, *, text: str = "text", threshold: float = THRESHOLD
     weight, the smallest vertex of its class, and the rows of other vertices that it links with."""
     texts = rows.select(F.col("uid").alias("id"), F.col(f"row.`{text}`").cast("binary").alias("t")).where("t is not null")
     vert = written(rows.where("digest is not null").groupBy("digest").agg(F.min("uid").alias("id"), F.count(F.lit(1)).alias("w"), F.first("sig").alias("sig")), "vertices")
-    wordy = vert.where("sig is not null").select("id", "sig")
-    weights = vert.select("id", "w")
+    wordy = vert.where("sig is not null").select("id", "sig", "w")
     # prefixes of `promised` values find any pair at the threshold with the recall asked for
     promised = next((d for d in range(DEPTH, 0, -1) if chance(threshold, d) >= recall), 1)
     plain = tries(wordy, promised)
@@ -396,29 +396,31 @@ def classes(rows: DataFrame, *, text: str = "text", threshold: float = THRESHOLD
     trie = with_balls(plain)
     if ball is not None:
         made.append(ball)
-        inside = ball.join(weights, "id")
+        inside = ball.join(vert.select("id", "w"), "id")
         whole = inside.groupBy("ball").agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("c"))
         found.append(join_hot(inside, whole, ["ball"], count).select("id", F.col("ball").alias("root"), (F.col("all") - F.col("w")).alias("n")).where("n > 0"))
     true, total, seen = audited(wordy, texts, threshold), 0, Counter()
     held = vert.where(F.col("id").isin(list(true))).select("id", "w").collect()
 
-    def note(part: DataFrame) -> None:
-        seen.update({r["id"]: r["n"] for r in part.where(F.col("id").isin(list(true))).groupBy("id").agg(F.sum("n").alias("n")).collect()})
+    def note(part: DataFrame) -> tuple[int, float]:
+        """All links of a part and those expected; those of the audited vertices go to seen."""
+        rows = part.groupBy(F.when(F.col("id").isin(list(true)), F.col("id")).alias("id")).agg(F.sum("n").alias("n"), F.sum("expected").alias("e")).collect()
+        seen.update({r["id"]: r["n"] for r in rows if r["id"] is not None})
+        return sum(r["n"] for r in rows), sum(r["e"] for r in rows)
 
     for part in found:
-        note(part)
+        note(part.withColumn("expected", F.lit(0.0)))
     depth, above = DEPTH, DEPTH + 1
     while True:
-        new = written(verify(candidates(trie, count, wordy, depth, above, threshold), texts, weights, depth, threshold), "links")
+        new = written(verify(candidates(trie, count, wordy, depth, above, threshold), texts, depth, threshold), "links")
         made.append(new)
         found.append(new.select("id", "root", "n"))
-        note(found[-1])
-        got, expected = new.agg(F.sum("n"), F.sum("expected")).first()
-        total += got or 0
+        got, expected = note(new)
+        total += got
         measured = recall_of(np.array([true[r["id"]] - r["w"] for r in held], np.int64), np.array([seen[r["id"]] for r in held], np.int64))
         log.info("prefixes of %s: %s links, %s expected, measured recall %s", depth, got, expected, measured)
         # what pairs like those found at this length leave to shorter ones, and what this length has added
-        few = (not got or got / expected >= recall) and (depth == DEPTH or (got or 0) <= (1 - recall) * total)
+        few = (not got or got / expected >= recall) and (depth == DEPTH or got <= (1 - recall) * total)
         if depth == 1 or (measured >= LEAST and (few or depth <= promised)):
             break
         depth, above = max(depth - STEP, promised) if depth > promised else depth - 1, depth
