@@ -51,7 +51,7 @@ TREES, DEPTH = 16, 6
 #: Values that a prefix is shortened by.
 STEP = 2
 #: Vertices of a subtree that a task compares with as many others, and those that share a label in a large group.
-SLICE, LARGE = 1024, 256
+SLICE, LARGE = 2048, 256
 #: Vertices that are compared with all texts, and the recall that they must have.
 AUDIT, LEAST = 500, 0.99
 BASE = 0x9E3779B97F4A7C15 | 1
