@@ -1,4 +1,4 @@
-"""The ten operator queries, their SQL where SQL can express them, and nothing else."""
+"""The operator queries, their SQL where SQL can express them, and nothing else."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, nearest, neardup, ngramjoin, packing, quality, sharding, toxicity, warc
+from . import bpe, licenses, mixing, nearest, neardup, ngramjoin, packing, quality, sharding, toxicity, warc
 from .common import table
 
 
@@ -62,8 +62,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_licenses, op3_shards, op4_quality, op5_ngram_join, op6_warc, op7_bpe, op8_toxicity, op9_packing, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_nearest, op2_licenses, op3_shards, op4_quality, op5_ngram_join, op6_warc, op7_bpe, op8_toxicity, op9_packing, op10_near_duplicates, op12_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
