@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, mixing, nearest, neardup, ngramjoin, packing, quality, sharding, toxicity, warc
+from . import bpe, licenses, manifest, mixing, nearest, neardup, ngramjoin, packing, quality, sharding, toxicity, warc
 from .common import table
 
 
@@ -62,16 +62,20 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.Manifest(table(spark, sf_dir, "documents")).proofs()
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_licenses, op3_shards, op4_quality, op5_ngram_join, op6_warc, op7_bpe, op8_toxicity, op9_packing, op10_near_duplicates, op12_mixing)}
+    return {f.__name__: f for f in (op1_nearest, op2_licenses, op3_shards, op4_quality, op5_ngram_join, op6_warc, op7_bpe, op8_toxicity, op9_packing, op10_near_duplicates, op11_manifest, op12_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_nearest": OP1, "op6_warc": OP6}
+    return {"op1_nearest": OP1, "op6_warc": OP6, "op11_manifest": OP11}
 
 
 OP1 = """
@@ -89,3 +93,32 @@ g as (select *, case when n >= 1000 then max(page_id) over (partition by d, n) e
 select page_id, cast(n as bigint) as payload_bytes, d as payload_digest, case when keeper > page_id then 'revisit' else 'response' end as record_type,
   case when keeper > page_id then keeper end as refers_to from g
 """
+
+# crc32 by its table (rule: eight shifts with the reversed polynomial 0xEDB88320), byte by byte over the decimal id
+OP11 = """
+with recursive crc_table as (select i, list_reduce(list_prepend(i::bigint, range(8)::bigint[]), lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from (select unnest(range(256)) as i)),
+crc_list as (select list(v order by i) as t from crc_table),
+docs as (select row_number() over () as uid, doc_id, source, lang, n_chars, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
+  xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda ch: ascii(ch)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as crc from documents, crc_list),
+head as (select *, coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as front from docs),
+leaf as (select uid, doc_id, source, sha256(front || coalesce(strlen(text) || ':' || text, '-')) as h, case when crc % 5 = 0 then sha256(front || coalesce(strlen(low) || ':' || low, '-')) end as changed from head),
+placed as (select *, cast(row_number() over (partition by source order by doc_id nulls first, h) - 1 as bigint) as i, count(*) over (partition by source) as n from leaf),
+up(level, source, i, h, n) as (select 0, source, i, h, n from placed
+  union all select level + 1, source, i // 16, sha256(string_agg(h, '' order by i)), (n + 15) // 16 from up where n > 1 group by level, source, i // 16, n),
+sub as (select source, h as subroot, cast(row_number() over (order by source nulls first) - 1 as bigint) as i, count(*) over () as n from up where n = 1),
+top(level, i, h, n) as (select 0, i, subroot, n from sub
+  union all select level + 1, i // 16, sha256(string_agg(h, '' order by i)), (n + 15) // 16 from top where n > 1 group by level, i // 16, n),
+root as (select h as root from top where n = 1),
+pairs as (select a.source, a.level, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (b.i < a.i), '') as l, coalesce(string_agg(b.h, '' order by b.i) filter (b.i > a.i), '') as r
+  from up a join up b on a.source is not distinct from b.source and a.level = b.level and a.i // 16 = b.i // 16 and a.n > 1 group by all),
+toppairs as (select a.level, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (b.i < a.i), '') as l, coalesce(string_agg(b.h, '' order by b.i) filter (b.i > a.i), '') as r
+  from top a join top b on a.level = b.level and a.i // 16 = b.i // 16 and a.n > 1 group by all),
+beside as (select p.uid, x.level, x.l, x.r from placed p join pairs x on x.source is not distinct from p.source and x.i = p.i // cast(pow(16, x.level) as bigint)
+  union all select p.uid, 1000 + x.level, x.l, x.r from placed p join sub s on s.source is not distinct from p.source join toppairs x on x.i = s.i // cast(pow(16, x.level) as bigint)),
+walks as (select uid, list({'l': l, 'r': r} order by level) as w from beside group by uid),
+done as (select p.doc_id, p.h as leaf, s.subroot, root.root, coalesce(w.w, []) as w, coalesce(p.changed, p.h) as start
+  from placed p join sub s on s.source is not distinct from p.source cross join root left join walks w using (uid))
+select doc_id, leaf, subroot, root, sha256(list_aggregate(list_prepend('', list_transform(w, lambda x: x.l || x.r)), 'string_agg', '')) as proof_sha256,
+  list_reduce(list_prepend({'l': start, 'r': ''}, w), lambda a, x: {'l': sha256(x.l || a.l || x.r), 'r': ''}).l as folded_root,
+  list_reduce(list_prepend({'l': start, 'r': ''}, w), lambda a, x: {'l': sha256(x.l || a.l || x.r), 'r': ''}).l = root as verified from done
+"""
