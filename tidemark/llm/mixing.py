@@ -153,10 +153,12 @@ def drawn(sources: DataFrame, total: int, slots: int, few: bool) -> DataFrame:
     return kept.unionByName(dealt).groupBy("shard", "no").agg(F.sum("c").alias("c")).where("c > 0")
 
 
-def slots_of(counts: DataFrame, sources: DataFrame, block: int, few: bool) -> DataFrame:
+def slots_of(counts: DataFrame, sources: DataFrame, total: int, block: int, few: bool) -> DataFrame:
     """(shard, no, j, block, length, take): the block that each slot reads, its words, and how many of them are taken."""
     upto = F.sum("c").over(Window.partitionBy("no").orderBy("shard"))
-    each = counts.withColumn("upto", upto).select("shard", "no", F.explode(F.sequence(F.col("upto") - F.col("c"), F.col("upto") - 1)).alias("j"))
+    # few bytes, much work: a number of tasks that adaptive execution doesn't put together
+    parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SLOTS))
+    each = counts.withColumn("upto", upto).repartition(parts, "shard", "no").select("shard", "no", F.explode(F.sequence(F.col("upto") - F.col("c"), F.col("upto") - 1)).alias("j"))
     s = sources.select("no", "blocks", "tail", "passes", "rest", "short", "quota")
     each = each.join(F.broadcast(s) if few else s, "no").withColumns({"pass": F.floor(F.col("j") / F.col("blocks")), "at": F.pmod("j", "blocks")})
     each = each.withColumn("block", shuffled(F.col("at"), F.col("blocks"), long(READ), F.col("no"), F.col("pass")))
@@ -196,7 +198,7 @@ class Mix:
         n, total = self.sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("quota"), F.lit(0))).first()
         few = n <= FEW
         self.pieces = pieces(rows, self.sources, block, few)
-        self.slots = slots_of(drawn(self.sources, total, slots, few), self.sources, block, few)
+        self.slots = slots_of(drawn(self.sources, total, slots, few), self.sources, total, block, few)
 
     def taken(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken) for every row."""
