@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, manifest, mixing, nearest, neardup, ngramjoin, packing, quality, sharding, toxicity, warc
+from . import bpe, collocations, licenses, manifest, mixing, nearest, neardup, ngramjoin, packing, quality, sharding, toxicity, warc
 from .common import table
 
 
@@ -70,12 +70,16 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents")).taken()
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_licenses, op3_shards, op4_quality, op5_ngram_join, op6_warc, op7_bpe, op8_toxicity, op9_packing, op10_near_duplicates, op11_manifest, op12_mixing)}
+    return {f.__name__: f for f in (op1_nearest, op2_licenses, op3_shards, op4_quality, op5_ngram_join, op6_warc, op7_bpe, op8_toxicity, op9_packing, op10_near_duplicates, op11_manifest, op12_mixing, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_nearest": OP1, "op6_warc": OP6, "op11_manifest": OP11}
+    return {"op1_nearest": OP1, "op6_warc": OP6, "op11_manifest": OP11, "op13_collocations": OP13}
 
 
 OP1 = """
@@ -122,3 +126,21 @@ select doc_id, leaf, subroot, root, sha256(list_aggregate(list_prepend('', list_
   list_reduce(list_prepend({'l': start, 'r': ''}, w), lambda a, x: {'l': sha256(x.l || a.l || x.r), 'r': ''}).l as folded_root,
   list_reduce(list_prepend({'l': start, 'r': ''}, w), lambda a, x: {'l': sha256(x.l || a.l || x.r), 'r': ''}).l = root as verified from done
 """
+
+OP13 = r"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+lists as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+grams as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from lists, (select unnest(range(1, 5)) as k)),
+f as (select lang, phrase, k, count(*) as f from grams group by all),
+total as (select lang, sum(f) as n from f where k = 1 group by lang),
+c as (select lang, phrase, k, f as a, string_split(phrase, ' ') as w from f where k > 1 and f >= 30),
+cuts as (select c.lang, c.phrase, c.a, j, x.f as l, y.f as r, (2000000::hugeint * c.a) // (x.f + y.f) as score
+  from c, (select unnest(range(1, 4)) as j) join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:j], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[j + 1:c.k], ' ') where j < c.k),
+best as (select distinct on (lang, phrase) * from cuts order by lang, phrase, score, j),
+inner_ as (select c.lang, c.a as longer, array_to_string(c.w[i:i + m - 1], ' ') as phrase from c, (select unnest(range(2, 4)) as m), (select unnest(range(1, 4)) as i) where m < c.k and i + m - 1 <= c.k),
+over as (select lang, phrase, max(longer) as longer from inner_ group by all),
+kept as (select b.* from best b left join over o using (lang, phrase) where o.longer is null or 100::hugeint * o.longer < 80::hugeint * b.a),
+ranked as (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, score from kept)
+select lang, cast(rank as bigint) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score
+from ranked join total using (lang) where rank <= 2000
+"""
