@@ -131,11 +131,13 @@ OP13 = r"""
 with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
 lists as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
 grams as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from lists, (select unnest(range(1, 5)) as k)),
-f as (select lang, phrase, k, count(*) as f from grams group by all),
+f as materialized (select lang, phrase, k, count(*) as f from grams group by all),
 total as (select lang, sum(f) as n from f where k = 1 group by lang),
-c as (select lang, phrase, k, f as a, string_split(phrase, ' ') as w from f where k > 1 and f >= 30),
-cuts as (select c.lang, c.phrase, c.a, j, x.f as l, y.f as r, (2000000::hugeint * c.a) // (x.f + y.f) as score
-  from c, (select unnest(range(1, 4)) as j) join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:j], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[j + 1:c.k], ' ') where j < c.k),
+c as materialized (select lang, phrase, k, f as a, string_split(phrase, ' ') as w from f where k > 1 and f >= 30),
+split as (select *, unnest(range(1, k)) as j from c),
+parts as materialized (select lang, phrase, a, j, array_to_string(w[1:j], ' ') as first, array_to_string(w[j + 1:k], ' ') as rest from split),
+cuts as (select p.*, x.f as l, y.f as r, (2000000::hugeint * p.a) // (x.f + y.f) as score
+  from parts p join f x on x.lang = p.lang and x.phrase = p.first join f y on y.lang = p.lang and y.phrase = p.rest),
 best as (select distinct on (lang, phrase) * from cuts order by lang, phrase, score, j),
 inner_ as (select c.lang, c.a as longer, array_to_string(c.w[i:i + m - 1], ' ') as phrase from c, (select unnest(range(2, 4)) as m), (select unnest(range(1, 4)) as i) where m < c.k and i + m - 1 <= c.k),
 over as (select lang, phrase, max(longer) as longer from inner_ group by all),
