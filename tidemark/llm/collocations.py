@@ -42,7 +42,7 @@ TOP = 2000
 #: A candidate goes if a longer one that holds it has this percentage of its places.
 COVERED = 80
 SCALE = 2_000_000
-SHARD = 16 << 20
+SHARD = 8 << 20
 BITS = 1 << 26
 #: Parts of a language that are cut to the first TOP before these meet.
 SALT = 64
