@@ -16,7 +16,7 @@ A label that more than LARGE vertices share marks a large group; of several the
 A group has one representative, to which its vertices are compared; those within half the distance of
 the threshold form its ball. Jaccard distance is a metric, so all of a ball are linked to each other,
 which is counted from the ball's weight without comparing them. Vertices of a subtree that aren't of
-one ball are cut into slices of SLICE vertices and a task compares two slices, first by signatures
+one ball are cut into slices of SLICE vertices, a slice is one row, and a task compares two slices, first by signatures
 (five standard deviations below the threshold drop out), then by the shingles of the texts: every
 remaining pair is verified. Tasks return one row a vertex (links and local component), never rows of
 pairs, so no group is expanded.
@@ -37,6 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -232,26 +233,13 @@ def candidates(trie: DataFrame, count: int, vert: DataFrame, depth: int, above:
     many = sizes.groupBy("tree", "prefix").agg(F.sum("c").alias("c"), F.min("fork").alias("fork"), F.collect_list(F.struct("ball", F.ceil(F.col("c") / F.lit(SLICE)).cast("int").alias("slices"))).alias("parts"))
     many = many.where((F.col("c") > 1) & (F.lit(above > DEPTH) | (F.col("fork") < above)) & ((F.size("parts") > 1) | (F.col("parts")[0]["ball"] == -1))).drop("fork")
     held = join_hot(rows.drop("lcp"), many, ["tree", "prefix"], count).join(vert.select("id", "sig", "w"), "id")
-    name = lambda ball, slice_: F.concat_ws(":", ball.cast("string"), slice_.cast("string"))
-    slices = F.filter("parts", lambda x: x["ball"] == F.col("ball"))[0]["slices"]
-    # vertices of one ball are linked already: their slices meet only others
-    others = F.flatten(F.transform(F.filter("parts", lambda x: (x["ball"] != F.col("ball")) | (x["ball"] == -1)), lambda x: F.transform(F.sequence(F.lit(0), x["slices"] - 1), lambda k: name(x["ball"], k))))
-    held = held.select("tree", "prefix", "id", "w", "sig", name(F.col("ball"), F.pmod(F.xxhash64("id"), slices)).alias("own"), F.explode(others).alias("other"))
-    held = held.select("tree", "prefix", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "w", "sig")
-    held = held.withColumn("task", F.xxhash64("tree", "prefix", "lo", "hi"))
     screen = threshold - 5 * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
 
-    def compare(t: pa.Table) -> pa.Table | None:
-        n = t.num_rows
-        if n < 2:
-            return None
-        lo, hi, tree = (t.column(c)[0].as_py() for c in ("lo", "hi", "tree"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), ">u2").reshape(n, -1)
-        ids, own = t.column("id").to_numpy(), np.array(t.column("own").to_pylist())
-        left, right = (np.flatnonzero(own == lo), np.flatnonzero(own == hi)) if lo != hi else (np.arange(n), np.arange(n))
-        if not len(left) or not len(right):
-            return None
-        partners: list[list[int]] = [[] for _ in range(n)]
+    def paired(tree: int, task: pa.Scalar, t: pa.Table, left: np.ndarray, right: np.ndarray, inner: bool) -> pa.Table | None:
+        """Rows of t(id, w, sig) that have partners among the others: those at left with those at right; inner: each pair once."""
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), ">u2").reshape(t.num_rows, -1)
+        ids = t.column("id").to_numpy()
+        partners: list[list[int]] = [[] for _ in range(t.num_rows)]
         step = max(1, (1 << 22) // (len(right) * sig.shape[1]))
         for at in range(0, len(left), step):
             a = left[at : at + step]
@@ -259,17 +247,46 @@ def candidates(trie: DataFrame, count: int, vert: DataFrame, depth: int, above:
             shared = np.logical_and.accumulate(same.reshape(len(a), len(right), TREES, DEPTH), axis=3).sum(axis=3)
             best = shared.max(axis=2)
             ok = (best >= depth) & (best < above) & ((shared >= depth).argmax(axis=2) == tree) & (same.mean(axis=2) >= screen)
-            if lo == hi:
+            if inner:
                 ok &= ids[a][:, None] < ids[right][None, :]
             for i, j in zip(*np.nonzero(ok), strict=True):
                 partners[a[i]].append(int(ids[right[j]]))
         inside = {x for p in partners for x in p}
-        rows = [i for i in range(n) if partners[i] or int(ids[i]) in inside]
+        rows = [i for i in range(t.num_rows) if partners[i] or int(ids[i]) in inside]
         if not rows:
             return None
-        return pa.table({"task": t.column("task").slice(0, 1).take(pa.array([0] * len(rows))), "id": pa.array(ids[rows]), "w": t.column("w").take(pa.array(rows)), "partners": pa.array([partners[i] for i in rows], pa.list_(pa.int64()))})
+        return pa.table({"task": pa.array([task.as_py()] * len(rows)), "id": pa.array(ids[rows]), "w": t.column("w").take(pa.array(rows)), "partners": pa.array([partners[i] for i in rows], pa.list_(pa.int64()))})
+
+    out = "task long, id long, w long, partners array<long>"
+    # a subtree of one slice and no ball is compared as it is
+    one = (F.size("parts") == 1) & (F.col("parts")[0]["slices"] == 1)
+    alone = held.where(one).select("tree", "prefix", "id", "w", "sig", F.xxhash64("tree", "prefix").alias("task"))
+
+    def within(t: pa.Table) -> pa.Table | None:
+        every = np.arange(t.num_rows)
+        return paired(t.column("tree")[0].as_py(), t.column("task")[0], t, every, every, True) if t.num_rows > 1 else None
+
+    # larger ones: a slice is packed into one row before it is sent to the slices that it meets
+    name = lambda ball, slice_: F.concat_ws(":", ball.cast("string"), slice_.cast("string"))
+    slices = F.filter("parts", lambda x: x["ball"] == F.col("ball"))[0]["slices"]
+    # vertices of one ball are linked already: their slices meet only others
+    others = F.flatten(F.transform(F.filter("parts", lambda x: (x["ball"] != F.col("ball")) | (x["ball"] == -1)), lambda x: F.transform(F.sequence(F.lit(0), x["slices"] - 1), lambda k: name(x["ball"], k))))
+    packed = held.where(~one).select("tree", "prefix", name(F.col("ball"), F.pmod(F.xxhash64("id"), slices)).alias("own"), others.alias("others"), F.struct("id", "w", "sig").alias("v"))
+    packed = packed.groupBy("tree", "prefix", "own").agg(F.first("others").alias("others"), F.collect_list("v").alias("v"))
+    met = packed.select("tree", "prefix", "own", F.explode("others").alias("other"), "v")
+    met = met.select("tree", "prefix", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "v").withColumn("task", F.xxhash64("tree", "prefix", "lo", "hi"))
+
+    def between(t: pa.Table) -> pa.Table | None:
+        lo, hi, tree = (t.column(c)[0].as_py() for c in ("lo", "hi", "tree"))
+        if lo != hi and t.num_rows < 2:
+            return None
+        v = t.column("v").combine_chunks()
+        rows = pa.Table.from_struct_array(v.flatten())
+        own = np.repeat(np.array(t.column("own").to_pylist()), pc.list_value_length(v).to_numpy())
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        return paired(tree, t.column("task")[0], rows, left, right, lo == hi)
 
-    return grouped_stream(held, ["tree", "prefix", "lo", "hi"], compare, "task long, id long, w long, partners array<long>")
+    return grouped_stream(alone, ["tree", "prefix"], within, out).unionByName(grouped_stream(met, ["tree", "prefix", "lo", "hi"], between, out))
 
 
 def verify(found: DataFrame, texts: DataFrame, depth: int, threshold: float) -> DataFrame:
@@ -445,8 +462,10 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """(doc_id, class_id, n_links): for each document its class (smallest id in it) and its links."""
     rows = prepared(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null"))
     found = classes(rows, threshold=threshold, recall=recall)
-    least = rows.where("digest is not null").groupBy("digest").agg(F.min("row.id").alias("low")).join(found, "digest").groupBy("root").agg(F.min("low").alias("class_id"))
-    linked = rows.select("row.id", "digest").join(found.join(least, "root"), "digest").select(F.col("id").alias(key), "class_id", (F.col("n") + F.col("w") - 1).cast("long").alias("n_links"))
+    total = rows.count()
+    least = rows.where("digest is not null").groupBy("digest").agg(F.min("row.id").alias("low")).join(found, "digest").groupBy("root").agg(F.min("low").alias("class_id"), F.count(F.lit(1)).alias("c"))
+    known = join_hot(found, least, ["root"], total).drop("c")
+    linked = join_hot(rows.select("row.id", "digest"), known, ["digest"], total, "w").select(F.col("id").alias(key), "class_id", (F.col("n") + F.col("w") - 1).cast("long").alias("n_links"))
     alone = rows.where("digest is null").select(F.col("row.id").alias(key), F.col("row.id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
 
