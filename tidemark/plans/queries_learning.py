@@ -12,6 +12,7 @@ from ..functions import indicators as ind
 from ..functions.frames import by_time, running
 from ..operators import learning as ml
 from ..streaming import live
+from ..streaming.ordered import stale_ticks
 from .catalog import bars, events, ewm_sql, full, out, over_bars, query, r6, shared, win, with_bars
 from .queries_indicators import T, head
 
@@ -136,6 +137,16 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
 
 
+def _ticks_to_their_end(spark: SparkSession, d: str) -> DataFrame:
+    """The tick stream and a heartbeat a day after the last tick, so that the watermark passes all of a finished table."""
+    columns = ["event_type as symbol", "cast(ts as timestamp) as time", "event_id as seq", "value as price"]
+    last = events(spark, d).agg(F.max("ts").cast("timestamp").alias("last")).where("last is not null")
+    beat = last.selectExpr("cast(null as string) as symbol", "last + interval 1 day as time", "cast(null as long) as seq", "cast(null as double) as price")
+    path = f"{shared(spark)}/heartbeat-{uuid.uuid4().hex}"
+    beat.write.parquet(path)
+    return _event_stream(spark, d).selectExpr(*columns).unionByName(spark.readStream.schema(beat.schema).parquet(path))
+
+
 CLOSED = "cl as (select max(ts) - interval 1 microsecond - interval 1 hour as mark from events),"
 
 
@@ -168,14 +179,18 @@ def stream_news(spark: SparkSession, d: str) -> DataFrame:
 
 @query("str05_price_spikes", "with k as (select event_type as symbol, ts, value, lag(value) over (partition by event_type order by ts, event_id) as p from events) select symbol, count(*) as n, sum(cast(coalesce(abs(value - p) > 50, false) as integer)) as spikes from k group by symbol")
 def price_spikes(spark: SparkSession, d: str) -> DataFrame:
-    s = _event_stream(spark, d).select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("time"), F.col("value").alias("price"))
-    return _run_stream(live.price_spikes(s, 50.0)).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("spike").alias("spikes"))
+    return _run_stream(live.price_spikes(_ticks_to_their_end(spark, d), 50.0)).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("spike").alias("spikes"))
+
+
+@query("str04_stale", "with k as (select event_type as symbol, ts, lead(ts) over (partition by event_type order by ts, event_id) as nxt from events) select symbol, ts as time, ts + interval 30 minute as due from k where nxt is null or nxt - ts > interval 30 minute")
+def stale(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks of a symbol after which none comes for half an hour; a timer finds them, not the next tick."""
+    return _run_stream(stale_ticks(_ticks_to_their_end(spark, d), 1800)).select("symbol", F.col("time").cast("timestamp_ntz").alias("time"), F.col("due").cast("timestamp_ntz").alias("due"))
 
 
 @query("stream_ewm", "with k as (select event_type as symbol, list_reduce(list(value order by ts, event_id), lambda a, v: a * 0.9 + v * 0.1) as ewm, count(*) as n from events group by 1) select symbol, n, round(ewm, 6) + 0.0 as ewm from k")
 def stream_ewm(spark: SparkSession, d: str) -> DataFrame:
     """The mean after the last tick of each symbol."""
-    s = _event_stream(spark, d).select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("time"), F.col("value").alias("price"))
-    done = _run_stream(live.stream_ewm(s, 0.1))
-    return out(done.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.max_by("ewm", "time").alias("ewm")))
+    done = _run_stream(live.stream_ewm(_ticks_to_their_end(spark, d), 0.1))
+    return out(done.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.max_by("ewm", F.struct("time", "seq")).alias("ewm")))
 
