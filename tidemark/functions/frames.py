@@ -5,7 +5,8 @@ Every expression here is a Column; all frames of one select share one sort by (s
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -13,8 +14,27 @@ from pyspark.sql import functions as F
 KEY, TIME = "symbol", "time"
 
 
+#: What windows are partitioned by: the symbol, and in ranged() also the number of its range.
+_keys: tuple[str, ...] = (KEY,)
+
+
+@contextmanager
+def keyed(*keys: str) -> Iterator[None]:
+    """Windows that are built inside are partitioned by these columns."""
+    global _keys
+    before, _keys = _keys, keys
+    try:
+        yield
+    finally:
+        _keys = before
+
+
+def keys() -> tuple[str, ...]:
+    return _keys
+
+
 def by_time() -> WindowSpec:
-    return Window.partitionBy(KEY).orderBy(TIME)
+    return Window.partitionBy(*_keys).orderBy(TIME)
 
 
 def rows(first: int, last: int) -> WindowSpec:
@@ -34,7 +54,7 @@ def earlier() -> WindowSpec:
 
 
 def whole() -> WindowSpec:
-    return Window.partitionBy(KEY)
+    return Window.partitionBy(*_keys)
 
 
 def prev(c: Column | str, k: int = 1) -> Column:

@@ -15,7 +15,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import KEY, by_time
+from ..functions.frames import by_time, keys
 
 #: Rows that a block has on average, blocks that are chained at once, and rows that a fold's list grows to.
 BLOCK, FAN, CHUNK = 256, 256, 16
@@ -54,16 +54,17 @@ def affine_scan(df: DataFrame, maps: dict[str, tuple[Column, ...]], block: int =
     y is null before the first row with a value, where it is f (b if not given), and a[t] * y[t-1] + b[t]
     after that. Null b stands for a row without a value: y is carried over it. a, b and f may use windows.
     """
-    sql = _Maps(len(maps))
+    sql, key = _Maps(len(maps)), keys()
+    by = ", ".join(key)
     parts = [F.struct(F.when(b.isNull(), F.lit(1.0)).otherwise(a).cast("double").alias("a"), F.coalesce(b.cast("double"), F.lit(0.0)).alias("b"), F.when(b.isNotNull(), (f[0] if f else b).cast("double")).alias("f")).alias(n) for n, (a, b, *f) in zip(sql.names, maps.values(), strict=True)]
-    given = df.select(KEY, (F.row_number().over(by_time()) - 1).alias("_n"), F.struct(*parts).alias("_m"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
-    blocks = given.groupBy(KEY, F.expr(f"_n div {block}").alias("_k")).agg(F.sort_array(F.collect_list(F.struct("_n", "_m", "_row"))).alias("_x"))
+    given = df.select(*key, (F.row_number().over(by_time()) - 1).alias("_n"), F.struct(*parts).alias("_m"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    blocks = given.groupBy(*key, F.expr(f"_n div {block}").alias("_k")).agg(F.sort_array(F.collect_list(F.struct("_n", "_m", "_row"))).alias("_x"))
     blocks = sql.scanned(blocks, "_x._m", "_p")
     # the ends of the blocks before in a group of FAN blocks, and those of the groups before
     blocks = blocks.selectExpr("*", "element_at(_p, -1) as _e", f"_k div {FAN} as _g")
-    blocks = blocks.selectExpr("*", f"collect_list(_e) over (partition by {KEY}, _g order by _k rows between unbounded preceding and 1 preceding) as _b")
+    blocks = blocks.selectExpr("*", f"collect_list(_e) over (partition by {by}, _g order by _k rows between unbounded preceding and 1 preceding) as _b")
     blocks = blocks.selectExpr("*", f"if(_k % {FAN} = {FAN - 1}, aggregate(concat(_b, array(_e)), cast(null as {sql.type}), (p, e) -> {sql.compose('p', 'e')}), null) as _w")
-    blocks = blocks.selectExpr("*", f"collect_list(_w) over (partition by {KEY} order by _k rows between unbounded preceding and 1 preceding) as _h")
+    blocks = blocks.selectExpr("*", f"collect_list(_w) over (partition by {by} order by _k rows between unbounded preceding and 1 preceding) as _h")
     carry = [f"aggregate(concat(_h, _b), cast(null as double), (y, e) -> {sql.value(m, 'e', 'y')}) as {m}" for m in sql.names]
     rows = blocks.selectExpr("_x", "_p", *carry)
     values = ", ".join(f"'{m}', {sql.value(m, 'p', m)}" for m in sql.names)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
 from ..functions import patterns as pat
-from ..operators import sequential
+from ..operators import ranges, sequential
 from .catalog import ewm_sql, full, over_bars, r6, win, with_bars
 
 PART = "partition by symbol order by time"
@@ -150,3 +150,10 @@ pattern("pat10_star", pat.star, ["morning_star", "evening_star"], [f"lag(bd, 2)
 OKB = "abs(pb) / mb >= 0.2 and sz / mb >= 0.2"
 pattern("pat11_piercing_dark", pat.piercing_dark, ["piercing", "dark_cloud"], [f"pc < po and bd > 0 and close >= (po + pc) / 2 and open < pc and {OKB}", f"pc > po and bd < 0 and close <= (po + pc) / 2 and open > pc and {OKB}"])
 pattern("pat12_belt", lambda d: pat.belt(d, 0.2), ["belt_bull", "belt_bear"], ["(open - low) / rg <= 0.2 and bd > 0", "(high - open) / rg <= 0.2 and bd < 0"])
+
+
+# a symbol's bars cut into ranges, each a task's: the same values as over whole symbols
+RANGE, M1_US = 500, 60_000_000
+over_bars("rng01_bbands", with_bars("select symbol, time, " + ", ".join([r6(full("avg", "close", 20), "bb_mid"), r6(f"{full('avg', 'close', 20)} + 2 * {full('stddev_pop', 'close', 20)}", "bb_up")]) + " from b", M1_US), lambda b: ranges.over_ranges(b, ind.bbands, 20, RANGE), ["bb_mid", "bb_up"], "M1")
+over_bars("rng02_ewm", with_bars("select symbol, time, " + r6(ewm_sql("close", "(2.0/21)"), "mean") + " from b", M1_US), lambda b: ranges.ewm_over_ranges(b, {"mean": ("close", 2.0 / 21)}, RANGE), ["mean"], "M1")
+over_bars("rng03_asof", with_bars(f"r as (select * from b where close > 50), === select b.symbol, b.time, " + r6("r.close", "last_high") + " from b asof left join r on b.symbol = r.symbol and b.time >= r.time", M1_US), lambda b: ranges.asof_over_ranges(b, b.where("close > 50").withColumnRenamed("close", "last_high"), ["last_high"], rows=RANGE), ["last_high"], "M1")
