@@ -257,3 +257,18 @@ def test_worse_sentences_raise_a_score(toxic_model):
     one, two = clean + "It was blorghead.", clean + "It was blorghead. And drubbish."
     a, b, c = toxic_model.score([clean, one, two])
     assert a < b < c
+
+
+def test_letters_apart_are_joined_whatever_repeats():
+    joined = lambda t: [w for _, w in toxicity.Text(t).joined]
+    assert joined("you b o o b now") == ["boob"] and joined("p o o p") == ["poop"]
+    assert joined("a a a a") == ["aaaa"] and joined("so f. o. o! l no") == ["fool"]
+    assert joined("an i d o") == ["ido"] and joined("a b") == [] and joined("no letters here") == []
+    assert joined("x y and z q") == []
+
+
+def test_long_landmarks_give_all_their_pieces():
+    word = "".join(chr(97 + (i * i * 7 + i) % 26) for i in range(70))
+    docs = [{word, "calm"}] * 40 + [{"calm", "words"}] * 40
+    marks = toxicity.toxic_landmarks(docs, np.array([1] * 40 + [0] * 40))
+    assert set(toxicity.pieces(word)) <= set(marks) and all(len(m) <= toxicity.PIECE for m in marks)

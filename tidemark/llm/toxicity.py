@@ -2,7 +2,7 @@
 
 The kernel compares words by their subsequences of three characters within a span of five, a gap
 costing DECAY; a word has marks at its start and end. Inserted characters only widen some spans,
-punctuation inside a word and digits for letters are folded, and letters written apart are joined,
+punctuation inside a word and digits for letters are folded, and RUN or more letters written apart are joined,
 so i.d.i.o.t, idxiot and "i d i o t" stay near idiot. A sentence is to a landmark what its nearest word
 is. Landmarks are words and word beginnings that are much more frequent in toxic documents, and clean
 words that come near them. The Nystroem map K^-1/2 k(sentence, landmarks) makes the SVM linear. It is
@@ -49,6 +49,8 @@ PER_CLASS = 2000
 CUT = 0.7
 #: Longest piece of a word compared at once; longer words are cut into overlapping pieces.
 PIECE, STEP = 32, 24
+#: Single letters in a row that are looked at as one word too.
+RUN = 3
 #: Words that a worker remembers; a memory bound, without effect on the result.
 REMEMBERED = 400_000
 LEET = str.maketrans("013457@$!", "oieastasi")
@@ -65,19 +67,19 @@ def fold(word: str) -> str:
 
 
 def spaced_out(words: list[str]) -> list[tuple[int, str]]:
-    """Runs of four or more single letters, joined, and where they begin."""
+    """Runs of RUN or more single letters, joined, and where they begin."""
     out, run, last = [], [], -2
     for i in [i for i, w in enumerate(words) if len(w) < 3]:
         c = words[i].strip(EDGE)
         if len(c) != 1 or not c.isalpha():
             continue
         if i != last + 1:
-            if len(run) > 3:
+            if len(run) >= RUN:
                 out.append((last - len(run) + 1, "".join(run)))
             run = []
         run.append(c)
         last = i
-    if len(run) > 3:
+    if len(run) >= RUN:
         out.append((last - len(run) + 1, "".join(run)))
     return out
 
@@ -92,8 +94,8 @@ class Text:
         for line in text.lower().split("\n"):
             self.words += line.split()
             self.lines.append(len(self.words) - 1)
-        short = [w for w in set(self.words) if len(w) < 3]
-        self.joined = spaced_out(self.words) if len(short) > 2 and len({c for w in short if len(c := w.strip(EDGE)) == 1}) > 2 else []
+        # texts without a single letter, which are most, needn't be looked through
+        self.joined = spaced_out(self.words) if any(len(w.strip(EDGE)) == 1 for w in set(self.words) if len(w) < 3) else []
 
     def every(self) -> list[str]:
         return self.words + [w for _, w in self.joined]
@@ -343,11 +345,11 @@ def toxic_landmarks(docs: list[set[str]], y: np.ndarray) -> list[str]:
     for _, s in rated:
         if len(strings) == TOXIC_LANDMARKS:
             break
-        s = s if len(s) <= PIECE else pieces(s[1:-1])[0]
-        own, near = nearness(s, marks)
-        if near < ALIKE:
-            strings.append(s)
-            marks.append(own)
+        for own_piece in [s] if len(s) <= PIECE else pieces(s[1:-1]):
+            own, near = nearness(own_piece, marks)
+            if near < ALIKE and len(strings) < TOXIC_LANDMARKS:
+                strings.append(own_piece)
+                marks.append(own)
     return strings
 
 
