@@ -268,7 +268,7 @@ def test_letters_apart_are_joined_whatever_repeats():
 
 
 def test_long_landmarks_give_all_their_pieces():
-    word = "".join(chr(97 + (i * i * 7 + i) % 26) for i in range(70))
+    word = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=70))
     docs = [{word, "calm"}] * 40 + [{"calm", "words"}] * 40
     marks = toxicity.toxic_landmarks(docs, np.array([1] * 40 + [0] * 40))
     assert set(toxicity.pieces(word)) <= set(marks) and all(len(m) <= toxicity.PIECE for m in marks)

@@ -44,15 +44,52 @@ def test_automaton_gives_longest_runs():
     auto.finish()
     has = lambda run: {(n, i + len(run) - 1) for n, s in enumerate(seqs) for i in range(len(s)) if s[i : i + len(run)] == run}
     text = [rng.randint(0, 4) for _ in range(400)]
-    want = []
-    for end in range(1, len(text) + 1):  # the longest run ending here that some sequence holds
-        size = next((k for k in range(end, 0, -1) if has(text[end - k : end])), 0)
-        if size and (end == len(text) or not has(text[end - size : end + 1])):
-            want.append((end - size, size))
-    got = list(auto.anchors(text))
-    assert [g[:2] for g in got] == want
-    for start, size, state in got:
-        assert auto.ends[state] == has(text[start : start + size])
+    want = set()
+    for n, own in enumerate(seqs):  # all runs of each sequence that can grow to neither side
+        for i in range(len(text)):
+            for j in range(len(own)):
+                if text[i] != own[j] or (i and j and text[i - 1] == own[j - 1]):
+                    continue
+                size = 0
+                while i + size < len(text) and j + size < len(own) and text[i + size] == own[j + size]:
+                    size += 1
+                if size > 1:
+                    want.add((i, j, size, n))
+    got = list(auto.anchors(text, seqs))
+    assert len(got) == len(set(got)) and set(got) == want
+    for s in range(1, len(auto.len)):
+        assert all(has(seqs[n][e - auto.len[s] + 1 : e + 1]) == auto.ends[s] for n, e in auto.ends[s])
+
+
+def test_a_run_inside_another_templates_run_counts(spark):
+    templates = [("b c d e f", "one"), ("x c d e y z w", "two")]
+    texts = ["x b c d e f y z w", "x q c d e q y z w"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in licenses.scan(df, templates=templates, base={}).collect()}
+    found = licenses.Scanner(tuple(templates))
+    own = {s[0]: s for s in found.spans(found.runs(licenses.words_of(texts[0].encode())))}
+    assert own["one"][3] == 1.0 and rows[1]["labels"] == "two" and abs(rows[1]["score"] - 6 / 7) < 0.2
+    _, _, auto, seqs = found.parts(tuple(templates))
+    vocab = found.parts(tuple(templates))[0]
+    ids = [vocab[w] for w in licenses.words_of(texts[0].encode())]
+    two = [(t, p, n) for t, p, n, k in auto.anchors(ids, seqs) if k == 1]
+    assert (2, 1, 3) in two and (6, 4, 3) in two
+
+
+def test_the_nearer_licence_wins(spark):
+    gnu = "under the terms of the gnu {} general public license as published by the free software foundation"
+    texts = {
+        gnu.format("project"): "gpl",
+        gnu.format(""): "gpl",
+        gnu.format("affero"): "agpl,gpl",  # gpl is the base phrase
+        gnu.format("lesser"): "gpl,lgpl",
+        gnu.format("affero").replace("published", "printed"): "agpl,gpl",
+        "licensed under cc [sic] by nc": "cc-by-nc",
+        "licensed under cc by sa": "cc-by,cc-by-sa",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(df).collect()}
+    assert got == dict(enumerate(texts.values()))
 
 
 def test_inserted_words_are_bridged(spark):

@@ -2,11 +2,13 @@
 
 The automaton holds every run of words of all templates. A text is streamed through it: at each
 word it gives the length of the longest run ending there that some template holds (the matching
-statistic). Where a run can't grow, it is an anchor; the anchors of a template are chained in the
+statistic), and by its suffix links the longest one of every other template. A run that can't grow within
+its template is an anchor; the anchors of a template are chained in the
 order of both text and template, and the words that a chain covers make a span. Of all chains ending
 in an anchor the best is kept (dynamic programming), so inserted words that stand elsewhere in the
 template don't break it. A template is found if a chain covers enough of it, so notices with changed,
-missing or inserted words are found too.
+missing or inserted words are found too. Where spans of several labels overlap, the best covered one wins,
+so that a notice near two licences gets the label of the nearer. Templates are notices and opening paragraphs.
 
 Besides, three base phrases are counted word by word. Words are maximal runs of a-z, 0-9 and
 characters beyond ASCII after lower-casing A-Z. Nulls and empty texts have no words: counts 0, no
@@ -30,9 +32,6 @@ from pyspark.sql import functions as F
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Wordings of licence notices, and the label of each.
 TEMPLATES = [
-    ("all rights reserved", "reserved"),
-    ("general public license", "gpl"),
-    ("cc by", "cc-by"),
     ("licensed under cc by", "cc-by"),
     ("licensed under cc by nc", "cc-by-nc"),
     ("licensed under cc by sa", "cc-by-sa"),
@@ -134,22 +133,30 @@ class Automaton:
             if self.link[s] > 0:
                 self.ends[self.link[s]] |= self.ends[s]
 
-    def anchors(self, ids: list[int]) -> Iterator[tuple[int, int, int]]:
-        """(first word, length, state) of the runs that can't grow to the right."""
+    def anchors(self, ids: list[int], sequences: list[list[int]]) -> Iterator[tuple[int, int, int, int]]:
+        """(first word, place in the sequence, length, sequence) of the runs of two words and more that, within that
+        sequence, can grow neither to the left nor to the right.
+
+        The state after a word stands for the sequences that have the longest run in common with the text there;
+        its suffix links lead to those whose runs are shorter.
+        """
         state = size = 0
         for i, c in enumerate(ids):
+            while state and c not in self.next[state]:
+                state = self.link[state]
+                size = self.len[state]
             if c not in self.next[state]:
-                if size:
-                    yield i - size, size, state
-                while state >= 0 and c not in self.next[state]:
-                    state = self.link[state]
-                    size = self.len[state] if state >= 0 else 0
-                if state < 0:
-                    state = size = 0
-                    continue
+                continue
             state, size = self.next[state][c], size + 1
-        if size:
-            yield len(ids) - size, size, state
+            after = ids[i + 1] if i + 1 < len(ids) else None
+            s, length, seen = state, size, frozenset()
+            while s > 0 and length > 1:
+                for number, end in self.ends[s]:
+                    own = sequences[number]
+                    if (number, end) not in seen and not (end + 1 < len(own) and own[end + 1] == after):
+                        yield i - length + 1, end - length + 1, length, number
+                seen, s = self.ends[s], self.link[s]
+                length = self.len[s]
 
 
 @dataclass(frozen=True)
@@ -157,6 +164,8 @@ class Scanner:
     """Templates, vocabulary and automaton; built once in a worker."""
 
     templates: tuple[tuple[str, str], ...]
+    #: How many of the last templates are exact phrases, which don't compete with others for their place.
+    phrases: int = 0
 
     @staticmethod
     @lru_cache(maxsize=4)
@@ -190,16 +199,25 @@ class Scanner:
         _, _, auto, seqs = self.parts(self.templates)
         anchors: dict[int, list[tuple[int, int, int]]] = {}
         for at, ids in runs:
-            for start, size, state in auto.anchors(ids):
-                if size > 1:
-                    for number, end in auto.ends[state]:
-                        anchors.setdefault(number, []).append((at + start, end - size + 1, size))
-        found = []
+            for first, place, size, number in auto.anchors(ids, seqs):
+                anchors.setdefault(number, []).append((at + first, place, size))
+        found, phrases = [], []
         for number, list_ in anchors.items():
             need = len(seqs[number])
+            out = found if number < len(self.templates) - self.phrases else phrases
             for first, end, covered in chains(list_, COVER * need):
-                found.append((self.templates[number][1], first, end - 1, covered / need))
-        return found
+                out.append((covered, (self.templates[number][1], first, end - 1, covered / need)))
+        return strongest(found) + [s for _, s in phrases]
+
+
+def strongest(spans: list[tuple[int, tuple[str, int, int, float]]]) -> list[tuple[str, int, int, float]]:
+    """Of (words covered, span) of different labels that overlap, the span that its template is covered best by, of
+    such the one with the most words: a notice that is one word from two licences is the nearer one's."""
+    out: list[tuple[str, int, int, float]] = []
+    for _, s in sorted(spans, key=lambda x: (-x[1][3], -x[0], x[1])):
+        if all(s[0] == t[0] or s[2] < t[1] or s[1] > t[2] for t in out):
+            out.append(s)
+    return out
 
 
 def chains(anchors: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
@@ -232,7 +250,7 @@ def chains(anchors: list[tuple[int, int, int]], least: float) -> list[tuple[int,
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates=tuple(TEMPLATES), base=None) -> DataFrame:
     """One row a document: counts of base phrases, labels, the best cover as score, and the spans."""
     base = dict(BASE if base is None else base)
-    scanner = Scanner(tuple(templates) + tuple(base.items()))
+    scanner = Scanner(tuple(templates) + tuple(base.items()), len(base))
     phrases = [(words_of(p.encode()), label) for p, label in base.items()]
     span = "array<struct<label:string,first:long,last:long,cover:double>>"
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("cover", pa.float64())]))]
