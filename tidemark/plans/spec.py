@@ -265,12 +265,21 @@ def _kept(steps: Callable, params: dict, plain: Callable[[list[str]], dict[str,
     return run
 
 
-def compute(bars: DataFrame, specs: list[Spec], tf: str) -> DataFrame:
-    """(symbol, time, features) of one timeframe, all operators chained on the same bars.
+def _numbered(df: DataFrame) -> DataFrame:
+    """df with a number for the rows that a symbol has at one time, in the order of their values."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("symbol", "time").orderBy(*[c for c in BARS if c in df.columns and c not in ("symbol", "time")])
+    return df.withColumn("_of_time", F.row_number().over(w))
+
+
+def compute(bars: DataFrame, specs: list[Spec], tf: str, whole: bool = False) -> DataFrame:
+    """(symbol, time, features) of one timeframe, or with whole all columns of the bars instead of the first two; a row a bar.
 
-    Operators with exponential means run together, so that the means of a timeframe are one scan.
+    All operators are chained on the same bars. Operators with exponential means run together, so that the
+    means of a timeframe are one scan. Bars of one time stay rows of their own.
     """
-    base = bars.select(*[c for c in BARS if c in bars.columns])
+    base = bars.select(*[c for c in BARS if c in bars.columns], *([F.struct(*[F.col(f"`{c}`") for c in bars.columns]).alias("_bar")] if whole else []))
     names: dict[str, str] = {}
     calls = [(s, REGISTRY[s.name].fn, bind(s)) for s in specs]
 
@@ -290,9 +299,10 @@ def compute(bars: DataFrame, specs: list[Spec], tf: str) -> DataFrame:
         new = [c for c in made if c not in keep and c != "pos"]
         missing = [c for c in keep if c not in made]
         if missing:  # an operator that rebuilds its rows from the bars
-            done = done.join(out.select("symbol", "time", *missing), ["symbol", "time"], "left")
+            rest = _numbered(out).select("symbol", "time", "_of_time", *missing)
+            done = _numbered(done).join(rest, ["symbol", "time", "_of_time"], "left").drop("_of_time")
         out = done.select(*keep, *[F.col(c).alias(k) for c, k in plain(spec, new).items()])
-    return out.select("symbol", "time", *[F.col(k).alias(n) for k, n in names.items()])
+    return out.select(*(["_bar.*"] if whole else ["symbol", "time"]), *[F.col(k).alias(n) for k, n in names.items()])
 
 
 def run_specs(bars: DataFrame, specs: list[str], base_tf: str, *, strict: bool = True, tolerance: bool = False) -> DataFrame:
@@ -302,10 +312,10 @@ def run_specs(bars: DataFrame, specs: list[str], base_tf: str, *, strict: bool =
     for tf, own in p.groups.items():
         if seconds(tf) < seconds(base_tf):
             raise ValueError(f"{tf} is finer than the base {base_tf}")
-        f = compute(bars if tf == base_tf else resample(bars, tf), own, tf)
         if tf == base_tf:
-            out = bars.join(f, ["symbol", "time"], "left")
+            out = compute(bars, own, tf, whole=True)
         else:
+            f = compute(resample(bars, tf), own, tf)
             higher.append((f, [c for c in f.columns if c not in ("symbol", "time")]))
     return asof_many(out, higher, tolerance_us=seconds(base_tf) * 1_000_000 if tolerance else None) if higher else out
 
@@ -325,8 +335,10 @@ def metadata(df: DataFrame, cols: list[str]) -> DataFrame:
     from pyspark.sql import Window
 
     n = df.withColumn("_i", F.row_number().over(Window.partitionBy("symbol").orderBy("time")) - 1)
-    long = n.select("time", "_i", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").isNotNull().alias("ok")) for c in cols])).alias("x")).select("time", "_i", "x.*")
-    return long.groupBy("column").agg(F.min(F.when(F.col("ok"), F.col("time"))).alias("first_valid"), F.min(F.when(F.col("ok"), F.col("_i"))).alias("warmup"), F.avg(F.col("ok").cast("double")).alias("coverage"))
+    ok = [F.col(f"`{c}`").isNotNull() for c in cols]
+    # one row of a struct a column: the rows aren't multiplied by the columns
+    each = n.agg(*[F.struct(F.lit(c).alias("column"), F.min(F.when(v, F.col("time"))).alias("first_valid"), F.min(F.when(v, F.col("_i"))).alias("warmup"), F.avg(v.cast("double")).alias("coverage")).alias(f"c{i}") for i, (c, v) in enumerate(zip(cols, ok, strict=True))], F.count(F.lit(1)).alias("_n"))
+    return each.where("_n > 0").select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(cols))])))
 
 
 def observation_columns(columns: list[str], keep: list[str], drop: list[str]) -> list[str]:
