@@ -24,13 +24,23 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def symbols(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The symbols that there are ticks of."""
+    return [r[0] for r in events(spark, sf_dir).select("event_type").distinct().orderBy("event_type").collect() if r[0] is not None]
+
+
 def bars(spark: SparkSession, sf_dir: str, tf: str = TF) -> DataFrame:
     return ticks_to_bars(events(spark, sf_dir), tf)
 
 
 def shared(spark: SparkSession) -> str:
-    """A folder that driver and executors share: under spark.checkpoint.dir, or in the warehouse where that is unset."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/tidemark"
+    """A folder that driver and executors share: under spark.checkpoint.dir, or, on one machine only, in the warehouse where that is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        where = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{where}/tidemark"
 
 
 def out(df: DataFrame, *cols: str | Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import timeparts as tp
 from ..operators import asof as joins
 from ..operators import news
 from ..sources import bars as src
-from .catalog import bars, events, out, over_bars, query, r6, with_bars
+from .catalog import bars, events, out, over_bars, query, r6, symbols, with_bars
 
 PART = "partition by symbol order by time"
 OHLCV = ["open", "high", "low", "close", "volume"]
@@ -64,10 +66,15 @@ def download_plan(spark: SparkSession, d: str) -> DataFrame:
     return src.download_plan(events(spark, d).select(F.col("event_type").alias("symbol")).distinct(), tfs, F.when(F.col("tf") == "D1", 1000).when(F.col("symbol") == "click", 5000).otherwise(2000))
 
 
-@query("prj01_normalise", "with r as (select ts as time, try_cast(value as double) as close, event_id from events where event_type = 'click'), k as (select *, row_number() over (partition by time order by event_id desc) as n from r) select 'click' as symbol, time, round(close, 6) + 0.0 as close from k where n = 1")
+@query("prj01_normalise", "with r as (select event_type as symbol, ts as time, try_cast(value as double) as close, event_id from events), k as (select *, row_number() over (partition by symbol, time order by event_id desc) as n from r) select symbol, time, round(close, 6) + 0.0 as close from k where n = 1")
 def normalise(spark: SparkSession, d: str) -> DataFrame:
-    raw = events(spark, d).where("event_type = 'click'").orderBy("event_id").select(F.col("ts").cast("string").alias("Time"), F.col("value").cast("string").alias("CLOSE"))
-    return out(src.normalise(raw, "click", "TICK"), "symbol", "time", "close")
+    """Each symbol's ticks as a raw table of its own."""
+
+    def one(symbol: str) -> DataFrame:
+        own = events(spark, d).where(F.col("event_type") == symbol).orderBy("event_id")
+        return src.normalise(own.select(F.col("ts").cast("string").alias("Time"), F.col("value").cast("string").alias("CLOSE")), symbol, "TICK")
+
+    return out(reduce(DataFrame.unionByName, map(one, symbols(spark, d))), "symbol", "time", "close")
 
 
 @query("prj02_prefix", with_bars(f"select symbol, time, {r6('close', 'H4_close')}, {r6('open', 'H4_open')} from b"))
@@ -189,9 +196,9 @@ def last_per_symbol(spark: SparkSession, d: str) -> DataFrame:
     return out(bars(spark, d).withColumn("n", F.row_number().over(w)).where("n <= 6"), "symbol", "time", "close")
 
 
-@query("src08_symbol_specs", with_bars("sp as (select * from (values ('click', 0.01, 100.0), ('view', 0.001, 10.0)) t(symbol, point, contract_size)), === select b.symbol, b.time, " + r6("close / point * contract_size", "notional") + " from b join sp using (symbol)"))
+@query("src08_symbol_specs", with_bars("sp as (select * from (values ('click', 0.01, 100.0), ('view', 0.001, 10.0)) t(symbol, point, contract_size)), === select b.symbol, b.time, " + r6("close / point * contract_size", "notional") + " from b left join sp using (symbol)"))
 def symbol_specs(spark: SparkSession, d: str) -> DataFrame:
     s = src.symbol_specs(spark, {"click": {"point": 0.01, "contract_size": 100}, "view": {"point": 0.001, "contract_size": 10}})
-    return out(bars(spark, d).join(F.broadcast(s), "symbol"), "symbol", "time", (F.col("close") / F.col("point") * F.col("contract_size")).alias("notional"))  # two rows
+    return out(bars(spark, d).join(F.broadcast(s), "symbol", "left"), "symbol", "time", (F.col("close") / F.col("point") * F.col("contract_size")).alias("notional"))  # two rows
 
 

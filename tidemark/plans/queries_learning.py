@@ -169,11 +169,11 @@ def stream_gates(spark: SparkSession, d: str) -> DataFrame:
     return _run_stream(live.gated(e, hours=("08:00", "16:00"), max_spread=100.0).select("event_id", "reject"))
 
 
-@query("str02_news_gate", "with n as (select ts - interval 30 minute as s, ts + interval 15 minute as e, event_id as ev from events where event_type = 'error' and event_id % 3 = 0) select event_id, 'e' || ev as title from events join n on ts between s and e where event_type = 'click'")
+@query("str02_news_gate", "with n as (select ts - interval 30 minute as s, ts + interval 15 minute as e, event_id as ev from events where event_type = 'error' and event_id % 3 = 0) select event_id, 'e' || ev as title from events join n on ts between s and e")
 def stream_news(spark: SparkSession, d: str) -> DataFrame:
     from .queries_data import error_calendar
 
-    ticks = _event_stream(spark, d).where("event_type = 'click'").withColumn("time", F.col("ts").cast("timestamp"))
+    ticks = _event_stream(spark, d).withColumn("time", F.col("ts").cast("timestamp"))
     return _run_stream(live.news_gated(ticks, error_calendar(spark, d).where("impact = 'high'")).select("event_id", "title"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..sources import bars as src
 from ..sources import store
 from ..streaming import positions as pos
 from . import search, spec
-from .catalog import SQL, bars, events, full, out, over_bars, query, r6, shared, with_bars
+from .catalog import SQL, bars, events, full, out, over_bars, query, r6, shared, symbols, with_bars
 from .queries_features import ADR, ATR, BO, PART, SW
 from .queries_learning import POS_SQL, _event_stream, _run_stream, positions
 from .queries_swings import CLUSTERS, _clusters
@@ -27,13 +28,19 @@ def place(spark: SparkSession, name: str) -> str:
 
 
 # sources
-@query("src03_raw_candles", with_bars("select symbol, 'H4' as tf, time, " + ", ".join(r6(c, c) for c in ("open", "high", "low")) + ", " + r6("close + 1", "close") + ", volume, cast(null as bigint) as spread from b where symbol = 'click'"))
+@query("src03_raw_candles", with_bars("select symbol, 'H4' as tf, time, " + ", ".join(r6(c, c) for c in ("open", "high", "low")) + ", " + r6("close + 1", "close") + ", volume, cast(null as bigint) as spread from b"))
 def raw_candles(spark: SparkSession, d: str) -> DataFrame:
-    """A raw file in which every candle stands twice: the last one read stays."""
-    b = bars(spark, d).where("symbol = 'click'").select("time", "open", "high", "low", "close", "volume")
-    path = place(spark, "raw") + ".csv"
-    b.withColumn("k", F.lit(0)).unionByName(b.withColumn("close", F.col("close") + 1).withColumn("k", F.lit(1))).coalesce(1).sortWithinPartitions("k", "time").drop("k").write.option("header", True).csv(path)
-    return out(src.read_raw(spark, path, "click", "H4"), "symbol", "tf", "time", "open", "high", "low", "close", "volume", "spread")
+    """A raw file a symbol, in which every candle stands twice: the last one read stays."""
+    both = bars(spark, d).select("symbol", "time", "open", "high", "low", "close", "volume")
+    both = both.withColumn("k", F.lit(0)).unionByName(both.withColumn("close", F.col("close") + 1).withColumn("k", F.lit(1)))
+    path = place(spark, "raw")
+
+    def one(symbol: str) -> DataFrame:
+        own = f"{path}/{symbol}.csv"
+        both.where(F.col("symbol") == symbol).coalesce(1).sortWithinPartitions("k", "time").drop("k", "symbol").write.option("header", True).csv(own)
+        return src.read_raw(spark, own, symbol, "H4")
+
+    return out(reduce(DataFrame.unionByName, map(one, symbols(spark, d))), "symbol", "tf", "time", "open", "high", "low", "close", "volume", "spread")
 
 
 @query("src04_read_processed", with_bars("select symbol, time, " + r6("close", "close") + ", volume from b"))
@@ -66,10 +73,10 @@ def calendar_cache(spark: SparkSession, d: str) -> DataFrame:
     return n("absent", path + "-none").unionByName(n("there", path))
 
 
-@query("src08_spec_overlay", with_bars("sp as (select * from (values ('click', 0.01, 50.0), ('view', 0.001, 10.0)) t(symbol, point, contract_size)), === select b.symbol, b.time, " + r6("close / point * contract_size", "notional") + " from b join sp using (symbol)"))
+@query("src08_spec_overlay", with_bars("sp as (select * from (values ('click', 0.01, 50.0), ('view', 0.001, 10.0)) t(symbol, point, contract_size)), === select b.symbol, b.time, " + r6("close / point * contract_size", "notional") + " from b left join sp using (symbol)"))
 def spec_overlay(spark: SparkSession, d: str) -> DataFrame:
     specs = store.overlay_specs({"click": {"point": 0.01, "contract_size": 100}, "view": {"point": 0.001}}, {"click": {"contract_size": 50, "point": None}, "view": {"contract_size": 10}})
-    return out(bars(spark, d).join(F.broadcast(src.symbol_specs(spark, specs)), "symbol"), "symbol", "time", (F.col("close") / F.col("point") * F.col("contract_size")).alias("notional"))  # two rows
+    return out(bars(spark, d).join(F.broadcast(src.symbol_specs(spark, specs)), "symbol", "left"), "symbol", "time", (F.col("close") / F.col("point") * F.col("contract_size")).alias("notional"))  # two rows
 
 
 # sinks
