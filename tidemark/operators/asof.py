@@ -1,8 +1,8 @@
 """As-of, interval and range joins over (symbol, time).
 
 As-of joins are one union and one window: no join node, one shuffle by symbol, and the right side's
-rows carry a struct, so nulls inside a matched row stay. Interval joins bucket both sides by time,
-so that they are equi-joins with a residual check instead of nested loops.
+rows carry a struct, so nulls inside a matched row stay. Interval joins keep an interval under cells of
+several widths, so that they are equi-joins with a residual check instead of nested loops.
 """
 
 from __future__ import annotations
@@ -39,12 +39,45 @@ def median_step(df: DataFrame, by: str = "symbol", time: str = "time") -> DataFr
     return df.select(by, (t - F.lag(t).over(w)).alias("d")).groupBy(by).agg(F.percentile("d", F.lit(0.5)).alias("step"))
 
 
-def in_interval(points: DataFrame, intervals: DataFrame, *, time: str = "time", start: str = "start", end: str = "end", on: list[str] | None = None, width_s: int = 86400) -> DataFrame:
-    """Pairs of points and the intervals that hold them (both ends inclusive), bucketed by width_s."""
-    b = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(width_s * 1_000_000)).cast("long")
-    p = points.withColumn("_b", b(time))
-    i = intervals.withColumn("_b", F.explode(F.sequence(b(start), b(end))))
-    return p.join(i, ["_b", *(on or [])]).where(F.col(time).between(F.col(start), F.col(end))).drop("_b")
+#: The interval index: steps of the finest level (microseconds), steps of a level in one of the next, and levels.
+UNIT_US, FAN, LEVELS = 1 << 26, 16, 8
+
+
+def interval_cells(start: Column, end: Column) -> Column:
+    """The array of (level, cell) that cover the steps from start to end, both in microseconds, once: at most 2 * FAN a level.
+
+    From the finest level up, what sticks out of whole cells of the next level is given as cells of this one.
+    """
+    fan, unit = F.lit(FAN).cast("long"), F.lit(UNIT_US).cast("long")
+    cells = "array<struct<level:int,cell:bigint>>"
+
+    def level(acc: Column, k: Column) -> Column:
+        lo, hi = acc["lo"], acc["hi"]  # the steps left, hi exclusive
+        top = k == LEVELS - 1
+        inner = F.when(top, hi).otherwise(F.least(hi, F.ceil(lo / fan) * fan))
+        outer = F.when(top, hi).otherwise(F.greatest(inner, F.floor(hi / fan) * fan))
+        some = lambda a, b: F.when(a < b, F.transform(F.sequence(a, F.greatest(a, b - 1)), lambda c: F.struct(k.alias("level"), c.alias("cell")))).otherwise(F.array().cast(cells))
+        more = F.concat(acc["cells"], some(lo, inner), some(outer, hi))
+        return F.struct(F.ceil(inner / fan).alias("lo"), F.floor(outer / fan).alias("hi"), more.cast(cells).alias("cells"))
+
+    begin = F.struct(F.floor(start / unit).alias("lo"), (F.floor(end / unit) + 1).alias("hi"), F.array().cast(cells).alias("cells"))
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), begin, level)["cells"]
+    return F.when(start <= end, found)
+
+
+def in_interval(points: DataFrame, intervals: DataFrame, *, time: str = "time", start: str = "start", end: str = "end", on: list[str] | None = None) -> DataFrame:
+    """Pairs of points and the intervals that hold them (both ends inclusive).
+
+    An interval is kept under few cells, coarse ones for its inside, fine ones at its ends; a point looks in the one
+    cell of each level that holds it. So a long interval is no more rows than a short one, a point meets
+    an interval once, and only at an interval's ends one that doesn't hold it. Nulls are in no interval.
+    """
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    i = intervals.withColumn("_c", F.explode(interval_cells(us(start), us(end)))).select("*", F.col("_c.level").alias("_l"), F.col("_c.cell").alias("_b")).drop("_c")
+    used = sorted(r[0] for r in i.select("_l").distinct().collect())  # LEVELS rows at most
+    at = [F.struct(F.lit(k).alias("_l"), F.floor(us(time) / F.lit(UNIT_US * FAN**k)).alias("_b")) for k in used or [0]]
+    p = points.withColumn("_c", F.explode(F.array(*at))).select("*", "_c._l", "_c._b").drop("_c")
+    return p.join(i, ["_l", "_b", *(on or [])]).where(F.col(time).between(F.col(start), F.col(end))).drop("_l", "_b")
 
 
 def fill_ranges(points: DataFrame, legs: DataFrame, fields: list[str], *, position: str = "pos", start: str = "start_pos", end: str = "end_pos", by: str = "symbol") -> DataFrame:
