@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .training import labelled_sample, remainder
+from .training import fitted, remainder
 
 CHUNK, STRIDE, BLOCK = 512, 448, 32
 WIDTH, FILTERS, HIDDEN = 4, 16, 24
@@ -229,8 +229,7 @@ def fit(sample: pd.DataFrame, counts: dict[int, int] | None = None) -> Network |
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Network | Constant:
-    sample = labelled_sample(docs, labels, "quality", remainder(key, 5) != 0, per_class, key=key, text=text)
-    return fit(sample, sample.attrs["counts"])
+    return fitted(docs, labels, "quality", remainder(key, 5) != 0, per_class, fit, key=key, text=text)
 
 
 def score(docs: DataFrame, model: Network | Constant, *, key: str = "doc_id", text: str = "text", cut: float = CUT) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .training import labelled_sample, remainder
+from .training import fitted, remainder
 
 DECAY = 0.6
 #: Offsets of the second and third character of a subsequence.
@@ -424,7 +424,7 @@ def fit(sample: pd.DataFrame) -> Model:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Model:
-    return fit(labelled_sample(docs, labels, "toxic", remainder(key, 3) != 1, per_class, key=key, text=text))
+    return fitted(docs, labels, "toxic", remainder(key, 3) != 1, per_class, lambda sample, _: fit(sample), key=key, text=text)
 
 
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", cut: float = CUT) -> DataFrame:
