@@ -44,3 +44,8 @@ def test_every_operator_keeps_the_rows(spark):
     assert len(known) > 30
     for i in range(0, len(known), 10):
         assert spec.run_specs(df, known[i : i + 10], "H4").select("note").count() == df.count(), known[i : i + 10]
+
+
+@pytest.mark.parametrize("text, value", [("14", 14), (".382", 0.382), ("1e-3", 0.001), ("'a,b'", "a,b"), ("TRUE", True), ("null", None), ("M15", "M15"), ("5m", "5m"), ("[M1, 'x', 2.5]", ["M1", "x", 2.5]), ("[[1],(2,3)]", [[1], [2, 3]]), ("a b", "a b"), ("[1", "[1"), ("x]", "x]"), ("", "")])
+def test_values(text, value):
+    assert spec.literal(text) == value
