@@ -1,7 +1,7 @@
 """Streams in event order: rows wait in state until the watermark has passed them, however micro-batches mix them.
 
-A key's rows lie in a ListState. A timer at the earliest of them fires once the watermark is there; what the
-watermark has passed goes on in the order of (time, seq), the rest waits for a timer of its own. Rows that
+A key's rows lie in state as packed runs (see runs.py). A timer at the earliest of them fires once the watermark is there; what
+the watermark has passed goes on in the order of (time, seq), piece by piece, the rest waits for a timer of its own. Rows that
 come after the watermark has passed their time are late and are dropped by Spark. A heartbeat, a row with a null
 symbol, moves event time on where no tick does: it ends a replay, and stale symbols are found by it.
 """
@@ -18,22 +18,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .positions import use_rocksdb
+from .runs import LAST, Runs
 
-ROW = "us long, seq long, price double"
+ROW = np.dtype([("us", "<i8"), ("seq", "<i8"), ("price", "<f8")])
 
 
 class InOrder(StatefulProcessor):
-    """step(key, rows, state) gets rows (us, seq, price) in order and returns what goes out and the new state."""
+    """step(key, rows, state) gets the next rows (us, seq, price) in order and returns what goes out and the new state."""
 
     STATE = "at long, value double"
     OUT = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getListState("buffer", ROW)
+        self.rows = Runs(handle, ROW)
         self.state = handle.getValueState("state", self.STATE)
 
-    def step(self, key: str, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+    def step(self, key: str, rows: np.ndarray, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
         raise NotImplementedError
 
     def idle(self, key: str, state: tuple, mark: int) -> pd.DataFrame | None:
@@ -49,28 +50,24 @@ class InOrder(StatefulProcessor):
         self.handle.registerTimer(-(-int(us) // 1000))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for pdf in rows:
-            if key[0] is not None and len(pdf):
-                own = pdf[["us", "seq", "price"]]
-                self.buffer.appendList(list(zip(own["us"].tolist(), own["seq"].tolist(), own["price"].tolist(), strict=True)))
-                self.timer(own["us"].min())
+        if key[0] is None:
+            for _ in rows:
+                pass
+        elif (low := self.rows.add(rows)) is not None:
+            self.timer(low)
         yield self.empty()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        state = tuple(self.state.get()) if self.state.exists() else None
-        held = pd.DataFrame(list(self.buffer.get()) if self.buffer.exists() else [], columns=["us", "seq", "price"])
-        ready = held["us"] <= mark
-        if ready.any():
-            out, state = self.step(key[0], held[ready].sort_values(["us", "seq"], kind="stable").reset_index(drop=True), state)
-            rest = held[~ready]
-            if len(rest):
-                self.buffer.put(list(zip(rest["us"].tolist(), rest["seq"].tolist(), rest["price"].tolist(), strict=True)))
-                self.timer(rest["us"].min())
-            else:
-                self.buffer.clear()
-            self.state.update(state)
+        state, some = tuple(self.state.get()) if self.state.exists() else None, False
+        for rows in self.rows.upto(mark):
+            out, state = self.step(key[0], rows, state)
+            some = True
             yield out
+        if some:
+            self.state.update(state)
+            if (low := self.rows.first()) is not None:
+                self.timer(low)
             at = self.wake(state)
             if at is not None and at > mark:
                 self.timer(at)
@@ -84,18 +81,21 @@ class InOrder(StatefulProcessor):
         pass
 
 
+def named(key: str, rows: np.ndarray) -> np.ndarray:
+    """The key beside each row, as objects even if there is none: an empty list is a column of numbers, which is no string to Arrow."""
+    return np.full(len(rows), key, object)
+
+
 class Spikes(InOrder):
     OUT = "symbol string, us long, price double, previous double, spike int"
 
     def __init__(self, limit: float):
         self.limit = limit
 
-    def step(self, key: str, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        before = rows["price"].shift(1)
-        if state is not None:
-            before.iloc[0] = state[1]
-        out = pd.DataFrame({"symbol": key, "us": rows["us"], "price": rows["price"], "previous": before, "spike": ((rows["price"] - before).abs() > self.limit).astype("int32")})
-        return out, (int(rows["us"].iloc[-1]), float(rows["price"].iloc[-1]))
+    def step(self, key: str, rows: np.ndarray, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        before = np.concatenate([[np.nan if state is None else state[1]], rows["price"][:-1]])
+        out = pd.DataFrame({"symbol": named(key, rows), "us": rows["us"], "price": rows["price"], "previous": before, "spike": (np.abs(rows["price"] - before) > self.limit).astype("int32")})
+        return out, (int(rows["us"][-1]), float(rows["price"][-1]))
 
 
 class Mean(InOrder):
@@ -104,13 +104,13 @@ class Mean(InOrder):
     def __init__(self, alpha: float):
         self.alpha = alpha
 
-    def step(self, key: str, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+    def step(self, key: str, rows: np.ndarray, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
         mean, means = state[1] if state is not None else None, []
         for x in rows["price"].tolist():
             mean = x if mean is None else (1 - self.alpha) * mean + self.alpha * x
             means.append(mean)
-        out = pd.DataFrame({"symbol": key, "us": rows["us"], "seq": rows["seq"], "price": rows["price"], "ewm": means})
-        return out, (int(rows["us"].iloc[-1]), float(mean))
+        out = pd.DataFrame({"symbol": named(key, rows), "us": rows["us"], "seq": rows["seq"], "price": rows["price"], "ewm": means})
+        return out, (int(rows["us"][-1]), float(mean))
 
 
 class Stale(InOrder):
@@ -121,8 +121,8 @@ class Stale(InOrder):
     def __init__(self, age_us: int):
         self.age = age_us
 
-    def step(self, key: str, rows: pd.DataFrame, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
-        at = rows["us"].to_numpy()
+    def step(self, key: str, rows: np.ndarray, state: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        at = rows["us"]
         if state is not None and not state[1]:
             at = np.concatenate([[state[0]], at])
         gone = at[:-1][np.diff(at) > self.age]
@@ -138,9 +138,9 @@ class Stale(InOrder):
 def followed(ticks: DataFrame, processor: InOrder, late: str) -> DataFrame:
     """What a processor makes of ticks (symbol, time, seq, price) in event order; rows without a time are left out."""
     use_rocksdb(ticks.sparkSession)
-    rows = ticks.where("time is not null").select("symbol", "time", F.unix_micros("time").alias("us"), F.col("seq").cast("long").alias("seq"), F.col("price").cast("double").alias("price"))
+    rows = ticks.where("time is not null").select("symbol", "time", F.unix_micros("time").alias("us"), F.coalesce(F.col("seq").cast("long"), F.lit(int(LAST))).alias("seq"), F.col("price").cast("double").alias("price"))
     out = rows.withWatermark("time", late).groupBy("symbol").transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.OUT, outputMode="Append", timeMode="EventTime")
-    rest = [c for c in out.columns if c not in ("symbol", "us")]
+    rest = [F.nullif("seq", F.lit(int(LAST))).alias("seq") if c == "seq" else c for c in out.columns if c not in ("symbol", "us")]
     return out.select("symbol", F.timestamp_micros("us").alias("time"), *rest)
 
 
