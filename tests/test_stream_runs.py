@@ -72,9 +72,12 @@ def through(processor, parts, marks):
     return out
 
 
-def test_means_carry_over_pieces(small):
+def test_means_and_spikes_carry_over_pieces(small):
     pdf, parts = frames(30_000, 1)
     want = pdf.sort_values(["us", "seq"])
     out = through(ordered.Mean(0.1), parts, [2500, 2500, 9000])
     assert max(map(len, out)) < 8000
     np.testing.assert_allclose(pd.concat(x for x in out if len(x))["ewm"].astype(float), want["price"].ewm(alpha=0.1, adjust=False).mean(), rtol=1e-9)
+    out = pd.concat(x for x in through(ordered.Spikes(50.0), parts, [2500, 9000]) if len(x))
+    assert out["previous"].astype(float).tolist()[1:] == want["price"].tolist()[:-1]
+    assert out["spike"].tolist() == (want["price"].diff().abs() > 50).astype(int).tolist()
