@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tidemark.streaming import ordered, runs
@@ -81,3 +82,12 @@ def test_means_and_spikes_carry_over_pieces(small):
     out = pd.concat(x for x in through(ordered.Spikes(50.0), parts, [2500, 9000]) if len(x))
     assert out["previous"].astype(float).tolist()[1:] == want["price"].tolist()[:-1]
     assert out["spike"].tolist() == (want["price"].diff().abs() > 50).astype(int).tolist()
+
+
+def test_no_gap_is_an_empty_column_of_strings():
+    """Nothing is stale: the column of symbols must still be one of strings to Arrow."""
+    _, parts = frames(2000, 2)
+    out = through(ordered.Stale(10_000_000), parts, [5000])
+    for pdf in out:
+        assert isinstance(pa.Array.from_pandas(pdf["symbol"], type=pa.string()), pa.StringArray)
+    assert sum(map(len, out)) == 0

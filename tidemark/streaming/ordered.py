@@ -126,7 +126,7 @@ class Stale(InOrder):
         if state is not None and not state[1]:
             at = np.concatenate([[state[0]], at])
         gone = at[:-1][np.diff(at) > self.age]
-        return pd.DataFrame({"symbol": [key] * len(gone), "us": gone, "due": gone + self.age}), (int(at[-1]), 0.0)
+        return pd.DataFrame({"symbol": named(key, gone), "us": gone, "due": gone + self.age}), (int(at[-1]), 0.0)
 
     def wake(self, state: tuple) -> int | None:
         return None if state[1] else state[0] + self.age + 1
