@@ -5,7 +5,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from tidemark.streaming import ordered, runs
+from tidemark.streaming import ordered, positions, runs
 
 
 class Value:
@@ -91,3 +91,16 @@ def test_no_gap_is_an_empty_column_of_strings():
     for pdf in out:
         assert isinstance(pa.Array.from_pandas(pdf["symbol"], type=pa.string()), pa.StringArray)
     assert sum(map(len, out)) == 0
+
+
+def test_positions_are_managed_piece_by_piece(small):
+    pdf, parts = frames(20_000, 3)
+    more = {"atr": 8.0, "side": 1, "distance": 20.0, "lots": 1.0}
+    rules = {"every": 5, "even_r": 1.0, "trail": 1.0, "scale": ((2.0, 0.25),)}
+    out = through(positions.Manager(**rules), [p.assign(**more) for p in parts], [])
+    assert max(map(len, out)) < 8000
+    state, want = None, []
+    for us, _, price in pdf.sort_values(["us", "seq"]).itertuples(index=False, name=None):
+        state, r, event = positions.follow(state, price, *more.values(), **rules)
+        want.append(("A", us, price, r, state[1], state[2], event))
+    assert list(pd.concat(out).itertuples(index=False, name=None)) == want

@@ -1,7 +1,7 @@
 """Positions followed over a stream: break-even, trailing and scaling out, decided every few steps.
 
-transformWithStateInPandas keeps one small row of state a symbol; its store is RocksDB, which
-use_rocksdb() sets for a session.
+transformWithStateInPandas keeps one small row of state a symbol, and a micro-batch's rows until they are in order; its store is
+RocksDB, which use_rocksdb() sets for a session.
 """
 
 from __future__ import annotations
@@ -9,13 +9,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from .runs import LAST, Runs
+
 STATE = "entry double, stop double, volume double, even boolean, step long, managed long"
-OUT = "symbol string, time timestamp, price double, r double, stop double, volume double, event string"
+ROW = np.dtype([("us", "<i8"), ("seq", "<i8"), *[(c, "<f8") for c in ("price", "atr", "side", "distance", "lots")]])
+OUT = "symbol string, us long, price double, r double, stop double, volume double, event string"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -56,16 +60,19 @@ class Manager(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("position", STATE)
+        self.rows = Runs(handle, ROW)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        """The rows of a micro-batch in order, a piece at a time, as they may be many."""
         now = tuple(self.state.get()) if self.state.exists() else None
-        batch = pd.concat(list(rows)).sort_values(["time", "seq"], kind="stable")
-        out = []
-        for x in batch.itertuples():
-            now, r, event = follow(now, x.price, x.atr, x.side, x.distance, x.lots, **self.rules)
-            out.append((key[0], x.time, x.price, r, now[1], now[2], event))
+        self.rows.add(rows)
+        for piece in self.rows.upto():
+            out = []
+            for us, _, price, *rest in zip(*[piece[c].tolist() for c in ROW.names], strict=True):
+                now, r, event = follow(now, price, *rest, **self.rules)
+                out.append((key[0], us, price, r, now[1], now[2], event))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
         self.state.update(now)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
     def close(self) -> None:
         pass
@@ -73,7 +80,10 @@ class Manager(StatefulProcessor):
 
 def manage_stream(ticks: DataFrame, *, every: int = 5, even_r: float = 1.0, trail: float = 1.0, scale: tuple[tuple[float, float], ...] = ()) -> DataFrame:
     """Rows (symbol, time, seq, price, atr, side, distance, lots) with the managed stop, the volume left and what happened."""
-    return ticks.groupBy("symbol").transformWithStateInPandas(statefulProcessor=Manager(every=every, even_r=even_r, trail=trail, scale=scale), outputStructType=OUT, outputMode="Append", timeMode="None")
+    last = F.lit(int(LAST))
+    rows = ticks.select("symbol", F.coalesce(F.unix_micros(F.col("time").cast("timestamp")), last).alias("us"), F.coalesce(F.col("seq").cast("long"), last).alias("seq"), *[F.col(c).cast("double").alias(c) for c in ROW.names[2:]])
+    out = rows.groupBy("symbol").transformWithStateInPandas(statefulProcessor=Manager(every=every, even_r=even_r, trail=trail, scale=scale), outputStructType=OUT, outputMode="Append", timeMode="None")
+    return out.select("symbol", F.timestamp_micros(F.nullif("us", last)).alias("time"), *out.columns[2:])
 
 
 def within_budget(spread: Column, point: float, pip_value: float, lots: Column, equity: Column, day_start: Column, peak: Column, daily: float = 0.03, total: float = 0.10) -> Column:
