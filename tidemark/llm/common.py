@@ -99,9 +99,12 @@ def join_hot(df: DataFrame, groups: DataFrame, keys: list[str], rows: int, size:
     """df joined with groups(keys, size, ...), where size is the number of rows that a group has in df.
 
     Groups with more than one in HUBS of all rows (rows: how many there are) are fewer than HUBS; what they
-    say is sent to their rows, so that these needn't meet in one task.
+    say is sent to their rows, so that these needn't meet in one task. groups is best a written() frame: it is looked at for hot ones first,
+    and where there are none the join is a plain one, which halves all plans over it.
     """
     limit = max(1000, rows // HUBS)
+    if groups.where(F.col(size) > limit).isEmpty():
+        return df.join(groups, keys)
     hot, rest = groups.where(F.col(size) > limit), groups.where(F.col(size) <= limit)
     return df.join(F.broadcast(hot), keys).unionByName(df.join(rest, keys))
 

@@ -198,14 +198,15 @@ def balls(trie: DataFrame, count: int, texts: DataFrame, threshold: float) -> Da
     """(id, ball), written: vertices of large groups that are so near to a representative that they link with
     each other. trie has count rows."""
     whole = trie.where(F.col("reach") == DEPTH)
-    large = whole.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LARGE)
+    large = written(whole.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LARGE), "large")
     if large.isEmpty():
+        drop_written(large)
         return None
     # the largest group that a vertex is in is its own; the group's head is a vertex that is in many
     seats = join_hot(whole, large, ["tree", "label"], count)
     home = seats.groupBy("id").agg(F.max(F.struct("c", "tree", "label")).alias("grp"), F.count(F.lit(1)).alias("seats")).select("id", "seats", F.xxhash64("grp.tree", "grp.label").alias("grp"))
     home = written(home, "home")
-    heads = home.groupBy("grp").agg(F.max(F.struct("seats", (-F.col("id")).alias("id"))).alias("m"), F.count(F.lit(1)).alias("c")).select("grp", "c", (-F.col("m.id")).alias("head"), F.ceil(F.col("c") / F.lit(2 * LARGE)).cast("int").alias("parts"))
+    heads = written(home.groupBy("grp").agg(F.max(F.struct("seats", (-F.col("id")).alias("id"))).alias("m"), F.count(F.lit(1)).alias("c")).select("grp", "c", (-F.col("m.id")).alias("head"), F.ceil(F.col("c") / F.lit(2 * LARGE)).cast("int").alias("parts")), "heads")
     member = join_hot(home, heads, ["grp"], count).select("head", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id")
     asked = heads.select("head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("head").alias("id"))
     near = (1 + threshold) / 2
@@ -222,16 +223,20 @@ def balls(trie: DataFrame, count: int, texts: DataFrame, threshold: float) -> Da
 
     found = grouped_stream(member.unionByName(asked).join(texts, "id"), ["head", "part"], measure, "id long, ball long")
     out = written(found.distinct(), "balls")
-    drop_written(home)
+    for old in (home, heads, large):
+        drop_written(old)
     return out
 
 
-def candidates(trie: DataFrame, count: int, vert: DataFrame, depth: int, above: int, threshold: float) -> DataFrame:
-    """(task, id, w, partners): pairs whose longest shared prefix is at least depth and below `above`, by task. trie has count rows."""
+def candidates(trie: DataFrame, count: int, vert: DataFrame, depth: int, above: int, threshold: float, made: list[DataFrame]) -> DataFrame:
+    """(task, id, w, partners): pairs whose longest shared prefix is at least depth and below `above`, by task. trie has count rows; made
+    gets what was written for it."""
     rows = trie.where(F.col("reach") >= depth).select("id", "tree", "ball", "lcp", F.xxhash64(F.substring("label", 1, 2 * depth)).alias("prefix"))
     sizes = rows.groupBy("tree", "prefix", "ball").agg(F.count(F.lit(1)).alias("c"), F.min(F.when(F.coalesce("lcp", F.lit(depth)) >= depth, F.coalesce("lcp", F.lit(depth)))).alias("fork"))
     many = sizes.groupBy("tree", "prefix").agg(F.sum("c").alias("c"), F.min("fork").alias("fork"), F.collect_list(F.struct("ball", F.ceil(F.col("c") / F.lit(SLICE)).cast("int").alias("slices"))).alias("parts"))
     many = many.where((F.col("c") > 1) & (F.lit(above > DEPTH) | (F.col("fork") < above)) & ((F.size("parts") > 1) | (F.col("parts")[0]["ball"] == -1))).drop("fork")
+    # four branches join it, each of which would count the subtrees again
+    made.append(many := written(many, "subtrees"))
     held = join_hot(rows.drop("lcp"), many, ["tree", "prefix"], count).join(vert.select("id", "sig", "w"), "id")
     screen = threshold - 5 * np.sqrt(threshold * (1 - threshold) / (TREES * DEPTH))
 
@@ -414,7 +419,8 @@ def classes(rows: DataFrame, *, text: str = "text", threshold: float = THRESHOLD
     if ball is not None:
         made.append(ball)
         inside = ball.join(vert.select("id", "w"), "id")
-        whole = inside.groupBy("ball").agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("c"))
+        whole = written(inside.groupBy("ball").agg(F.sum("w").alias("all"), F.count(F.lit(1)).alias("c")), "ball-sizes")
+        made.append(whole)
         found.append(join_hot(inside, whole, ["ball"], count).select("id", F.col("ball").alias("root"), (F.col("all") - F.col("w")).alias("n")).where("n > 0"))
     true, total, seen = audited(wordy, texts, threshold), 0, Counter()
     held = vert.where(F.col("id").isin(list(true))).select("id", "w").collect()
@@ -429,7 +435,7 @@ def classes(rows: DataFrame, *, text: str = "text", threshold: float = THRESHOLD
         note(part.withColumn("expected", F.lit(0.0)))
     depth, above = DEPTH, DEPTH + 1
     while True:
-        new = written(verify(candidates(trie, count, wordy, depth, above, threshold), texts, depth, threshold), "links")
+        new = written(verify(candidates(trie, count, wordy, depth, above, threshold, made), texts, depth, threshold), "links")
         made.append(new)
         found.append(new.select("id", "root", "n"))
         got, expected = note(new)
@@ -464,7 +470,8 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     found = classes(rows, threshold=threshold, recall=recall)
     total = rows.count()
     least = rows.where("digest is not null").groupBy("digest").agg(F.min("row.id").alias("low")).join(found, "digest").groupBy("root").agg(F.min("low").alias("class_id"), F.count(F.lit(1)).alias("c"))
-    known = join_hot(found, least, ["root"], total).drop("c")
+    least = written(least, "least")
+    known = written(join_hot(found, least, ["root"], total).drop("c"), "known")
     linked = join_hot(rows.select("row.id", "digest"), known, ["digest"], total, "w").select(F.col("id").alias(key), "class_id", (F.col("n") + F.col("w") - 1).cast("long").alias("n_links"))
     alone = rows.where("digest is null").select(F.col("row.id").alias(key), F.col("row.id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
