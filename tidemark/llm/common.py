@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 
 HUBS = 2000
+#: Spark's setting that drops the shuffle files of an execution at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,10 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, survives lost executors."""
+    """Write df to the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    The write's shuffle files go with its end; else they stay until the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -122,19 +132,19 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(e, "edges")
     seen, count = None, e.count()
     while True:
+        # each step is written: as one plan, which is made anew as its stages end, a round costs the driver many times more
         # large-star: the larger neighbours of a node point to the smallest of it and its neighbours
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("u", "m").alias("m"), "c")
-        hubs = F.broadcast(least.where(F.col("c") > max(1000, count // HUBS)).select("u", "m"))
-        near = both.join(hubs, "u", "left_anti").join(least.select("u", "m"), "u").unionByName(both.join(hubs, "u"))
-        large = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("u", "m").alias("m"), "c"), "edges-least")
+        large = join_hot(both, least, ["u"], count).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.where("u <> v").distinct(), "edges-large")
         # small-star: the smaller neighbours of a node, and itself, point to the smallest
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         new = written(small, "edges")
         mark = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_written(e)
+        for old in (e, least, large):
+            drop_written(old)
         e, count = new, mark[0]
         if tuple(mark) == seen:
             break

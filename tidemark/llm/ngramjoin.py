@@ -194,6 +194,16 @@ def tries(vert: DataFrame, least: int) -> DataFrame:
     return written(in_order.mapInArrow(run, "tree int, label binary, id long, lcp int, reach int"), "tries")
 
 
+def texts_of(trie: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, t), written: the texts of vertices in the trie, told by a bitmap of a bit a row of the corpus, so that no
+    other text is shuffled and these aren't for it."""
+    number, place = F.bitmap_bucket_number("id"), F.bitmap_bit_position("id")
+    bits = trie.select(number.alias("number"), place.alias("place")).groupBy("number").agg(F.bitmap_construct_agg("place").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.expr("cast(bitmap_bit_position(id) div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+    inside = texts.withColumn("number", number).join(F.broadcast(bits), "number")
+    return written(inside.where(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1).select("id", "t"), "texts")
+
+
 def balls(trie: DataFrame, count: int, texts: DataFrame, threshold: float) -> DataFrame | None:
     """(id, ball), written: vertices of large groups that are so near to a representative that they link with
     each other. trie has count rows."""
@@ -406,8 +416,9 @@ def classes(rows: DataFrame, *, text: str = "text", threshold: float = THRESHOLD
     promised = next((d for d in range(DEPTH, 0, -1) if chance(threshold, d) >= recall), 1)
     plain = tries(wordy, promised)
     count = plain.count()
-    ball = balls(plain, count, texts, threshold)
-    found, made = [], [vert, plain]
+    near = texts_of(plain, texts)
+    ball = balls(plain, count, near, threshold)
+    found, made = [], [vert, plain, near]
 
     def with_balls(trie: DataFrame) -> DataFrame:
         if ball is None:
@@ -435,7 +446,9 @@ def classes(rows: DataFrame, *, text: str = "text", threshold: float = THRESHOLD
         note(part.withColumn("expected", F.lit(0.0)))
     depth, above = DEPTH, DEPTH + 1
     while True:
-        new = written(verify(candidates(trie, count, wordy, depth, above, threshold, made), texts, depth, threshold), "links")
+        pairs = written(candidates(trie, count, wordy, depth, above, threshold, made), "pairs")
+        new = written(verify(pairs, near, depth, threshold), "links")
+        drop_written(pairs)
         made.append(new)
         found.append(new.select("id", "root", "n"))
         got, expected = note(new)
@@ -449,7 +462,8 @@ def classes(rows: DataFrame, *, text: str = "text", threshold: float = THRESHOLD
         depth, above = max(depth - STEP, promised) if depth > promised else depth - 1, depth
         if depth < promised:
             plain = tries(wordy, depth)
-            made.append(plain)
+            near = texts_of(plain, texts)
+            made += [plain, near]
             count = plain.count()
             trie = with_balls(plain)
     links = found[0]
