@@ -58,3 +58,19 @@ def test_null_ids_and_clashing_columns(spark):
     df = spark.createDataFrame([(None, "one two", 1), (None, "one two", 1), (5, "", 2)], "doc_id long, text string, part int")
     rows = packing.pack(df, VOCAB).collect()
     assert sorted((r["doc_id"] is None, r["doc_tokens"]) for r in rows) == [(False, 1), (True, 3), (True, 3)]
+
+
+def test_words_in_use_outlive_a_full_memory(monkeypatch):
+    """When the memory is full, words that texts share with former ones aren't encoded again; the ids are the same."""
+    vocab = P.path("word_bpe_49k.json")
+    tok, known, *_ = packing.tokenizer(vocab)
+    monkeypatch.setattr(packing, "REMEMBERED", 60)
+    known.clear()
+    made, encode = [], packing.encode_cores
+    monkeypatch.setattr(packing, "encode_cores", lambda tok, last, cores, width: made.extend(cores) or encode(tok, last, cores, width))
+    name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    texts = [f"the same words, Come again. {' '.join(name(100 * k + i) for i in range(20))}" for k in range(8)]
+    got = [packing.encode_texts([t], vocab, "<u2")[0] for t in texts]
+    known.clear()
+    assert got == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert made.count("the") == 1 and made.count("words") <= 2

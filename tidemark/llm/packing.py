@@ -85,20 +85,29 @@ def encode_texts(texts: list[str], path: str, width: str) -> list[bytes]:
     """
     tok, known, last, letters = tokenizer(path)
     split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = set().union(*split).difference(known)
+    words_here = set().union(*split)
+    new = words_here.difference(known)
     if not new:
         return [b"".join(map(known.__getitem__, words)) for words in split]
     if len(known) + len(new) > REMEMBERED:
+        # most words come once, so those that these texts share with former ones are what is worth keeping
+        kept = {w: known[w] for w in words_here.difference(new)}
         known.clear()
-        new = set().union(*split)
-    plain, odd = [], []
+        known.update(kept)
+    plain, odd, cores = [], [], set()
     for w in new:
         core = w.rstrip(TAIL)
-        if core.isalpha() and (core.isascii() or all(map(letters.__getitem__, core))):
-            plain.append((w, core.lower() if core.isascii() else core, w[len(core) :]))
+        if core.isascii() and core.isalpha():
+            low = core.lower()
+            if low == w:
+                cores.add(w)
+            else:
+                plain.append((w, low, w[len(core) :]))
+        elif core.isalpha() and all(map(letters.__getitem__, core)):
+            plain.append((w, core, w[len(core) :]))
         else:
             odd.append(w)
-    cores = list({c for _, c, _ in plain}.difference(known))
+    cores = list(cores.union(c for _, c, _ in plain if c not in known))
     odd = list(set(odd).union(t for _, _, t in plain if t not in known))
     for i in range(0, len(cores), 4096):
         known.update(zip(cores[i : i + 4096], encode_cores(tok, last, cores[i : i + 4096], width), strict=True))
