@@ -5,8 +5,10 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import quality, toxicity
+from tidemark.llm.training import fitted
 
 WORDS = ["river", "stone", "garden", "letter", "window", "morning", "paper", "winter", "table", "silver", "and", "of", "the", "to"]
 BAD = ["blorghead", "snivelrat", "drubbish"]
@@ -272,3 +274,12 @@ def test_long_landmarks_give_all_their_pieces():
     docs = [{word, "calm"}] * 40 + [{"calm", "words"}] * 40
     marks = toxicity.toxic_landmarks(docs, np.array([1] * 40 + [0] * 40))
     assert set(toxicity.pieces(word)) <= set(marks) and all(len(m) <= toxicity.PIECE for m in marks)
+
+
+def test_sample_is_bounded_when_ids_repeat(spark):
+    """A row an id, the smallest text of it, however many rows bear it."""
+    docs = spark.createDataFrame([(i, t) for i in range(40) for t in (f"b{i}", f"a{i}", None, f"c{i}") * 5], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = fitted(docs, labels, "quality", F.lit(True), 7, lambda sample, counts: (sample.to_dict("list"), counts))
+    assert len(got[0]["id"]) == len(set(got[0]["id"])) == 14 and got[1] == {0: 20, 1: 20}
+    assert got[0]["text"] == [f"a{i}" for i in got[0]["id"]] and got[0]["y"] == [i % 2 for i in got[0]["id"]]
