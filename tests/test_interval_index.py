@@ -51,3 +51,20 @@ def test_cells_are_few_and_candidates_near_the_matches(spark):
     candidates = sum(of[level, t // (asof.UNIT_US * asof.FAN**level)] for _, t, _ in points for level in range(asof.LEVELS))
     matches = sum(a <= t <= b for _, t, _ in points for _, a, b, _ in intervals)
     assert matches <= candidates <= 1.01 * matches + 10
+
+
+def test_slices_give_the_pairs_and_cells_are_no_pairs(spark, monkeypatch):
+    """Crowded windows and ticks: pairs grow with the square, rows that a stream writes don't."""
+    monkeypatch.setattr(asof, "SLICE", 7)
+    r = random.Random(3)
+    points = [(k, r.randrange(300 * MIN), "s") for k in range(200)] + [(900 + k, 77 * MIN, "s") for k in range(40)] + [(999, None, "s")]
+    intervals = [(n, a := r.choice([r.randrange(300 * MIN), 60 * MIN]), a + r.choice([0, 20 * MIN, 45 * MIN, 9000 * MIN, -5]), "s") for n in range(300)] + [(500, None, 5, "s"), (501, 5, None, "s")]
+    p, i = frames(spark, points, intervals)
+    slices = asof.interval_slices(i)
+    assert slices.agg(F.max(F.size("_held"))).first()[0] == 7
+    found = asof.points_in_cells(p, slices)
+    pairs = Counter((x["k"], x["n"]) for x in asof.pairs_of(found, slices).select("k", "n").collect())
+    assert pairs == Counter((k, n) for k, t, _ in points for n, a, b, _ in intervals if None not in (t, a, b) and a <= t <= b)
+    assert found.count() <= len(points) * asof.LEVELS < sum(pairs.values()) / 5
+    none = asof.interval_slices(i.limit(0))
+    assert asof.pairs_of(asof.points_in_cells(p, none), none).count() == 0
