@@ -64,6 +64,21 @@ def test_rows_come_in_order_in_bounded_pieces_and_the_rest_waits(small):
         assert held.first() == (rest.min() if len(rest) else None) and sum(k[3] for k in held.held) == len(rest)
 
 
+@pytest.mark.parametrize("times, numbers", [(1, 50_000), (2, 50_000), (7, 3), (1, 1)])
+def test_rows_of_one_moment_are_dealt_to_bounded_pieces_too(small, times, numbers):
+    """Crowded moments, and repeated or missing numbers in them, whose order is left open."""
+    pdf, parts = frames(50_000, 4, times)
+    parts = [p.assign(seq=p["seq"] % numbers if numbers > 1 else runs.LAST) for p in parts]
+    held = runs.Runs(Handle(), ordered.ROW)
+    held.add(parts)
+    got = list(held.upto())
+    assert all(len(g) < 8000 for g in got)
+    assert not held.held and held.first() is None
+    rows, want = np.concatenate(got), pd.concat(parts).sort_values(["us", "seq", "price"])
+    assert list(zip(rows["us"].tolist(), rows["seq"].tolist())) == list(zip(want["us"], want["seq"]))
+    assert sorted(rows.tolist()) == list(want.itertuples(index=False, name=None))
+
+
 def through(processor, parts, marks):
     """What a processor makes of parts and then of timers at marks."""
     processor.init(Handle())

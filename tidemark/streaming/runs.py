@@ -1,13 +1,15 @@
 """Rows of a key in state: packed runs, put in order piece by piece.
 
 A row of state a tick costs a call and a tuple a tick. Here each Arrow batch of a key is one value of a MapState, the bytes of
-a numpy array. What is asked for in order is dealt to pieces of some PIECE rows by bounds from a sample of the
-runs, as a sample sort does, again in state; then one piece is sorted at a time. So a worker holds a piece,
-and a run for each piece, however many rows a key has, and the work grows with the rows.
+a numpy array. What is asked for in order is dealt to pieces of some PIECE rows by bounds (us, seq) from a sample of the
+runs, as a sample sort does, again in state; then one piece is sorted at a time. Rows equal to a bound are a piece of their
+own, which needs no sorting and goes on run by run. So a worker holds a piece, and a run for each piece, however
+many rows a key or a moment has, and the work grows with the rows.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,6 +20,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 PIECE, RUN, EVERY = 131_072, 8192, 64
 #: What stands for a null time or number: it is last in order.
 LAST = np.iinfo(np.int64).max
+ORDER = np.dtype([("us", "<i8"), ("seq", "<i8")])
 
 
 class Runs:
@@ -59,45 +62,67 @@ class Runs:
         return min((k[2] for k in self._keys()), default=None)
 
     def upto(self, mark: int = LAST) -> Iterator[np.ndarray]:
-        """Rows up to mark, taken out of the state, in order of (us, seq), piece by piece; rows of one time are in one piece."""
+        """Rows up to mark, taken out of the state, in order of (us, seq), piece by piece."""
         keys = [k for k in self._keys() if k[2] <= mark]
         pieces = -(-sum(k[3] for k in keys) // PIECE)
         if not keys:
             return
-        bounds = np.empty(0, np.int64)
+        bounds = np.empty(0, ORDER)
         if pieces > 1:
-            sample = np.sort(np.concatenate([us[us <= mark] for us in (self._get(k)["us"][::EVERY] for k in keys)] or [bounds]))
+            sample = np.concatenate([self._get(k)[::EVERY][list(ORDER.names)].astype(ORDER) for k in keys])
+            sample = sample[sample["us"] <= mark]
+            sample = sample[np.lexsort((sample["seq"], sample["us"]))]
             bounds = np.unique(sample[(np.arange(1, pieces) * len(sample)) // pieces]) if len(sample) else bounds
         # the last of the parts is what waits
-        dealt: list[list[np.ndarray]] = [[] for _ in range(len(bounds) + 2)]
+        dealt: list[list[np.ndarray]] = [[] for _ in range(2 * len(bounds) + 2)]
         count = [0] * len(dealt)
+        waits = len(dealt) - 1
         spilled = False
 
         def spill(b: int) -> None:
-            self._put([(b if b <= len(bounds) else -1, np.concatenate(dealt[b]))])
+            self._put([(b if b < waits else -1, np.concatenate(dealt[b]))])
             dealt[b], count[b] = [], 0
 
         for k in keys:
             rows = self._get(k)
             self.held.removeKey(k)
-            to = np.where(rows["us"] > mark, len(bounds) + 1, np.searchsorted(bounds, rows["us"], side="left"))
+            to = np.where(rows["us"] > mark, waits, pieces_of(rows, bounds))
             order = np.argsort(to, kind="stable")
             rows, cuts = rows[order], np.searchsorted(to[order], np.arange(len(dealt) + 1))
             for b in np.unique(to):
-                dealt[b].append(rows[cuts[b] : cuts[b + 1]])
+                # a copy, as a part of few rows would hold on to its whole run
+                dealt[b].append(rows[cuts[b] : cuts[b + 1]].copy())
                 count[b] += len(dealt[b][-1])
                 if count[b] >= RUN and (len(bounds) or b):
                     spill(b)
                     spilled = True
         if dealt[-1]:
-            spill(len(dealt) - 1)
-        kept = [k for k in self._keys() if k[0] >= 0] if spilled else []
-        for b in range(len(bounds) + 1):
-            own = [k for k in kept if k[0] == b]
-            parts = [self._get(k) for k in own] + dealt[b]
-            for k in own:
-                self.held.removeKey(k)
+            spill(waits)
+        kept: dict[int, list[tuple]] = {}
+        for k in self._keys() if spilled else []:
+            kept.setdefault(k[0], []).append(k)
+        for b in range(waits):
+            parts = itertools.chain(map(self._take, kept.get(b, [])), dealt[b])
             dealt[b] = []
-            if parts:
-                rows = np.concatenate(parts)
+            if b % 2:
+                yield from parts
+            elif rows := list(parts):
+                rows = np.concatenate(rows)
                 yield rows[np.lexsort((rows["seq"], rows["us"]))]
+
+    def _take(self, key: tuple) -> np.ndarray:
+        rows = self._get(key)
+        self.held.removeKey(key)
+        return rows
+
+
+def pieces_of(rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The piece of each row: 2i + 1 where it equals bound i, 2i where it lies before it and after the last one."""
+    low, high = (np.searchsorted(bounds["us"], rows["us"], side=side) for side in ("left", "right"))
+    on = np.flatnonzero(low < high)
+    first = low[on]
+    for at in np.unique(first):
+        own = on[first == at]
+        seqs, seq = bounds["seq"][at : high[own[0]]], rows["seq"][own]
+        low[own], high[own] = (at + np.searchsorted(seqs, seq, side=side) for side in ("left", "right"))
+    return low + high
