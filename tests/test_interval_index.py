@@ -68,3 +68,22 @@ def test_slices_give_the_pairs_and_cells_are_no_pairs(spark, monkeypatch):
     assert found.count() <= len(points) * asof.LEVELS < sum(pairs.values()) / 5
     none = asof.interval_slices(i.limit(0))
     assert asof.pairs_of(asof.points_in_cells(p, none), none).count() == 0
+
+
+def test_a_crowded_cell_is_dealt_to_tasks_by_its_pairs(spark, monkeypatch, tmp_path):
+    """All points and intervals in one cell: few bytes, many pairs. Tasks follow the pairs, and chunks of points share out what one key holds."""
+    for name, few in (("SLICE", 16), ("CHUNK", 20), ("SHARE", 256)):
+        monkeypatch.setattr(asof, name, few, raising=False)
+    points = [(k, 77 * MIN + k % 3, "s") for k in range(200)] + [(900, 99 * MIN, "s"), (999, None, "s")]
+    intervals = [(n, 77 * MIN, 77 * MIN + n % 4, "s") for n in range(30)] + [(500, 99 * MIN, 99 * MIN, "s"), (501, None, 5, "s")]
+    p, i = frames(spark, points, intervals)
+    slices = asof.interval_slices(i)
+    asof.interval_counts(slices).write.parquet(f"{tmp_path}/counts")
+    counts = spark.read.parquet(f"{tmp_path}/counts")
+    assert {(x["_n"]) for x in counts.collect()} == {30, 1}
+    pairs = asof.pairs_of(asof.points_in_cells(p, slices, counts=counts), slices).select("k", "n", F.spark_partition_id().alias("task")).collect()
+    want = Counter((k, n) for k, t, _ in points for n, a, b, _ in intervals if None not in (t, a, b) and a <= t <= b)
+    assert Counter((x["k"], x["n"]) for x in pairs) == want
+    of = Counter(x["task"] for x in pairs)
+    # 20 units of 10 chunks and 2 slices, each some 1/20 of the pairs, dealt by hash to 24 tasks
+    assert len(of) >= 8 and max(of.values()) < sum(want.values()) / 3
